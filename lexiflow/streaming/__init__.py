@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference workload is bounded batch only: it has no continuous source,
+watermark, window, state or late data, so nothing here re-implements one.
+Every operator in ``lexiflow.operators`` is a plain DataFrame transformation
+and therefore also runs unchanged inside ``foreachBatch`` of a Structured
+Streaming query when labelled rows arrive continuously.
+"""
