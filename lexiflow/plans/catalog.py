@@ -420,3 +420,201 @@ def _fan_out(rows: DataFrame, keys: DataFrame) -> DataFrame:
     if len(values) > 10000:
         raise ValueError("key table too large to fan out")
     return rows.withColumn(keys.columns[0], F.explode(F.array(*[F.lit(v) for v in sorted(values)])))
+
+
+# --- 2.14 few-shot bulk labelling ---------------------------------------------------------
+from lexiflow.operators import corpus as CO  # noqa: E402
+from lexiflow.operators import fewshot as FS  # noqa: E402
+from lexiflow.operators import transfer as XF  # noqa: E402
+
+SHOTS_GRID = [5, 10, 20]
+ORDER_SEEDS = [42, 7]
+
+
+def _split73(spark, sf) -> DataFrame:
+    """(id, lang, label, split, rank, n): the per-language 70/30 split."""
+    return shared(spark, sf, "split73", lambda: S.split_70_30(
+        _lab(spark, sf).select("id", "lang", "label"), ["lang"], SEED))
+
+
+def _with_text(spark, sf, df):
+    return df.join(_lab(spark, sf).select("id", "text"), "id")
+
+
+def _fs_train(spark, sf):
+    return _with_text(spark, sf, _split73(spark, sf).where(F.col("split") == "train")
+                      .select("id", "lang", "label"))
+
+
+def _fs_dev(spark, sf):
+    return _with_text(spark, sf, _split73(spark, sf).where(F.col("split") == "test")
+                      .select("id", "lang", "label"))
+
+
+def _fs_examples(spark, sf):
+    return FS.context_examples(_fs_train(spark, sf), SHOTS, ["lang"], SEED, SEED)
+
+
+def fewshot_context(spark, sf):
+    return FS.build_context(_fs_examples(spark, sf), ["lang"])
+
+
+def _fs_scores(spark, sf):
+    return FS.bigram_scores(_fs_examples(spark, sf), _fs_dev(spark, sf), ["lang"])
+
+
+def fewshot_scores(spark, sf):
+    return _fs_scores(spark, sf).select("lang", "id", "candidate", F.round("score", R6).alias("score"))
+
+
+def fewshot_labels(spark, sf):
+    wide = FS.predict_wide(_fs_scores(spark, sf), ["lang", "id"])
+    return wide.join(_split73(spark, sf).select("id", "label"), "id")
+
+
+def fewshot_sweep(spark, sf):
+    """LAB-06: shots x order-seed grid as key columns of one job."""
+    tr = _fs_train(spark, sf)
+    ex = S.class_sample(tr, max(SHOTS_GRID), ["lang"], "label", SEED)
+    ex = ex.withColumn("shots", F.explode(F.filter(F.array(*[F.lit(s) for s in SHOTS_GRID]),
+                                                   lambda s: s >= F.col("sample_rank"))))
+    ex = ex.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in ORDER_SEEDS])))
+    keys = ["lang", "shots", "seed"]
+    ex = hash_rank(ex, keys, F.col("seed"), "id", "order_rank", None, extra_keys=("order",))
+    ex = S.dedupe_last_label(ex, keys, "order_rank")
+    rows = _fs_dev(spark, sf).join(ex.select(*keys).distinct(), "lang")
+    sc = FS.bigram_scores(ex, rows, keys)
+    pred = FS.predict_wide(sc, keys + ["id"]).join(rows.select(*keys, "id", "label"), keys + ["id"])
+    return pred.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((F.col("label") == F.col("predicted_label")).cast("double")), R6).alias("accuracy")) \
+        .select("lang", _b("shots"), _b("seed"), "n", "accuracy")
+
+
+# --- 2.15 unlabelled corpus ------------------------------------------------------------
+def _blocks(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("id"), "lang", "text")
+    return CO.token_blocks(d, ["lang"], TX.word_tokens("text"), "id")
+
+
+def token_blocks(spark, sf):
+    return _blocks(spark, sf).select("lang", "batch", "block", "n_tokens",
+                                     F.array_join("tokens", " ").alias("text"))
+
+
+def mlm_mask(spark, sf):
+    b = _blocks(spark, sf).withColumn("ids", TX.hashed_ids(F.col("tokens"), HASH_VOCAB))
+    m = CO.mlm_mask(b, ["lang", "batch", "block"], "ids", SEED, HASH_VOCAB)
+    return m.select("lang", "batch", "block",
+                    F.size(F.filter("targets", lambda t: t != CO.IGNORE_INDEX)).cast("bigint").alias("n_masked"),
+                    F.array_join(F.col("masked_ids").cast("array<string>"), ",").alias("masked_ids"),
+                    F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+def bigram_perplexity(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("id"), "lang", "text")
+    sp = S.head_split(d, ["lang"], 10)
+    return CO.bigram_perplexity(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "validation"),
+                                ["lang"], TX.word_tokens("text"))
+
+
+# --- 2.16 cross-lingual transfer ------------------------------------------------------------
+def _langs(spark, sf):
+    return XF.language_list(_split3(spark, sf), "lang")
+
+
+def _source_train(spark, sf, pool: DataFrame, group=()):
+    """Source data split 80/20 (get-source-data semantics); train part."""
+    return S.split_80_20(pool, list(group), SEED).where(F.col("split") == "train")
+
+
+def _nb_eval(spark, sf, terms, tr, ev, key, keep):
+    p = TC.naive_bayes_run(terms, tr, ev, [key], keep_cols=keep)
+    return p
+
+
+def in_language(spark, sf):
+    sp = _split73(spark, sf)
+    tr = sp.where(F.col("split") == "train").select(F.col("lang").alias("target"), "id", "label")
+    ev = sp.where(F.col("split") == "test").select(F.col("lang").alias("target"), "id", "label")
+    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "target", [])
+    return M.evaluate(p, ["target"], overall="all")
+
+
+def zero_shot(spark, sf):
+    src = _source_train(spark, sf, _split73(spark, sf).where(F.col("lang") == SOURCE).select("id", "lang", "label"))
+    tr = src.select(F.lit(SOURCE).alias("source"), "id", "label")
+    ev = (_split73(spark, sf).where((F.col("split") == "test") & (F.col("lang") != SOURCE))
+          .select(F.lit(SOURCE).alias("source"), "id", "label", F.col("lang").alias("target")))
+    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "source", ["target"])
+    return M.evaluate(p, ["target"], overall="all")
+
+
+def joint_train(spark, sf):
+    sp = _split73(spark, sf)
+    tgt = sp.where((F.col("lang") == TARGET) & (F.col("split") == "train")).select("id", "label")
+    src = _source_train(spark, sf, sp.where(F.col("lang") != TARGET).select("id", "lang", "label")) \
+        .select("id", "label")
+    tr = tgt.unionByName(src).select(F.lit(TARGET).alias("target"), "id", "label")
+    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
+        .select(F.lit(TARGET).alias("target"), "id", "label")
+    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "target", [])
+    return M.evaluate(p, ["target"])
+
+
+def _terms_translated(spark, sf):
+    """Term counts of the translated texts under ids -(id + 1)."""
+    def build():
+        lab = _lab(spark, sf)
+        tr = T.translated(spark, sf, lab.select("id"))
+        return FE.doc_terms(tr.select((-(F.col("id") + 1)).alias("id"), F.col("text_en").alias("text")), [], 3)
+    return shared(spark, sf, "terms_tr", build)
+
+
+def _terms_both(spark, sf):
+    t = _terms_translated(spark, sf).where(F.col("n") <= 1)
+    return _terms(spark, sf, 1).unionByName(t)
+
+
+def translate_train(spark, sf):
+    sp = _split73(spark, sf)
+    src = _source_train(spark, sf, sp.where(F.col("lang") == SOURCE).select("id", "lang", "label"))
+    tr = src.select(F.lit(TARGET).alias("target"), (-(F.col("id") + 1)).alias("id"), "label")
+    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
+        .select(F.lit(TARGET).alias("target"), "id", "label")
+    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "target", [])
+    return M.evaluate(p, ["target"])
+
+
+def translate_test(spark, sf):
+    sp = _split73(spark, sf)
+    src = _source_train(spark, sf, sp.where(F.col("lang") == SOURCE).select("id", "lang", "label"))
+    tr = src.select(F.lit(TARGET).alias("target"), "id", "label")
+    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
+        .select(F.lit(TARGET).alias("target"), (-(F.col("id") + 1)).alias("id"), "label")
+    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "target", [])
+    return M.evaluate(p, ["target"])
+
+
+def leave_one_out(spark, sf):
+    sp = _split73(spark, sf)
+    pool = XF.fan_out(sp.select("id", "lang", "label"), "target", _langs(spark, sf)) \
+        .where(F.col("lang") != F.col("target"))
+    tr = _source_train(spark, sf, pool, ["target"]).select("target", "id", "label")
+    ev = sp.where(F.col("split") == "test").select(F.col("lang").alias("target"), "id", "label")
+    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "target", [])
+    return M.evaluate(p, ["target"], overall="all")
+
+
+def pred_entropy(spark, sf):
+    src = _source_train(spark, sf, _split73(spark, sf).where(F.col("lang") == SOURCE).select("id", "lang", "label"))
+    tr = src.select(F.lit(SOURCE).alias("source"), "id", "label")
+    ev = (_split73(spark, sf).where((F.col("split") == "test") & (F.col("lang") != SOURCE))
+          .select(F.lit(SOURCE).alias("source"), "id", "label", F.col("lang").alias("target")))
+    sc = TC.naive_bayes_run(_terms(spark, sf, 1), tr, ev, ["source"], keep_cols=["target"], return_scores=True)
+    probs = XF.softmax_probs(sc, ["target", "id"])
+    return XF.prediction_entropy(probs, ["target"], ["id"])
+
+
+def coral_distance(spark, sf):
+    return XF.coral_distance(T.domains(spark, sf), "domain", "embedding")

@@ -326,3 +326,210 @@ WHERE r = 1""")
                               terms_cte("labelled", 1), *nb_ctes(["source"], [("count", 1)], [1.0], ["target"]),
                               *metrics_ctes("pred", ["target", "source"], overall="all"), select="SELECT * FROM metrics")
     return q
+
+
+def bigram_ctes(keys: list[str], ex: str, rows: str, alpha: float = 1.0, p: str = "bg") -> list[str]:
+    """Class-conditional bigram scorer.  ex: (keys, text, label); rows:
+    (keys, id, text).  Ends in {p}_scores(keys, id, candidate, score)."""
+    K = ", ".join(keys)
+    kk = lambda a: ", ".join(f"{a}.{x}" for x in keys)
+    j = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    wt = sql_word_tokens("text")
+    a = f"{float(alpha)!r}"
+    ev = "unnest(list_concat(['<s>'], t)[1:len(t)]) AS prev, unnest(t) AS w"
+    return [
+        f"{p}_ext AS (SELECT {K}, label AS candidate, {wt} AS t FROM {ex})",
+        f"{p}_exev AS (SELECT * FROM (SELECT {K}, candidate, {ev} FROM {p}_ext) WHERE w IS NOT NULL)",
+        f"{p}_n2 AS (SELECT {K}, candidate, prev, w, count(*) AS n2 FROM {p}_exev GROUP BY ALL)",
+        f"{p}_n1 AS (SELECT {K}, candidate, prev, count(*) AS n1 FROM {p}_exev GROUP BY ALL)",
+        f"{p}_voc AS (SELECT {K}, count(DISTINCT w) + 1 AS V FROM (SELECT {K}, unnest(t) AS w FROM {p}_ext) GROUP BY ALL)",
+        f"""{p}_cls AS (SELECT DISTINCT {kk('e')}, e.candidate, coalesce(v.V, 1) AS V
+  FROM {p}_ext e LEFT JOIN {p}_voc v ON {j('e', 'v')})""",
+        f"{p}_rt AS (SELECT {K}, id, {wt} AS t FROM {rows})",
+        f"""{p}_rev AS (SELECT {K}, id, prev, w, count(*) AS m FROM (
+  SELECT * FROM (SELECT {K}, id, {ev} FROM {p}_rt) WHERE w IS NOT NULL) GROUP BY ALL)""",
+        f"""{p}_pa AS (SELECT {kk('r')}, r.id, n.candidate, sum(r.m * (ln(n.n2 + {a}) - ln({a}))) AS sa
+  FROM {p}_rev r JOIN {p}_n2 n ON {j('r', 'n')} AND r.prev = n.prev AND r.w = n.w GROUP BY ALL)""",
+        f"""{p}_pb AS (SELECT {kk('r')}, r.id, n.candidate, sum(r.m * (ln(n.n1 + {a} * c.V) - ln({a} * c.V))) AS sb
+  FROM {p}_rev r JOIN {p}_n1 n ON {j('r', 'n')} AND r.prev = n.prev
+  JOIN {p}_cls c ON {j('c', 'n')} AND c.candidate = n.candidate GROUP BY ALL)""",
+        f"""{p}_base AS (SELECT {kk('r')}, r.id, c.candidate, len(r.t) AS n_tok, len(r.t) * (ln({a}) - ln({a} * c.V)) AS b
+  FROM {p}_rt r JOIN {p}_cls c ON {j('r', 'c')})""",
+        f"""{p}_scores AS (SELECT {kk('b')}, b.id, b.candidate,
+  CASE WHEN b.n_tok > 0 THEN (b.b + coalesce(pa.sa, 0) - coalesce(pb.sb, 0)) / b.n_tok ELSE 0 END AS score
+  FROM {p}_base b
+  LEFT JOIN {p}_pa pa ON {j('b', 'pa')} AND b.id = pa.id AND b.candidate = pa.candidate
+  LEFT JOIN {p}_pb pb ON {j('b', 'pb')} AND b.id = pb.id AND b.candidate = pb.candidate)""",
+    ]
+
+
+def wide_cte(keys: list[str], src: str, name: str = "wide") -> str:
+    K = ", ".join(keys)
+    cols = ", ".join(f"round(max(CASE WHEN candidate = '{x}' THEN score END), 6) AS {x}" for x in LABEL_IDS)
+    return f"""{name} AS (SELECT w.*, b.predicted_label FROM
+  (SELECT {K}, id, {cols} FROM {src} GROUP BY ALL) w JOIN
+  (SELECT {K}, id, candidate AS predicted_label FROM (
+     SELECT *, row_number() OVER (PARTITION BY {K}, id ORDER BY round(score, 9) DESC, {sql_label_to_id('candidate')}) AS rn
+     FROM {src}) WHERE rn = 1) b USING ({K}, id))"""
+
+
+def blocks_ctes(L: int = 128, batch: int = 1000) -> list[str]:
+    wt = sql_word_tokens("text")
+    return [
+        f"""bd AS (SELECT doc_id AS id, lang, {wt} AS t,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents)""",
+        f"bb AS (SELECT *, (rank - 1) // {batch} AS batch FROM bd)",
+        """bo AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY lang, batch ORDER BY rank
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+  sum(len(t)) OVER (PARTITION BY lang, batch) AS total FROM bb)""",
+        """btk AS (SELECT lang, batch, total, off + generate_subscripts(t, 1) - 1 AS gpos, unnest(t) AS tok FROM bo)""",
+        f"""blk AS (SELECT lang, CAST(batch AS BIGINT) AS batch, CAST(gpos // {L} AS BIGINT) AS block,
+  list(tok ORDER BY gpos) AS toks
+  FROM btk WHERE gpos < CASE WHEN total >= {L} THEN (total // {L}) * {L} ELSE total END
+  GROUP BY lang, batch, gpos // {L})""",
+    ]
+
+
+def nb_transfer(*head: str, keys: list[str], keep: list[str], src: str = "labelled") -> list[str]:
+    return [*head, terms_cte(src, 1), *nb_ctes(keys, [("count", 1)], [1.0], keep)]
+
+
+def build_more() -> dict[str, str]:
+    L = SQL_LABELLED
+    q: dict[str, str] = {}
+    tr73t = "fstr AS (SELECT s.id, s.lang, s.label, lb.text FROM split73 s JOIN labelled lb ON lb.id = s.id WHERE s.split = 'train')"
+    dev73t = "fsdev AS (SELECT s.id, s.lang, s.label, lb.text FROM split73 s JOIN labelled lb ON lb.id = s.id WHERE s.split = 'test')"
+    exs = [f"""fss AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, label ORDER BY {h('id')}, id) AS sample_rank FROM fstr)
+  WHERE sample_rank <= {C.SHOTS})""",
+           f"""fso AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h(repr('order'), 'id')}, id) AS order_rank
+  FROM fss)""",
+           """fsx AS (SELECT lang, text, arg_max(label, order_rank) AS label, min(order_rank) AS order_rank
+  FROM fso GROUP BY lang, text)"""]
+    head = [L, SPLIT73, tr73t, dev73t, *exs]
+    line = sql_template("text", "label") + " || chr(10)"
+    q["fewshot_context"] = _q(*head, select=f"""SELECT lang, count(*) AS n_examples,
+  string_agg({line}, '' ORDER BY order_rank) AS context FROM fsx GROUP BY lang""")
+    bg = bigram_ctes(["lang"], "fsx", "fsdev")
+    q["fewshot_scores"] = _q(*head, *bg, select="SELECT lang, id, candidate, round(score, 6) AS score FROM bg_scores")
+    q["fewshot_labels"] = _q(*head, *bg, wide_cte(["lang"], "bg_scores"), select="""SELECT w.*, s.label
+FROM wide w JOIN split73 s ON s.id = w.id""")
+    grid = ", ".join(f"({s})" for s in C.SHOTS_GRID)
+    seeds = ", ".join(f"({s})" for s in C.ORDER_SEEDS)
+    sweep = [L, SPLIT73, tr73t, dev73t,
+             f"""sm AS (SELECT *, row_number() OVER (PARTITION BY lang, label ORDER BY {h('id')}, id) AS sample_rank FROM fstr)""",
+             f"""sg AS (SELECT s.*, g.shots, sd.seed FROM sm s JOIN (VALUES {grid}) g(shots) ON s.sample_rank <= g.shots
+  CROSS JOIN (VALUES {seeds}) sd(seed))""",
+             f"""so AS (SELECT *, row_number() OVER (PARTITION BY lang, shots, seed
+  ORDER BY {sql_hash_key('seed', repr('order'), 'id')}, id) AS order_rank FROM sg)""",
+             """sx AS (SELECT lang, shots, seed, text, arg_max(label, order_rank) AS label, min(order_rank) AS order_rank
+  FROM so GROUP BY lang, shots, seed, text)""",
+             """srows AS (SELECT d.id, d.lang, d.label, d.text, k.shots, k.seed FROM fsdev d
+  JOIN (SELECT DISTINCT lang, shots, seed FROM sx) k ON k.lang = d.lang)""",
+             *bigram_ctes(["lang", "shots", "seed"], "sx", "srows"),
+             wide_cte(["lang", "shots", "seed"], "bg_scores")]
+    q["fewshot_sweep"] = _q(*sweep, select="""SELECT w.lang, CAST(w.shots AS BIGINT) AS shots, CAST(w.seed AS BIGINT) AS seed,
+  count(*) AS n, round(avg(CASE WHEN r.label = w.predicted_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM wide w JOIN srows r ON r.lang = w.lang AND r.shots = w.shots AND r.seed = w.seed AND r.id = w.id
+GROUP BY w.lang, w.shots, w.seed""")
+
+    # corpus
+    q["token_blocks"] = _q(*blocks_ctes(), select="""SELECT lang, batch, block, CAST(len(toks) AS BIGINT) AS n_tokens,
+  array_to_string(toks, ' ') AS text FROM blk""")
+    key = "lang, batch, block"
+    ch = lambda i: f"({sql_hash_mod(SEED, 'lang', 'batch', 'block', i, 100)} < 15)"
+    rr = lambda i: sql_hash_mod(SEED, repr('r'), 'lang', 'batch', 'block', i, 10)
+    rnd = lambda i: f"({sql_hash_mod(SEED, repr('t'), 'lang', 'batch', 'block', i, C.HASH_VOCAB)} + 1)"
+    ids = f"list_transform(toks, lambda x: {sql_hash_mod(repr('tok'), 'x', C.HASH_VOCAB)} + 1)"
+    q["mlm_mask"] = _q(*blocks_ctes(), f"bi AS (SELECT {key}, {ids} AS ids FROM blk)",
+                       f"""bm AS (SELECT {key},
+  list_transform(ids, lambda x, i: CASE WHEN NOT {ch('(i - 1)')} THEN x WHEN {rr('(i - 1)')} < 8 THEN {C.HASH_VOCAB + 1}
+                                        WHEN {rr('(i - 1)')} < 9 THEN {rnd('(i - 1)')} ELSE x END) AS masked,
+  list_transform(ids, lambda x, i: CASE WHEN {ch('(i - 1)')} THEN x ELSE -100 END) AS targets FROM bi)""",
+                       select=f"""SELECT {key}, CAST(len(list_filter(targets, lambda t: t <> -100)) AS BIGINT) AS n_masked,
+  array_to_string(masked, ',') AS masked_ids, array_to_string(targets, ',') AS targets FROM bm""")
+    wt = sql_word_tokens("text")
+    q["bigram_perplexity"] = _q(
+        """pd AS (SELECT doc_id AS id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank,
+  count(*) OVER (PARTITION BY lang) AS n FROM documents)""",
+        "ps AS (SELECT *, CASE WHEN rank <= round_even(n * 10 / 100.0, 0) THEN 'validation' ELSE 'train' END AS split FROM pd)",
+        f"pt AS (SELECT lang, split, {wt} AS t FROM ps)",
+        """pe AS (SELECT * FROM (SELECT lang, split, unnest(list_concat(['<s>'], t)[1:len(t)]) AS prev, unnest(t) AS w FROM pt)
+  WHERE w IS NOT NULL)""",
+        "p2 AS (SELECT lang, prev, w, count(*) AS n2 FROM pe WHERE split = 'train' GROUP BY ALL)",
+        "p1 AS (SELECT lang, prev, count(*) AS n1 FROM pe WHERE split = 'train' GROUP BY ALL)",
+        """pv AS (SELECT lang, count(DISTINCT w) + 1 AS V FROM (SELECT lang, unnest(t) AS w FROM pt WHERE split = 'train')
+  GROUP BY lang)""",
+        "pm AS (SELECT lang, prev, w, count(*) AS m FROM pe WHERE split = 'validation' GROUP BY ALL)",
+        """pj AS (SELECT m.lang, m.m, -(ln(coalesce(a.n2, 0) + 1.0) - ln(coalesce(b.n1, 0) + 1.0 * coalesce(v.V, 1))) AS nll
+  FROM pm m LEFT JOIN p2 a ON a.lang = m.lang AND a.prev = m.prev AND a.w = m.w
+  LEFT JOIN p1 b ON b.lang = m.lang AND b.prev = m.prev LEFT JOIN pv v ON v.lang = m.lang)""",
+        select="""SELECT lang, CAST(sum(m) AS BIGINT) AS n_events, round(sum(m * nll) / sum(m), 6) AS mean_nll,
+  round(exp(sum(m * nll) / sum(m)), 6) AS perplexity FROM pj GROUP BY lang""")
+
+    # transfer
+    T_, S_ = C.TARGET, C.SOURCE
+    src_en = split_cte("srcsp", f"(SELECT id, lang, label FROM split73 WHERE lang = '{S_}')", [], [0.8], ["train", "dev"])
+    q["in_language"] = _q(*nb_transfer(L, SPLIT73, "ta AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'train')",
+                                       "ea AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'test')",
+                                       keys=["target"], keep=[]),
+                          *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
+    zs_head = [L, SPLIT73, src_en, f"ta AS (SELECT '{S_}' AS source, id, label FROM srcsp WHERE split = 'train')",
+               f"""ea AS (SELECT '{S_}' AS source, id, label, lang AS target FROM split73
+  WHERE split = 'test' AND lang <> '{S_}')"""]
+    q["zero_shot"] = _q(*nb_transfer(*zs_head, keys=["source"], keep=["target"]),
+                        *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
+    src_nt = split_cte("srcsp", f"(SELECT id, lang, label FROM split73 WHERE lang <> '{T_}')", [], [0.8], ["train", "dev"])
+    q["joint_train"] = _q(*nb_transfer(L, SPLIT73, src_nt, f"""ta AS (
+  SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'train'
+  UNION ALL SELECT '{T_}' AS target, id, label FROM srcsp WHERE split = 'train')""",
+                                       f"ea AS (SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'test')",
+                                       keys=["target"], keep=[]),
+                          *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
+    both = ("bothtext AS (SELECT id, text FROM labelled UNION ALL "
+            "SELECT -(lb.id + 1) AS id, b.text FROM labelled lb JOIN benchmark b "
+            "ON b.item_id = lb.id % (SELECT count(*) FROM benchmark))")
+    q["translate_train"] = _q(*nb_transfer(L, SPLIT73, src_en, both,
+                                           f"ta AS (SELECT '{T_}' AS target, -(id + 1) AS id, label FROM srcsp WHERE split = 'train')",
+                                           f"ea AS (SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'test')",
+                                           keys=["target"], keep=[], src="bothtext"),
+                              *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
+    q["translate_test"] = _q(*nb_transfer(L, SPLIT73, src_en, both,
+                                          f"ta AS (SELECT '{T_}' AS target, id, label FROM srcsp WHERE split = 'train')",
+                                          f"""ea AS (SELECT '{T_}' AS target, -(id + 1) AS id, label FROM split73
+  WHERE lang = '{T_}' AND split = 'test')""",
+                                          keys=["target"], keep=[], src="bothtext"),
+                             *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
+    pool = """loopool AS (SELECT s.id, s.lang, s.label, t.target FROM split73 s
+  CROSS JOIN (SELECT DISTINCT lang AS target FROM split73) t WHERE s.lang <> t.target)"""
+    q["leave_one_out"] = _q(*nb_transfer(L, SPLIT73, pool, split_cte("loosp", "loopool", ["target"], [0.8], ["train", "dev"]),
+                                         "ta AS (SELECT target, id, label FROM loosp WHERE split = 'train')",
+                                         "ea AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'test')",
+                                         keys=["target"], keep=[]),
+                            *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
+    q["pred_entropy"] = _q(*nb_transfer(*zs_head, keys=["source"], keep=["target"]),
+                           "se AS (SELECT target, id, class, exp(score - max(score) OVER (PARTITION BY target, id)) AS e FROM scores)",
+                           "sp AS (SELECT target, id, class, e / sum(e) OVER (PARTITION BY target, id) AS p FROM se)",
+                           """rh AS (SELECT target, id, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h
+  FROM sp GROUP BY target, id)""",
+                           """mq AS (SELECT s.target, s.class, sum(s.p) / r.n AS q FROM sp s
+  JOIN (SELECT target, count(*) AS n FROM rh GROUP BY target) r ON r.target = s.target GROUP BY s.target, s.class, r.n)""",
+                           select="""SELECT r.target, CAST(r.n AS BIGINT) AS n, round(r.mean_entropy, 6) AS mean_entropy,
+  round(d.diversity, 6) AS diversity
+FROM (SELECT target, count(*) AS n, avg(h) AS mean_entropy FROM rh GROUP BY target) r
+JOIN (SELECT target, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) AS diversity FROM mq GROUP BY target) d
+  ON d.target = r.target""")
+    q["coral_distance"] = _q(
+        "ce AS (SELECT vec_id, CASE WHEN label < 5 THEN 0 ELSE 1 END AS domain, embedding FROM embeddings)",
+        "cx AS (SELECT vec_id, domain, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM ce)",
+        """cm AS (SELECT a.domain, a.i, b.i AS j, sum(a.v * b.v) AS sxx FROM cx a JOIN cx b ON a.vec_id = b.vec_id
+  GROUP BY a.domain, a.i, b.i)""",
+        "cu AS (SELECT domain, i, avg(v) AS m, count(*) AS n FROM cx GROUP BY domain, i)",
+        """cc AS (SELECT o.domain, o.i, o.j, (o.sxx / a.n - a.m * b.m) * a.n / (a.n - 1) AS c FROM cm o
+  JOIN cu a ON a.domain = o.domain AND a.i = o.i JOIN cu b ON b.domain = o.domain AND b.i = o.j)""",
+        select="""SELECT CAST(max(s.i) AS BIGINT) AS d,
+  CAST((SELECT max(n) FROM cu WHERE domain = 0) AS BIGINT) AS n_source,
+  CAST((SELECT max(n) FROM cu WHERE domain = 1) AS BIGINT) AS n_target,
+  round(sum((s.c - t.c) * (s.c - t.c)) / (4 * max(s.i) * max(s.i)), 6) AS coral
+FROM cc s JOIN cc t ON s.i = t.i AND s.j = t.j AND s.domain = 0 AND t.domain = 1""")
+    return q

@@ -22,6 +22,13 @@ NAMES = [
     # naive Bayes, selection, evaluation
     "nb_predict", "nb_grid_best", "best_checkpoint", "constant_baseline", "nb_metrics", "slice_metrics",
     "transfer_matrix",
+    # few-shot labelling
+    "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_sweep",
+    # unlabelled corpus
+    "token_blocks", "mlm_mask", "bigram_perplexity",
+    # transfer protocols and domain distances
+    "in_language", "zero_shot", "joint_train", "translate_train", "translate_test", "leave_one_out",
+    "pred_entropy", "coral_distance",
 ]
 
 QUERIES = {n: getattr(C, n) for n in NAMES}
@@ -31,4 +38,5 @@ def oracle() -> dict[str, str]:
     from lexiflow.plans import oracle as O
 
     sql = O.build()
+    sql.update(O.build_more())
     return {n: sql[n] for n in NAMES if n in sql}
