@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lexiflow.functions.text import label_to_id
+from lexiflow.session import materialize
 
 ALPHAS = [1e-3, 0.1, 1.0, 10.0, 1e3]  # fixed grid of the reference
 
@@ -38,8 +39,8 @@ def fit(train_x: DataFrame, train_docs: DataFrame, vocab_size: DataFrame, key_co
     alpha_col = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
     class_docs = train_docs.groupBy(*key_cols, label_col).agg(F.count(F.lit(1)).alias("n_c"))
     per_key = Window.partitionBy(*key_cols)
-    ct = (train_x.join(train_docs.select(*key_cols, id_col, label_col), [*key_cols, id_col])
-          .groupBy(*key_cols, label_col, "term_index").agg(F.sum("x").alias("n_ct")))
+    ct = materialize(train_x.join(train_docs.select(*key_cols, id_col, label_col), [*key_cols, id_col])
+                     .groupBy(*key_cols, label_col, "term_index").agg(F.sum("x").alias("n_ct")))
     nc = ct.groupBy(*key_cols, label_col).agg(F.sum("n_ct").alias("n_c_terms"))
     classes = (class_docs.join(nc, [*key_cols, label_col], "left")
                .join(vocab_size, key_cols)
@@ -55,7 +56,7 @@ def fit(train_x: DataFrame, train_docs: DataFrame, vocab_size: DataFrame, key_co
     weights = ct.select(*key_cols, label_col, "term_index", alpha_col, "n_ct")
     weights = weights.select(*key_cols, "alpha", label_col, "term_index",
                              F.log((F.col("n_ct") + F.col("alpha")) / F.col("alpha")).alias("w"))
-    return classes, weights
+    return materialize(classes), weights
 
 
 def scores(eval_x: DataFrame, eval_docs: DataFrame, classes: DataFrame, weights: DataFrame,

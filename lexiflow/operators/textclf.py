@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.operators import features as FE
 from lexiflow.operators import naive_bayes as NB
+from lexiflow.session import materialize
 
 FEATURE_SETS = [(w, m) for m in (1, 2, 3) for w in ("count", "tfidf")]  # 6 sets of the grid
 
@@ -42,7 +43,7 @@ def featurize(terms: DataFrame, train_assign: DataFrame, eval_assign: DataFrame,
     tr_terms = (terms.join(tr_ids, id_col).select(*key_cols, id_col, "n", "term", "tf", rng)
                 .where(F.col("n") <= F.col("ngram_max")))
     tr_docs = tr_ids.select(*key_cols, id_col, rng)
-    vocab = FE.fit_vocab(tr_terms, tr_docs, kr, min_df, max_df, k)
+    vocab = materialize(FE.fit_vocab(tr_terms, tr_docs, kr, min_df, max_df, k))
     ev_terms = (terms.join(ev_ids, id_col).select(*key_cols, id_col, "n", "term", "tf", rng)
                 .where(F.col("n") <= F.col("ngram_max")))
     tr_counts = FE.term_counts(tr_terms, vocab, kr, id_col)
@@ -71,7 +72,7 @@ def featurize(terms: DataFrame, train_assign: DataFrame, eval_assign: DataFrame,
                     for w, m in feature_sets])).alias("_fs"))
                 .select(*key_cols, "_fs.feature_set", "_fs.ngram_max"))
     sizes = vocab.groupBy(*kr).agg(F.count(F.lit(1)).alias("V"))
-    vocab_size = (all_keys.join(sizes, kr, "left").fillna(0, ["V"]).drop("ngram_max"))
+    vocab_size = materialize(all_keys.join(sizes, kr, "left").fillna(0, ["V"]).drop("ngram_max"))
     return train_x, eval_x, vocab, vocab_size
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as TX
+from lexiflow.session import materialize
 from lexiflow.functions.hashing import hash_key
 from lexiflow.operators import features as FE
 from lexiflow.operators import metrics as M
@@ -35,13 +36,13 @@ _SHARED: dict = {}
 
 
 def shared(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """Session-wide persisted intermediate (narrow assignment tables and
-    per-document term counts) shared by every query that needs it.  Blocks
-    lost with an executor are recomputed from lineage."""
+    """Session-wide intermediate (narrow assignment tables and per-document
+    term counts) written once to the checkpoint folder and shared by every
+    query that needs it."""
     key = (id(spark), spark.sparkContext.applicationId, sf, name)
     df = _SHARED.get(key)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        df = materialize(build())
         _SHARED[key] = df
     return df
 
@@ -618,3 +619,75 @@ def pred_entropy(spark, sf):
 
 def coral_distance(spark, sf):
     return XF.coral_distance(T.domains(spark, sf), "domain", "embedding")
+
+
+# --- 2.11 pyspark.ml classifiers (rows-only checks) --------------------------------------
+from lexiflow.operators import classifiers as CL  # noqa: E402
+
+# Reduced tree/round counts for the registered runs (the full reference grid
+# is CL.FOREST / CL.ADABOOST; the code path is identical).
+FOREST_RUN = [(5, 50), (2, 100)]
+ADABOOST_RUN = [("gini", 5, 0.1, 10), ("entropy", 3, 1.0, 10), ("gini", 2, 1.0, 10)]
+DENSE_VOCAB = 2000  # vocabulary cap for the dense-input models (RFF, MLP)
+
+
+def _clf_data(spark, sf, tfidf=False, vocab_size=FE.TOP_K):
+    key = f"clf_{int(tfidf)}_{vocab_size}"
+
+    def build():
+        docs = _with_text(spark, sf, _split3(spark, sf).select("id", "lang", "label", "split"))
+        v = CL.vectorize(docs, F.col("split") == "train", tfidf=tfidf, vocab_size=vocab_size)
+        return v.select("id", "lang", "label", "split", "y", "features")
+    return shared(spark, sf, key, build)
+
+
+def svm_linear(spark, sf):
+    return CL.run_grid(spark, CL.linear_svm_jobs(_clf_data(spark, sf)))
+
+
+def svm_rff(spark, sf):
+    return CL.run_grid(spark, CL.rff_svm_jobs(_clf_data(spark, sf, vocab_size=DENSE_VOCAB)))
+
+
+def logreg(spark, sf):
+    return CL.run_grid(spark, CL.logreg_jobs(_clf_data(spark, sf, tfidf=True)))
+
+
+def forest(spark, sf):
+    return CL.run_grid(spark, CL.forest_jobs(_clf_data(spark, sf), FOREST_RUN))
+
+
+def adaboost(spark, sf):
+    return CL.run_grid(spark, CL.adaboost_jobs(_clf_data(spark, sf), ADABOOST_RUN), parallelism=3)
+
+
+def mlp(spark, sf):
+    return CL.run_grid(spark, CL.mlp_jobs(_clf_data(spark, sf, vocab_size=DENSE_VOCAB)))
+
+
+def _domains_split(spark, sf):
+    d = T.domains(spark, sf).withColumnRenamed("vec_id", "id")
+    return S.split_70_30(d, ["domain"], SEED)
+
+
+def domain_gap(spark, sf):
+    """XFR-07: how well a linear classifier separates source from target."""
+    return CL.proxy_a_distance(_domains_split(spark, sf), "domain", "embedding")
+
+
+def coral_transfer(spark, sf):
+    """XFR-09: train on source embeddings (task label = label parity), test on
+    target, without and with CORAL alignment of the source."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    d = T.domains(spark, sf).withColumn("y", (F.col("label") % 2).cast("double"))
+    aligned = XF.coral_align(d, "domain", "embedding")
+    rows = []
+    for method, col in (("none", F.col("embedding").cast("array<double>")), ("coral", F.col("aligned"))):
+        x = aligned.withColumn("features", array_to_vector(col))
+        m = LogisticRegression(labelCol="y", maxIter=100).fit(x.where(F.col("domain") == 0))
+        p = m.transform(x.where(F.col("domain") == 1))
+        rows.append(p.agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("n_target"),
+                          F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), R6).alias("accuracy")))
+    return rows[0].unionByName(rows[1])

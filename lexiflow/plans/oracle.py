@@ -311,10 +311,10 @@ FROM metrics m JOIN cc c ON c.lang = m.lang AND c.label = m.constant""")
   row_number() OVER (PARTITION BY lang ORDER BY round(dev_f1, 9) DESC NULLS LAST, {fs_pos}) = 1 AS best_feature_set,
   round(train_acc, 6) AS train_acc, round(dev_f1, 6) AS dev_f1, round(test_acc, 6) AS test_acc,
   round(test_f1, 6) AS test_f1, round(test_bacc, 6) AS test_bacc FROM b1""")
-    q["best_checkpoint"] = _q(*grid, f"""st AS (SELECT *, CAST({fs_pos} * 10 + {alpha_pos} AS BIGINT) AS step FROM gw)""",
+    q["best_checkpoint"] = _q(*grid, f"""ckp AS (SELECT *, CAST({fs_pos} * 10 + {alpha_pos} AS BIGINT) AS step FROM gw)""",
                               select="""SELECT lang, step AS best_step, round(dev_bacc, 6) AS dev_bacc,
   round(test_f1, 6) AS test_f1, round(test_bacc, 6) AS test_bacc FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(dev_bacc, 9) DESC NULLS LAST, step) AS r FROM st)
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(dev_bacc, 9) DESC NULLS LAST, step) AS r FROM ckp)
 WHERE r = 1""")
     q["slice_metrics"] = _q(L, SPLIT3, "ta AS (SELECT 'pooled' AS model, id, label FROM split3 WHERE split = 'train')",
                             "ea AS (SELECT 'pooled' AS model, id, label, lang AS slice FROM split3 WHERE split = 'test')",

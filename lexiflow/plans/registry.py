@@ -29,6 +29,8 @@ NAMES = [
     # transfer protocols and domain distances
     "in_language", "zero_shot", "joint_train", "translate_train", "translate_test", "leave_one_out",
     "pred_entropy", "coral_distance",
+    # pyspark.ml classifiers and embedding-space transfer (rows-only)
+    "svm_linear", "svm_rff", "logreg", "forest", "adaboost", "mlp", "domain_gap", "coral_transfer",
 ]
 
 QUERIES = {n: getattr(C, n) for n in NAMES}

@@ -52,3 +52,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Eagerly write ``df`` to the reliable checkpoint folder and continue
+    from the written copy.
+
+    Used for *fitted* artefacts (vocabularies, model tables, context
+    examples) and for session-shared narrow tables: later plans read a small
+    scan instead of re-deriving the lineage in every branch that uses it, and
+    a lost executor costs a re-read, not a recomputation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
