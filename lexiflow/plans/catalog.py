@@ -16,6 +16,7 @@ from lexiflow.functions import text as TX
 from lexiflow.session import materialize
 from lexiflow.functions.hashing import hash_key
 from lexiflow.operators import features as FE
+from lexiflow.operators import lexicon as LX
 from lexiflow.operators import metrics as M
 from lexiflow.operators import splits as S
 from lexiflow.operators import textclf as TC
@@ -103,22 +104,14 @@ def strip_mentions(spark, sf):
                     F.size(TX.ws_tokens("text")).cast("bigint").alias("n_tokens"))
 
 
-def _lexicon_hits(spark, sf):
-    lab = _lab(spark, sf)
-    toks = lab.select("id", F.posexplode(TX.ws_tokens("text")).alias("pos", "word"))
-    return toks.join(T.lexicon(spark, sf), "word", "left_semi")
-
-
 def lexicon_semijoin(spark, sf):
-    return _lexicon_hits(spark, sf).select("id", F.col("pos").cast("bigint").alias("pos"), "word")
+    hits = LX.lexicon_hits(_lab(spark, sf), T.lexicon(spark, sf))
+    return hits.select("id", F.col("pos").cast("bigint").alias("pos"), "word")
 
 
 def lexicon_keep(spark, sf):
-    hits = _lexicon_hits(spark, sf)
-    kept = hits.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]),
-                     " ").alias("text"))
-    return _lab(spark, sf).select("id", "lang", "label").join(kept, "id")
+    lab = _lab(spark, sf).select("id", "lang", "label", "text")
+    return LX.keep_lexicon_words(lab, T.lexicon(spark, sf))
 
 
 def word_tokens(spark, sf):
