@@ -64,23 +64,33 @@ def mlm_mask(blocks: DataFrame, keys: list[str], ids_col: str = "ids", seed=42,
     """COR-03: choose ``percent`` % of positions by a seeded hash of (keys,
     position); of those 80 % become the mask id, 10 % a hashed random id,
     10 % stay.  Adds ``masked_ids`` and ``targets`` (original id where chosen,
-    -100 elsewhere)."""
+    -100 elsewhere).
+
+    One md5 digest per position drives all three draws (hex digits 1-8: chosen,
+    9-16: replacement kind, 17-24: random id); the digests are computed once
+    as an array column and both outputs read it.
+    """
     mask_id = vocab + 1 if mask_id is None else mask_id
-    ids = F.col(ids_col)
     kcols = [F.col(k) for k in keys]
 
-    def choose(i):
-        return hash_mod(seed, *kcols, i, 100) < percent
+    def part(h, start, n):
+        return F.pmod(F.conv(F.substring(h, start, 8), 16, 10).cast("bigint"), F.lit(n))
+
+    hashed = blocks.withColumn("_h", F.transform(F.col(ids_col), lambda x, i: hash_key(seed, *kcols, i)))
+    z = F.arrays_zip(F.col(ids_col).alias("x"), F.col("_h").alias("h"))
+
+    def replace(e):
+        chosen = part(e["h"], 1, 100) < percent
+        r = part(e["h"], 9, 10)
+        return (F.when(~chosen, e["x"]).when(r < 8, F.lit(mask_id))
+                .when(r < 9, part(e["h"], 17, vocab) + 1).otherwise(e["x"]))
 
-    def replace(i, x):
-        r = hash_mod(seed, "r", *kcols, i, 10)
-        rnd = hash_mod(seed, "t", *kcols, i, vocab) + 1
-        return F.when(~choose(i), x).when(r < 8, F.lit(mask_id)).when(r < 9, rnd).otherwise(x)
+    def target(e):
+        return F.when(part(e["h"], 1, 100) < percent, e["x"]).otherwise(F.lit(IGNORE_INDEX))
 
-    return blocks.select(
-        "*",
-        F.transform(ids, lambda x, i: replace(i, x)).alias("masked_ids"),
-        F.transform(ids, lambda x, i: F.when(choose(i), x).otherwise(F.lit(IGNORE_INDEX))).alias("targets"))
+    return hashed.select(*[c for c in blocks.columns],
+                         F.transform(z, replace).alias("masked_ids"),
+                         F.transform(z, target).alias("targets"))
 
 
 def masked_accuracy(pred: DataFrame, keys: list[str], targets_col: str = "targets",

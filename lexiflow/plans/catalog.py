@@ -684,3 +684,39 @@ def coral_transfer(spark, sf):
         rows.append(p.agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("n_target"),
                           F.round(F.avg((F.col("prediction") == F.col("y")).cast("double")), R6).alias("accuracy")))
     return rows[0].unionByName(rows[1])
+
+
+# --- 2.10 BPE vocabularies (rows-only) --------------------------------------------------------
+from lexiflow.operators import bpe as BP  # noqa: E402
+
+BPE_PAIRS_PER_ROUND = 2000  # batch mode for the registered runs; 1 = exact sequential BPE
+_BPE: dict = {}
+
+
+def _bpe_texts(spark, sf):
+    """BPE is learned on train + dev text (Q20)."""
+    sp = _split3(spark, sf).where(F.col("split").isin("train", "dev")).select("id")
+    return _with_text(spark, sf, sp)
+
+
+def _bpe_model(spark, sf, byte_level: bool):
+    key = (id(spark), spark.sparkContext.applicationId, sf, byte_level)
+    if key not in _BPE:
+        _BPE[key] = BP.learn(_bpe_texts(spark, sf), byte_level=byte_level,
+                             limit_alphabet=None if byte_level else BP.LIMIT_ALPHABET,
+                             pairs_per_round=BPE_PAIRS_PER_ROUND)
+    return _BPE[key]
+
+
+def bpe_vocab(spark, sf):
+    return BP.vocab_table(spark, *_bpe_model(spark, sf, False))
+
+
+def bpe_vocab_bytes(spark, sf):
+    return BP.vocab_table(spark, *_bpe_model(spark, sf, True))
+
+
+def bpe_encode(spark, sf):
+    alphabet, merges = _bpe_model(spark, sf, False)
+    pieces = BP.encode(_lab(spark, sf).select("id", "text"), alphabet, merges)
+    return BP.encoded_docs(pieces).select("id", "length", "tokenized")

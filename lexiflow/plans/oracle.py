@@ -437,15 +437,15 @@ GROUP BY w.lang, w.shots, w.seed""")
     q["token_blocks"] = _q(*blocks_ctes(), select="""SELECT lang, batch, block, CAST(len(toks) AS BIGINT) AS n_tokens,
   array_to_string(toks, ' ') AS text FROM blk""")
     key = "lang, batch, block"
-    ch = lambda i: f"({sql_hash_mod(SEED, 'lang', 'batch', 'block', i, 100)} < 15)"
-    rr = lambda i: sql_hash_mod(SEED, repr('r'), 'lang', 'batch', 'block', i, 10)
-    rnd = lambda i: f"({sql_hash_mod(SEED, repr('t'), 'lang', 'batch', 'block', i, C.HASH_VOCAB)} + 1)"
+    hk = sql_hash_key(SEED, "lang", "batch", "block", "(i - 1)")
+    part = lambda a, n: f"(CAST(('0x' || substr({hk}, {a}, 8)) AS BIGINT) % {n})"
+    ch = f"({part(1, 100)} < 15)"
     ids = f"list_transform(toks, lambda x: {sql_hash_mod(repr('tok'), 'x', C.HASH_VOCAB)} + 1)"
     q["mlm_mask"] = _q(*blocks_ctes(), f"bi AS (SELECT {key}, {ids} AS ids FROM blk)",
                        f"""bm AS (SELECT {key},
-  list_transform(ids, lambda x, i: CASE WHEN NOT {ch('(i - 1)')} THEN x WHEN {rr('(i - 1)')} < 8 THEN {C.HASH_VOCAB + 1}
-                                        WHEN {rr('(i - 1)')} < 9 THEN {rnd('(i - 1)')} ELSE x END) AS masked,
-  list_transform(ids, lambda x, i: CASE WHEN {ch('(i - 1)')} THEN x ELSE -100 END) AS targets FROM bi)""",
+  list_transform(ids, lambda x, i: CASE WHEN NOT {ch} THEN x WHEN {part(9, 10)} < 8 THEN {C.HASH_VOCAB + 1}
+                                        WHEN {part(9, 10)} < 9 THEN {part(17, C.HASH_VOCAB)} + 1 ELSE x END) AS masked,
+  list_transform(ids, lambda x, i: CASE WHEN {ch} THEN x ELSE -100 END) AS targets FROM bi)""",
                        select=f"""SELECT {key}, CAST(len(list_filter(targets, lambda t: t <> -100)) AS BIGINT) AS n_masked,
   array_to_string(masked, ',') AS masked_ids, array_to_string(targets, ',') AS targets FROM bm""")
     wt = sql_word_tokens("text")
