@@ -46,8 +46,12 @@ def featurize(terms: DataFrame, train_assign: DataFrame, eval_assign: DataFrame,
     vocab = materialize(FE.fit_vocab(tr_terms, tr_docs, kr, min_df, max_df, k))
     ev_terms = (terms.join(ev_ids, id_col).select(*key_cols, id_col, "n", "term", "tf", rng)
                 .where(F.col("n") <= F.col("ngram_max")))
+    # in-vocabulary counts are written once: every feature set, the NB fit and
+    # both scoring aggregates read them instead of re-joining the term table
     tr_counts = FE.term_counts(tr_terms, vocab, kr, id_col)
-    ev_counts = FE.term_counts(ev_terms, vocab, kr, id_col)
+    if len(feature_sets) > 1:
+        tr_counts = materialize(tr_counts)
+    ev_counts = materialize(FE.term_counts(ev_terms, vocab, kr, id_col))
     idf_tbl = FE.idf(vocab, kr)
 
     def weigh(counts, weighting, m):
