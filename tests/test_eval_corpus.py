@@ -116,3 +116,10 @@ def test_naive_bayes_matches_plain_python(spark):
         tot = sum(counts[c].values()) + len(vocab)
         s = prior[c] + sum(v * math.log((counts[c].get(t, 0) + 1) / tot) for t, v in x.items())
         assert abs(got[c] - s) < 1e-9
+
+
+def test_answer_span_mean_uses_last_tokens_only(spark):
+    rows = [(1, "positive", i, lp, 5, 2) for i, lp in enumerate([-9.0, -9.0, -9.0, -1.0, -3.0])]
+    df = spark.createDataFrame(rows, "id long, candidate string, pos int, logp double, n_tokens int, ans_len int")
+    got = FS.answer_span_mean(df, ["id", "candidate"]).first()["answer_ll"]
+    assert got == -2.0
