@@ -30,7 +30,8 @@ ALPHAS = [1e-3, 0.1, 1.0, 10.0, 1e3]  # fixed grid of the reference
 
 def fit(train_x: DataFrame, train_docs: DataFrame, vocab_size: DataFrame, key_cols: list[str],
         alphas: list[float] = (1.0,), label_col: str = "label", id_col: str = "id"):
-    """Return (classes, weights).
+    """Return (classes, term_counts) — classes per (key, alpha, label) with
+    prior and floor; term counts (key, label, term_index, n_ct).
 
     train_x:    (key..., id, term_index, x)   non-zero features of training docs
     train_docs: (key..., id, label)           every training document
@@ -53,22 +54,32 @@ def fit(train_x: DataFrame, train_docs: DataFrame, vocab_size: DataFrame, key_co
                              F.when(F.col("V") > 0,
                                     F.log(F.col("alpha") / (F.col("n_c_terms") + F.col("alpha") * F.col("V"))))
                              .otherwise(F.lit(0.0)).alias("floor"))
-    weights = ct.select(*key_cols, label_col, "term_index", alpha_col, "n_ct")
-    weights = weights.select(*key_cols, "alpha", label_col, "term_index",
-                             F.log((F.col("n_ct") + F.col("alpha")) / F.col("alpha")).alias("w"))
-    return materialize(classes), weights
+    # per-class term counts are the weights for every alpha: scoring sums
+    # x * ln((N_ct + alpha) / alpha) for all alphas in one aggregate
+    return materialize(classes), ct
 
 
-def scores(eval_x: DataFrame, eval_docs: DataFrame, classes: DataFrame, weights: DataFrame,
-           key_cols: list[str], label_col: str = "label", id_col: str = "id") -> DataFrame:
+def scores(eval_x: DataFrame, eval_docs: DataFrame, classes: DataFrame, term_counts: DataFrame,
+           key_cols: list[str], alphas: list[float] = (1.0,), label_col: str = "label",
+           id_col: str = "id") -> DataFrame:
     """Class scores of every evaluation document:
-    (key..., alpha, id, <eval_docs columns>, class, score)."""
+    (key..., alpha, id, <eval_docs columns>, class, score).
+
+    The sparse part joins features with per-class term counts once (no
+    alpha fan-out of the join) and sums one column per alpha; the small
+    (doc, class) result is then unpivoted to one row per alpha."""
     length = eval_x.groupBy(*key_cols, id_col).agg(F.sum("x").alias("_len"))
     docs = eval_docs.join(length, [*key_cols, id_col], "left").fillna(0.0, ["_len"])
     cls = classes.withColumnRenamed(label_col, "class")
     base = docs.join(cls, key_cols).withColumn("_base", F.col("prior") + F.col("_len") * F.col("floor"))
-    sparse = (eval_x.join(weights.withColumnRenamed(label_col, "class"), [*key_cols, "term_index"])
-              .groupBy(*key_cols, "alpha", id_col, "class").agg(F.sum(F.col("x") * F.col("w")).alias("_sp")))
+    j = eval_x.join(term_counts.withColumnRenamed(label_col, "class"), [*key_cols, "term_index"])
+    sums = [F.sum(F.col("x") * F.log((F.col("n_ct") + F.lit(float(a))) / F.lit(float(a)))).alias(f"_s{i}")
+            for i, a in enumerate(alphas)]
+    sp = j.groupBy(*key_cols, id_col, "class").agg(*sums)
+    z = F.arrays_zip(F.array(*[F.lit(float(a)) for a in alphas]).alias("alpha"),
+                     F.array(*[F.col(f"_s{i}") for i in range(len(alphas))]).alias("_sp"))
+    sparse = sp.select(*key_cols, id_col, "class", F.explode(z).alias("_z")) \
+        .select(*key_cols, id_col, "class", F.col("_z.alpha").alias("alpha"), F.col("_z._sp").alias("_sp"))
     out = base.join(sparse, [*key_cols, "alpha", id_col, "class"], "left")
     return (out.withColumn("score", F.col("_base") + F.coalesce(F.col("_sp"), F.lit(0.0)))
             .drop("_base", "_sp", "_len", "prior", "floor"))

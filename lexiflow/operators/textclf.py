@@ -97,9 +97,9 @@ def naive_bayes_run(terms: DataFrame, train_assign: DataFrame, eval_assign: Data
                                                feature_sets, id_col=id_col, **vocab_kw)
     kf = key_cols + ["feature_set"]
     tr_docs = with_feature_sets(train_assign.select(*key_cols, id_col, label_col), feature_sets)
-    classes, weights = NB.fit(train_x, tr_docs, vocab_size, kf, alphas, label_col, id_col)
+    classes, term_counts = NB.fit(train_x, tr_docs, vocab_size, kf, alphas, label_col, id_col)
     ev_docs = with_feature_sets(eval_assign.select(*key_cols, id_col, label_col, *keep_cols), feature_sets)
-    sc = NB.scores(eval_x, ev_docs, classes, weights, kf, label_col, id_col)
+    sc = NB.scores(eval_x, ev_docs, classes, term_counts, kf, list(alphas), label_col, id_col)
     if return_scores:
         return sc
     return NB.predict(sc, kf, [label_col, *keep_cols], id_col)
