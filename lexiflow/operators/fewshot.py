@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions.text import LABELS, label_to_id, template, word_tokens
 from lexiflow.operators.rank import hash_rank
 from lexiflow.operators.splits import class_sample, dedupe_last_label
+from lexiflow.session import materialize
 
 START = "<s>"
 ALPHA = 1.0
@@ -74,15 +75,17 @@ def bigram_scores(examples: DataFrame, rows: DataFrame, group_cols: list[str], a
     tokens score 0.
     """
     g = group_cols
-    ex = examples
+    # the model (examples and their count tables, bounded by 3N examples per
+    # group) is fitted once and written; scoring only reads it
+    ex = materialize(examples.select(*g, "label", text_col))
     ex_ev = _events(ex.select(*g, F.col("label").alias("candidate"), text_col),
                     g + ["candidate"], word_tokens(text_col))
-    n2 = ex_ev.groupBy(*g, "candidate", "prev", "w").agg(F.count(F.lit(1)).alias("n2"))
-    n1 = ex_ev.groupBy(*g, "candidate", "prev").agg(F.count(F.lit(1)).alias("n1"))
+    n2 = materialize(ex_ev.groupBy(*g, "candidate", "prev", "w").agg(F.count(F.lit(1)).alias("n2")))
+    n1 = materialize(ex_ev.groupBy(*g, "candidate", "prev").agg(F.count(F.lit(1)).alias("n1")))
     vocab = (ex.select(*g, F.explode(word_tokens(text_col)).alias("w")).distinct()
              .groupBy(*g).agg((F.count(F.lit(1)) + 1).alias("V")))
-    classes = examples.select(*g, F.col("label").alias("candidate")).distinct().join(vocab, g, "left") \
-        .fillna(1, ["V"])
+    classes = materialize(ex.select(*g, F.col("label").alias("candidate")).distinct().join(vocab, g, "left")
+                          .fillna(1, ["V"]))
     a = F.lit(float(alpha))
     ev = (_events(rows.select(*g, id_col, text_col), g + [id_col], word_tokens(text_col))
           .groupBy(*g, id_col, "prev", "w").agg(F.count(F.lit(1)).alias("m")))

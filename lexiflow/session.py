@@ -38,6 +38,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_CONFIGURED: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -45,12 +48,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) a private scratch folder is
     created and registered, so reliable ``checkpoint()`` works everywhere.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared, fault-tolerant folder on a cluster")
         path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if _CONFIGURED.get(sc.applicationId) != path:
+        sc.setCheckpointDir(path)
+        _CONFIGURED[sc.applicationId] = path
     return path
 
 
