@@ -720,3 +720,29 @@ def bpe_encode(spark, sf):
     alphabet, merges = _bpe_model(spark, sf, False)
     pieces = BP.encode(_lab(spark, sf).select("id", "text"), alphabet, merges)
     return BP.encoded_docs(pieces).select("id", "length", "tokenized")
+
+
+def answer_span_ll(spark, sf):
+    """EVL-09: every dev row x candidate label is completed with the prompt
+    template; a bigram LM of the group's context lines scores each token;
+    the score is the mean log-probability over the answer span (the
+    candidate's tokens) only."""
+    ex = _fs_examples(spark, sf)
+    ctx = ex.select("lang", TX.word_tokens(TX.template("text", "label")).alias("t"))
+    ev = CO.bigram_events(ctx, ["lang"], F.col("t"))
+    n2 = ev.groupBy("lang", "prev", "w").agg(F.count(F.lit(1)).alias("n2"))
+    n1 = ev.groupBy("lang", "prev").agg(F.count(F.lit(1)).alias("n1"))
+    V = ctx.select("lang", F.explode("t").alias("w")).groupBy("lang").agg((F.countDistinct("w") + 1).alias("V"))
+    rows = _fs_dev(spark, sf).withColumn("candidate", F.explode(F.array(*[F.lit(x) for x in TX.LABELS])))
+    seq = rows.select("lang", "id", "candidate", TX.word_tokens(TX.template("text", "candidate")).alias("t"),
+                      F.size(TX.word_tokens("candidate")).alias("ans_len"))
+    prev = F.slice(F.concat(F.array(F.lit(CO.START)), F.col("t")), 1, F.size("t"))
+    tok = seq.select("lang", "id", "candidate", "ans_len", F.size("t").alias("n_tokens"),
+                     F.posexplode(F.arrays_zip(prev.alias("prev"), F.col("t").alias("w"))).alias("pos", "_e")) \
+        .select("lang", "id", "candidate", "ans_len", "n_tokens", "pos",
+                F.col("_e.prev").alias("prev"), F.col("_e.w").alias("w"))
+    span = tok.where(F.col("pos") >= F.col("n_tokens") - F.col("ans_len"))
+    lp = (span.join(n2, ["lang", "prev", "w"], "left").join(n1, ["lang", "prev"], "left").join(V, "lang")
+          .withColumn("logp", F.log((F.coalesce("n2", F.lit(0)) + 1.0) / (F.coalesce("n1", F.lit(0)) + F.col("V")))))
+    out = FS.answer_span_mean(lp, ["lang", "id", "candidate"])
+    return out.select("lang", "id", "candidate", F.round("answer_ll", R6).alias("answer_ll"))

@@ -433,6 +433,25 @@ FROM wide w JOIN split73 s ON s.id = w.id""")
 FROM wide w JOIN srows r ON r.lang = w.lang AND r.shots = w.shots AND r.seed = w.seed AND r.id = w.id
 GROUP BY w.lang, w.shots, w.seed""")
 
+    tpl_ex = sql_word_tokens(sql_template("text", "label"))
+    tpl_dev = sql_word_tokens(sql_template("d.text", "c.candidate"))
+    labels_v = ", ".join(f"('{x}')" for x in LABEL_IDS)
+    q["answer_span_ll"] = _q(*head, f"actx AS (SELECT lang, {tpl_ex} AS t FROM fsx)",
+                             """acev AS (SELECT * FROM (SELECT lang, unnest(list_concat(['<s>'], t)[1:len(t)]) AS prev,
+  unnest(t) AS w FROM actx) WHERE w IS NOT NULL)""",
+                             "ac2 AS (SELECT lang, prev, w, count(*) AS n2 FROM acev GROUP BY ALL)",
+                             "ac1 AS (SELECT lang, prev, count(*) AS n1 FROM acev GROUP BY ALL)",
+                             "acv AS (SELECT lang, count(DISTINCT w) + 1 AS V FROM (SELECT lang, unnest(t) AS w FROM actx) GROUP BY lang)",
+                             f"""acand AS (SELECT d.lang, d.id, c.candidate, {tpl_dev} AS t,
+  len({sql_word_tokens('c.candidate')}) AS ans_len FROM fsdev d CROSS JOIN (VALUES {labels_v}) c(candidate))""",
+                             """atk AS (SELECT lang, id, candidate, ans_len, len(t) AS n_tokens, generate_subscripts(t, 1) - 1 AS pos,
+  unnest(list_concat(['<s>'], t)[1:len(t)]) AS prev, unnest(t) AS w FROM acand)""",
+                             select="""SELECT k.lang, k.id, k.candidate,
+  round(avg(ln((coalesce(a.n2, 0) + 1.0) / (coalesce(b.n1, 0) + v.V))), 6) AS answer_ll
+FROM atk k LEFT JOIN ac2 a ON a.lang = k.lang AND a.prev = k.prev AND a.w = k.w
+LEFT JOIN ac1 b ON b.lang = k.lang AND b.prev = k.prev JOIN acv v ON v.lang = k.lang
+WHERE k.pos >= k.n_tokens - k.ans_len GROUP BY k.lang, k.id, k.candidate""")
+
     # corpus
     q["token_blocks"] = _q(*blocks_ctes(), select="""SELECT lang, batch, block, CAST(len(toks) AS BIGINT) AS n_tokens,
   array_to_string(toks, ' ') AS text FROM blk""")

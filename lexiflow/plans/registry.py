@@ -23,7 +23,7 @@ NAMES = [
     "nb_predict", "nb_grid_best", "best_checkpoint", "constant_baseline", "nb_metrics", "slice_metrics",
     "transfer_matrix",
     # few-shot labelling
-    "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_sweep",
+    "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_sweep", "answer_span_ll",
     # unlabelled corpus
     "token_blocks", "mlm_mask", "bigram_perplexity",
     # transfer protocols and domain distances
