@@ -8,19 +8,22 @@ holds the equivalent DuckDB SQL under the same name.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as TX
 from lexiflow.session import materialize
-from lexiflow.functions.hashing import hash_key
+from lexiflow.operators import bpe as BP
+from lexiflow.operators import classifiers as CL
+from lexiflow.operators import corpus as CO
+from lexiflow.operators import fewshot as FS
+from lexiflow.operators import transfer as XF
 from lexiflow.operators import features as FE
 from lexiflow.operators import lexicon as LX
 from lexiflow.operators import metrics as M
 from lexiflow.operators import splits as S
 from lexiflow.operators import textclf as TC
-from lexiflow.operators.rank import hash_rank, natural_rank
+from lexiflow.operators.rank import hash_rank
 from lexiflow.sources import tables as T
 
 # Fixed run parameters of the catalogue.
@@ -417,9 +420,6 @@ def _fan_out(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 # --- 2.14 few-shot bulk labelling ---------------------------------------------------------
-from lexiflow.operators import corpus as CO  # noqa: E402
-from lexiflow.operators import fewshot as FS  # noqa: E402
-from lexiflow.operators import transfer as XF  # noqa: E402
 
 SHOTS_GRID = [5, 10, 20]
 ORDER_SEEDS = [42, 7]
@@ -615,7 +615,6 @@ def coral_distance(spark, sf):
 
 
 # --- 2.11 pyspark.ml classifiers (rows-only checks) --------------------------------------
-from lexiflow.operators import classifiers as CL  # noqa: E402
 
 # Reduced tree/round counts for the registered runs (the full reference grid
 # is CL.FOREST / CL.ADABOOST; the code path is identical).
@@ -687,7 +686,6 @@ def coral_transfer(spark, sf):
 
 
 # --- 2.10 BPE vocabularies (rows-only) --------------------------------------------------------
-from lexiflow.operators import bpe as BP  # noqa: E402
 
 BPE_PAIRS_PER_ROUND = 2000  # batch mode for the registered runs; 1 = exact sequential BPE
 _BPE: dict = {}

@@ -8,8 +8,8 @@ physical shapes.  Builders below only assemble SQL text.
 from __future__ import annotations
 
 from lexiflow.functions.hashing import sql_hash_key, sql_hash_mod
-from lexiflow.functions.text import (LABEL_IDS, WORD_PATTERN, sql_label_to_id, sql_template,
-                                     sql_word_tokens, sql_ws_tokens)
+from lexiflow.functions.text import (LABEL_IDS, sql_label_to_id, sql_template, sql_word_tokens,
+                                     sql_ws_tokens)
 from lexiflow.operators.textclf import FEATURE_SETS, feature_set_name
 from lexiflow.operators.naive_bayes import ALPHAS
 from lexiflow.plans import catalog as C
