@@ -50,15 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     created and registered, so reliable ``checkpoint()`` works everywhere.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared, fault-tolerant folder on a cluster")
-        path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if _CONFIGURED.get(sc.applicationId) != path:
+    if sc.applicationId in _CONFIGURED:
+        return _CONFIGURED[sc.applicationId]
+    path = sc.getConf().get("spark.checkpoint.dir", None)
+    if path:
         sc.setCheckpointDir(path)
-        _CONFIGURED[sc.applicationId] = path
+    else:
+        existing = sc.getCheckpointDir()  # set programmatically by the caller
+        if existing:
+            path = existing
+        elif sc.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
+            sc.setCheckpointDir(path)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a shared, fault-tolerant folder on a cluster")
+    _CONFIGURED[sc.applicationId] = path
     return path
 
 
