@@ -72,7 +72,7 @@ def nb_ctes(keys: list[str], feature_sets, alphas, keep: list[str], min_df=7, ma
         f"""trt AS (SELECT {kk('a')}, t.id, t.term, t.tf, r.ngram_max
   FROM terms t JOIN ta a ON a.id = t.id JOIN ranges r ON t.n <= r.ngram_max)""",
         f"ndocs AS (SELECT {kk('a')}, r.ngram_max, count(*) AS n_docs FROM ta a, ranges r GROUP BY ALL)",
-        f"st AS (SELECT {K}, ngram_max, term, sum(tf) AS tf, count(*) AS df FROM trt GROUP BY ALL)",
+        f"st AS (SELECT {K}, ngram_max, term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM trt GROUP BY ALL)",
         f"""kept AS (SELECT st.*, nd.n_docs FROM st JOIN ndocs nd USING ({K}, ngram_max)
   WHERE df >= {min_df} AND df <= {max_df}::DOUBLE * nd.n_docs)""",
         f"""topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K}, ngram_max ORDER BY tf DESC, term) AS r
@@ -266,7 +266,7 @@ FROM (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test' GROUP
     ta = "ta AS (SELECT lang, id, label FROM split3 WHERE split = 'train')"
     ea = "ea AS (SELECT lang, id, label, split FROM split3)"
     q["df_tf"] = _q(L, SPLIT3, ta, terms_cte("labelled", 3), select="""SELECT ta.lang, CAST(t.n AS BIGINT) AS n, t.term,
-  sum(t.tf) AS tf, count(*) AS df FROM terms t JOIN ta ON ta.id = t.id GROUP BY ta.lang, t.n, t.term""")
+  CAST(sum(t.tf) AS BIGINT) AS tf, count(*) AS df FROM terms t JOIN ta ON ta.id = t.id GROUP BY ta.lang, t.n, t.term""")
     for m in (1, 2, 3):
         q[f"vocab_topk_{m}"] = _q(L, SPLIT3, ta, ea, terms_cte("labelled", m),
                                   *nb_ctes(["lang"], [("count", m)], [1.0], ["split"])[:9],
