@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe_tokens, pii_crf, quality_rules, secret_scan, warc_zip
+from lexiflow.llm import bpe_tokens, decontaminate, pii_crf, quality_rules, secret_scan, warc_zip
 from lexiflow.llm.common import table
 
 
@@ -37,7 +37,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op5_byte_bpe, op7_pii_crf, op8_warc_zip, op9_secret_scan)}
+    f.__name__: f for f in (op4_quality_rules, op5_byte_bpe, op7_pii_crf, op8_warc_zip, op9_secret_scan,
+                             op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
