@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe_tokens, pii_crf, quality_rules
-from lexiflow.llm.common import stored
+from lexiflow.llm import bpe_tokens, decontaminate, pii_crf, quality_rules, simhash
+from lexiflow.llm.common import stored, table
 from lexiflow.llm.queries import tokenizer
 
 
@@ -18,6 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id."""
+    return simhash.distinct_documents(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without enough benchmark text to be contaminated."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
     return pii_crf.redact(docs)
@@ -28,7 +38,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_tokens.digests(docs, *tokenizer())
 
 
-STAGES = [("quality", quality), ("personal_data", personal_data), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("personal_data", personal_data), ("tokens", tokens)]
 
 ORACLE_SQL = None  # encoding and message passing have no SQL form
 

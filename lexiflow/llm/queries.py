@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe_tokens, decontaminate, pii_crf, quality_rules, secret_scan, warc_zip
+from lexiflow.llm import bpe_tokens, decontaminate, pii_crf, quality_rules, secret_scan, simhash, warc_zip
 from lexiflow.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tokens.digests(table(spark, sf_dir, "documents", "doc_id", "text"), *tokenizer())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_quality_rules, op5_byte_bpe, op7_pii_crf, op8_warc_zip, op9_secret_scan,
+    f.__name__: f for f in (op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf, op8_warc_zip, op9_secret_scan,
                              op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
