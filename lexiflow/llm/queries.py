@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe_tokens, decontaminate, hmm_lm, pii_crf, quality_rules, secret_scan, simhash, url_filter, warc_zip
+from lexiflow.llm import bpe_tokens, decontaminate, hmm_lm, pii_crf, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc_zip
 from lexiflow.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -54,7 +58,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op3_hmm_lm, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf, op8_warc_zip, op9_secret_scan,
-                             op10_decontaminate)}
+    f.__name__: f for f in (
+        op1_suffix_dedup, op2_url_filter, op3_hmm_lm, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf,
+        op8_warc_zip, op9_secret_scan, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
