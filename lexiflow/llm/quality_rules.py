@@ -174,3 +174,40 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
     rows = judge(stored(measure(docs), "quality"))
     return rows.where("_kept").select(*docs.columns)
+
+
+#: The same counts, sketches, fences and verdicts in DuckDB SQL.
+SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS p FROM d WHERE len(w) > 2)),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words
+        FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q
+              FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (SELECT doc_id, lang, source, n_words, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS metric,
+             unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
+                     1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)]) AS x,
+             unnest([200, 500, 400, 150]) AS slack FROM m),
+b AS (SELECT *, x - x % (CAST(1 AS BIGINT) << greatest(length(bin(x)) - 6, 0)) AS bin FROM v WHERE n_words > 0),
+q AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, metric, any_value(slack) AS slack, count(*) AS docs,
+             list_sort(list(bin)) AS bins FROM b GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
+f AS (SELECT *, bins[CAST(ceil(docs / 4) AS BIGINT)] AS q1, bins[CAST(ceil(docs * 3 / 4) AS BIGINT)] AS q3 FROM q WHERE docs >= 200 OR level = 2),
+best AS (SELECT v.doc_id, v.metric, v.x, f.q1 - 3 * (f.q3 - f.q1) - f.slack AS lo, f.q3 + 3 * (f.q3 - f.q1) + f.slack AS hi
+         FROM v JOIN f ON v.metric = f.metric AND (f.level = 2 OR v.lang IS NOT DISTINCT FROM f.lang AND
+              (f.level = 1 OR v.source IS NOT DISTINCT FROM f.source))
+         QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.metric ORDER BY f.level) = 1),
+bad AS (SELECT doc_id FROM best GROUP BY doc_id HAVING bool_or(x > hi OR metric = 'word_length' AND x < lo))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
+FROM m
+"""

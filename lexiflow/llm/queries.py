@@ -62,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_suffix_dedup, op2_url_filter, op3_hmm_lm, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf,
         op8_warc_zip, op9_secret_scan, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL, "op8_warc_zip": warc_zip.SQL, "op10_decontaminate": decontaminate.SQL}

@@ -79,7 +79,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def grouped_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """64 bit positions in m parts of nearly equal size, correlated bits together:
     a part grows by the free bit with the largest correlation to it."""
-    c = np.nan_to_num(np.abs(np.corrcoef(bits.T))) if len(bits) > 1 else np.zeros((64, 64))
+    with np.errstate(invalid="ignore", divide="ignore"):  # bits that never change
+        c = np.nan_to_num(np.abs(np.corrcoef(bits.T))) if len(bits) > 1 else np.zeros((64, 64))
     np.fill_diagonal(c, 0)
     free, parts = set(range(64)), []
     for k in range(m):
@@ -193,7 +194,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     ``docs``; rows with a null id all stay."""
     found = stored(classes(docs), "classes")
     gone = stored(found.where("id <> component").select(F.col("id").alias("_id")).distinct(), "copies")
-    rest = docs.join(sized(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = sized(gone)
+    rest = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
     again = found.where("id = component").groupBy("id").count().where("count > 1").limit(1).count()
     if again:  # rows that repeat an id
         repeats = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

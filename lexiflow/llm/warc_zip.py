@@ -116,7 +116,7 @@ def directory(f) -> dict[str, tuple[int, int, int]]:
     """
     tail_at = max(0, f.size - 65_557)
     tail = f.read(tail_at, f.size - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
@@ -300,3 +300,16 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
 
 def report(pages: DataFrame) -> DataFrame:
     return round_trip(pages).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: What reading back must give, in DuckDB SQL.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(i // 4 AS BIGINT) * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
