@@ -18,6 +18,8 @@ of its buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,14 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_cols: list, bucket: C
     counts = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     running = Window.partitionBy(*group_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
-    offsets = counts.select(*group_cols, "_bkt",
+    # null-safe keys: rows of a null group, or with a null order key, form groups of their own
+    keys = [*group_cols, "_bkt"]
+    offsets = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
                             F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(whole).alias("_tot"))
     inner = Window.partitionBy(*group_cols, "_bkt").orderBy(*order_cols)
-    out = (b.join(offsets, [*group_cols, "_bkt"])
+    same = reduce(lambda x, y: x & y, [b[c].eqNullSafe(offsets[f"_k{i}"]) for i, c in enumerate(keys)])
+    out = (b.join(offsets, same).drop(*[f"_k{i}" for i in range(len(keys))])
            .withColumn(rank_col, (F.row_number().over(inner) + F.col("_off")).cast("bigint")))
     if total_col:
         out = out.withColumn(total_col, F.col("_tot").cast("bigint"))

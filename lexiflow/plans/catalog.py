@@ -398,27 +398,17 @@ def slice_metrics(spark, sf):
 
 
 def transfer_matrix(spark, sf):
-    """EVL-06: a model per source language scores every language's test
-    split; metrics per (source, target) plus the pooled row per source."""
+    """EVL-06: a model per source language scores every language's dev and
+    test rows; metrics per (source, target) plus the pooled row per source."""
     sp = _split3(spark, sf)
     tr = sp.where(F.col("split") == "train").select(F.col("lang").alias("source"), "id", "label")
-    sources = tr.select("source").distinct()
-    te = sp.where(F.col("split") == "test").select("id", "label", F.col("lang").alias("target"))
-    # every test row is scored by every source model: rows x languages
-    ev = _fan_out(te, sources)
+    ev = sp.where(F.col("split") != "train").select("id", "label", F.col("lang").alias("target"))
+    # every held-out row is scored by every source model: rows x languages
+    ev = XF.fan_out(ev, "source", XF.language_list(tr, "source"))
     p = TC.naive_bayes_run(_terms(spark, sf, 1), tr, ev, ["source"], keep_cols=["target"])
     return M.evaluate(p, ["target", "source"], overall="all")
 
 
-def _fan_out(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Attach every value of a small key table (languages) to every row, as a
-    generator over an array literal built from the key table."""
-    values = [r[0] for r in keys.collect()]
-    if len(values) > 10000:
-        raise ValueError("key table too large to fan out")
-    return rows.withColumn(keys.columns[0], F.explode(F.array(*[F.lit(v) for v in sorted(values)])))
-
-
 # --- 2.14 few-shot bulk labelling ---------------------------------------------------------
 
 SHOTS_GRID = [5, 10, 20]
@@ -535,25 +525,39 @@ def in_language(spark, sf):
     return M.evaluate(p, ["target"], overall="all")
 
 
+def _sources80(spark, sf):
+    """(id, lang, label, split): every language as a source, split 80/20."""
+    return S.split_80_20(_split73(spark, sf).select("id", "lang", "label"), ["lang"], SEED)
+
+
+def _zero_shot_rows(spark, sf):
+    """Every language's source model and the test rows of all other languages."""
+    tr = _sources80(spark, sf).where(F.col("split") == "train").select(F.col("lang").alias("source"), "id", "label")
+    te = _split73(spark, sf).where(F.col("split") == "test").select("id", "label", F.col("lang").alias("target"))
+    ev = XF.fan_out(te, "source", _langs(spark, sf)).where(F.col("source") != F.col("target"))
+    return tr, ev
+
+
 def zero_shot(spark, sf):
-    src = _source_train(spark, sf, _split73(spark, sf).where(F.col("lang") == SOURCE).select("id", "lang", "label"))
-    tr = src.select(F.lit(SOURCE).alias("source"), "id", "label")
-    ev = (_split73(spark, sf).where((F.col("split") == "test") & (F.col("lang") != SOURCE))
-          .select(F.lit(SOURCE).alias("source"), "id", "label", F.col("lang").alias("target")))
+    """XFR-02: per (source, target), and the pooled row per source."""
+    tr, ev = _zero_shot_rows(spark, sf)
     p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "source", ["target"])
-    return M.evaluate(p, ["target"], overall="all")
+    return M.evaluate(p, ["target", "source"], overall="all")
 
 
 def joint_train(spark, sf):
+    """XFR-03: for every target, its training rows and 80 % of all other
+    languages train one model; scored on the target's test rows and on the other 20 %."""
     sp = _split73(spark, sf)
-    tgt = sp.where((F.col("lang") == TARGET) & (F.col("split") == "train")).select("id", "label")
-    src = _source_train(spark, sf, sp.where(F.col("lang") != TARGET).select("id", "lang", "label")) \
-        .select("id", "label")
-    tr = tgt.unionByName(src).select(F.lit(TARGET).alias("target"), "id", "label")
-    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
-        .select(F.lit(TARGET).alias("target"), "id", "label")
-    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "target", [])
-    return M.evaluate(p, ["target"])
+    pool = XF.fan_out(sp.select("id", "lang", "label"), "target", _langs(spark, sf)).where(F.col("lang") != F.col("target"))
+    src = S.split_80_20(pool, ["target"], SEED)
+    own = sp.select(F.col("lang").alias("target"), "id", "label", "split")
+    tr = own.where(F.col("split") == "train").drop("split").unionByName(
+        src.where(F.col("split") == "train").select("target", "id", "label"))
+    ev = own.where(F.col("split") == "test").drop("split").withColumn("slice", F.lit("target")).unionByName(
+        src.where(F.col("split") != "train").select("target", "id", "label").withColumn("slice", F.lit("source")))
+    p = _nb_eval(spark, sf, _terms(spark, sf, 1), tr, ev, "target", ["slice"])
+    return M.evaluate(p, ["target", "slice"])
 
 
 def _terms_translated(spark, sf):
@@ -571,22 +575,27 @@ def _terms_both(spark, sf):
 
 
 def translate_train(spark, sf):
-    sp = _split73(spark, sf)
-    src = _source_train(spark, sf, sp.where(F.col("lang") == SOURCE).select("id", "lang", "label"))
-    tr = src.select(F.lit(TARGET).alias("target"), (-(F.col("id") + 1)).alias("id"), "label")
-    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
-        .select(F.lit(TARGET).alias("target"), "id", "label")
-    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "target", [])
-    return M.evaluate(p, ["target"])
+    """XFR-04: for every target, the translated source training rows and the
+    target's own train one model; scored on the target's test rows and the translated held-out source rows."""
+    sp = _split73(spark, sf).where(F.col("lang") != SOURCE)
+    src = _sources80(spark, sf).where(F.col("lang") == SOURCE).select((-(F.col("id") + 1)).alias("id"), "label", "split")
+    src = XF.fan_out(src, "target", [x for x in _langs(spark, sf) if x != SOURCE])
+    own = sp.select(F.col("lang").alias("target"), "id", "label", "split")
+    cols = ["target", "id", "label"]
+    tr = own.where(F.col("split") == "train").select(*cols).unionByName(src.where(F.col("split") == "train").select(*cols))
+    ev = own.where(F.col("split") == "test").select(*cols, F.lit("target").alias("slice")).unionByName(
+        src.where(F.col("split") != "train").select(*cols, F.lit("source").alias("slice")))
+    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "target", ["slice"])
+    return M.evaluate(p, ["target", "slice"])
 
 
 def translate_test(spark, sf):
-    sp = _split73(spark, sf)
-    src = _source_train(spark, sf, sp.where(F.col("lang") == SOURCE).select("id", "lang", "label"))
-    tr = src.select(F.lit(TARGET).alias("target"), "id", "label")
-    ev = sp.where((F.col("lang") == TARGET) & (F.col("split") == "test")) \
-        .select(F.lit(TARGET).alias("target"), (-(F.col("id") + 1)).alias("id"), "label")
-    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "target", [])
+    """XFR-05: the source model on every target's translated test rows."""
+    tr = _sources80(spark, sf).where((F.col("lang") == SOURCE) & (F.col("split") == "train")) \
+        .select(F.col("lang").alias("source"), "id", "label")
+    ev = _split73(spark, sf).where((F.col("lang") != SOURCE) & (F.col("split") == "test")) \
+        .select(F.lit(SOURCE).alias("source"), (-(F.col("id") + 1)).alias("id"), "label", F.col("lang").alias("target"))
+    p = _nb_eval(spark, sf, _terms_both(spark, sf), tr, ev, "source", ["target"])
     return M.evaluate(p, ["target"])
 
 
@@ -601,13 +610,11 @@ def leave_one_out(spark, sf):
 
 
 def pred_entropy(spark, sf):
-    src = _source_train(spark, sf, _split73(spark, sf).where(F.col("lang") == SOURCE).select("id", "lang", "label"))
-    tr = src.select(F.lit(SOURCE).alias("source"), "id", "label")
-    ev = (_split73(spark, sf).where((F.col("split") == "test") & (F.col("lang") != SOURCE))
-          .select(F.lit(SOURCE).alias("source"), "id", "label", F.col("lang").alias("target")))
+    """XFR-10: entropies of every source model's predictions, per target."""
+    tr, ev = _zero_shot_rows(spark, sf)
     sc = TC.naive_bayes_run(_terms(spark, sf, 1), tr, ev, ["source"], keep_cols=["target"], return_scores=True)
-    probs = XF.softmax_probs(sc, ["target", "id"])
-    return XF.prediction_entropy(probs, ["target"], ["id"])
+    probs = XF.softmax_probs(sc, ["source", "target", "id"])
+    return XF.prediction_entropy(probs, ["source", "target"], ["id"])
 
 
 def coral_distance(spark, sf):

@@ -322,7 +322,7 @@ WHERE r = 1""")
                             *metrics_ctes("pred", ["slice"], overall="all"), select="SELECT * FROM metrics")
     q["transfer_matrix"] = _q(L, SPLIT3, "ta AS (SELECT lang AS source, id, label FROM split3 WHERE split = 'train')",
                               """ea AS (SELECT s.source, t.id, t.label, t.lang AS target
-  FROM split3 t CROSS JOIN (SELECT DISTINCT source FROM ta) s WHERE t.split = 'test')""",
+  FROM split3 t CROSS JOIN (SELECT DISTINCT source FROM ta) s WHERE t.split IN ('dev', 'test'))""",
                               terms_cte("labelled", 1), *nb_ctes(["source"], [("count", 1)], [1.0], ["target"]),
                               *metrics_ctes("pred", ["target", "source"], overall="all"), select="SELECT * FROM metrics")
     return q
@@ -487,57 +487,61 @@ WHERE k.pos >= k.n_tokens - k.ans_len GROUP BY k.lang, k.id, k.candidate""")
   round(exp(sum(m * nll) / sum(m)), 6) AS perplexity FROM pj GROUP BY lang""")
 
     # transfer
-    T_, S_ = C.TARGET, C.SOURCE
+    S_ = "en"
     src_en = split_cte("srcsp", f"(SELECT id, lang, label FROM split73 WHERE lang = '{S_}')", [], [0.8], ["train", "dev"])
     q["in_language"] = _q(*nb_transfer(L, SPLIT73, "ta AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'train')",
                                        "ea AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'test')",
                                        keys=["target"], keep=[]),
                           *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
-    zs_head = [L, SPLIT73, src_en, f"ta AS (SELECT '{S_}' AS source, id, label FROM srcsp WHERE split = 'train')",
-               f"""ea AS (SELECT '{S_}' AS source, id, label, lang AS target FROM split73
-  WHERE split = 'test' AND lang <> '{S_}')"""]
+    zs_head = [L, SPLIT73, split_cte("srcsp", "(SELECT id, lang, label FROM split73)", ["lang"], [0.8], ["train", "dev"]),
+               "ta AS (SELECT lang AS source, id, label FROM srcsp WHERE split = 'train')",
+               """ea AS (SELECT s.source, t.id, t.label, t.lang AS target FROM split73 t
+  JOIN (SELECT DISTINCT lang AS source FROM split73) s ON s.source <> t.lang WHERE t.split = 'test')"""]
     q["zero_shot"] = _q(*nb_transfer(*zs_head, keys=["source"], keep=["target"]),
-                        *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
-    src_nt = split_cte("srcsp", f"(SELECT id, lang, label FROM split73 WHERE lang <> '{T_}')", [], [0.8], ["train", "dev"])
-    q["joint_train"] = _q(*nb_transfer(L, SPLIT73, src_nt, f"""ta AS (
-  SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'train'
-  UNION ALL SELECT '{T_}' AS target, id, label FROM srcsp WHERE split = 'train')""",
-                                       f"ea AS (SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'test')",
-                                       keys=["target"], keep=[]),
-                          *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
+                        *metrics_ctes("pred", ["target", "source"], overall="all"), select="SELECT * FROM metrics")
+    pool = """loopool AS (SELECT s.id, s.lang, s.label, t.target FROM split73 s
+  CROSS JOIN (SELECT DISTINCT lang AS target FROM split73) t WHERE s.lang <> t.target)"""
+    q["joint_train"] = _q(*nb_transfer(L, SPLIT73, pool, split_cte("loosp", "loopool", ["target"], [0.8], ["train", "dev"]), """ta AS (
+  SELECT lang AS target, id, label FROM split73 WHERE split = 'train'
+  UNION ALL SELECT target, id, label FROM loosp WHERE split = 'train')""", """ea AS (
+  SELECT lang AS target, id, label, 'target' AS slice FROM split73 WHERE split = 'test'
+  UNION ALL SELECT target, id, label, 'source' AS slice FROM loosp WHERE split = 'dev')""", keys=["target"], keep=["slice"]),
+                          *metrics_ctes("pred", ["target", "slice"]), select="SELECT * FROM metrics")
     both = ("bothtext AS (SELECT id, text FROM labelled UNION ALL "
             "SELECT -(lb.id + 1) AS id, b.text FROM labelled lb JOIN benchmark b "
             "ON b.item_id = lb.id % (SELECT count(*) FROM benchmark))")
-    q["translate_train"] = _q(*nb_transfer(L, SPLIT73, src_en, both,
-                                           f"ta AS (SELECT '{T_}' AS target, -(id + 1) AS id, label FROM srcsp WHERE split = 'train')",
-                                           f"ea AS (SELECT '{T_}' AS target, id, label FROM split73 WHERE lang = '{T_}' AND split = 'test')",
-                                           keys=["target"], keep=[], src="bothtext"),
-                              *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
+    src_en = split_cte("srcsp", f"(SELECT id, lang, label FROM split73 WHERE lang = '{S_}')", [], [0.8], ["train", "dev"])
+    tgts = f"tgts AS (SELECT DISTINCT lang AS target FROM split73 WHERE lang <> '{S_}')"
+    q["translate_train"] = _q(*nb_transfer(L, SPLIT73, src_en, both, tgts, f"""ta AS (
+  SELECT lang AS target, id, label FROM split73 WHERE lang <> '{S_}' AND split = 'train'
+  UNION ALL SELECT t.target, -(s.id + 1) AS id, s.label FROM srcsp s, tgts t WHERE s.split = 'train')""", f"""ea AS (
+  SELECT lang AS target, id, label, 'target' AS slice FROM split73 WHERE lang <> '{S_}' AND split = 'test'
+  UNION ALL SELECT t.target, -(s.id + 1) AS id, s.label, 'source' AS slice FROM srcsp s, tgts t WHERE s.split = 'dev')""",
+                                           keys=["target"], keep=["slice"], src="bothtext"),
+                              *metrics_ctes("pred", ["target", "slice"]), select="SELECT * FROM metrics")
     q["translate_test"] = _q(*nb_transfer(L, SPLIT73, src_en, both,
-                                          f"ta AS (SELECT '{T_}' AS target, id, label FROM srcsp WHERE split = 'train')",
-                                          f"""ea AS (SELECT '{T_}' AS target, -(id + 1) AS id, label FROM split73
-  WHERE lang = '{T_}' AND split = 'test')""",
-                                          keys=["target"], keep=[], src="bothtext"),
+                                          f"ta AS (SELECT '{S_}' AS source, id, label FROM srcsp WHERE split = 'train')",
+                                          f"""ea AS (SELECT '{S_}' AS source, -(id + 1) AS id, label, lang AS target FROM split73
+  WHERE lang <> '{S_}' AND split = 'test')""",
+                                          keys=["source"], keep=["target"], src="bothtext"),
                              *metrics_ctes("pred", ["target"]), select="SELECT * FROM metrics")
-    pool = """loopool AS (SELECT s.id, s.lang, s.label, t.target FROM split73 s
-  CROSS JOIN (SELECT DISTINCT lang AS target FROM split73) t WHERE s.lang <> t.target)"""
     q["leave_one_out"] = _q(*nb_transfer(L, SPLIT73, pool, split_cte("loosp", "loopool", ["target"], [0.8], ["train", "dev"]),
                                          "ta AS (SELECT target, id, label FROM loosp WHERE split = 'train')",
                                          "ea AS (SELECT lang AS target, id, label FROM split73 WHERE split = 'test')",
                                          keys=["target"], keep=[]),
                             *metrics_ctes("pred", ["target"], overall="all"), select="SELECT * FROM metrics")
     q["pred_entropy"] = _q(*nb_transfer(*zs_head, keys=["source"], keep=["target"]),
-                           "se AS (SELECT target, id, class, exp(score - max(score) OVER (PARTITION BY target, id)) AS e FROM scores)",
-                           "sp AS (SELECT target, id, class, e / sum(e) OVER (PARTITION BY target, id) AS p FROM se)",
-                           """rh AS (SELECT target, id, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h
-  FROM sp GROUP BY target, id)""",
-                           """mq AS (SELECT s.target, s.class, sum(s.p) / r.n AS q FROM sp s
-  JOIN (SELECT target, count(*) AS n FROM rh GROUP BY target) r ON r.target = s.target GROUP BY s.target, s.class, r.n)""",
-                           select="""SELECT r.target, CAST(r.n AS BIGINT) AS n, round(r.mean_entropy, 6) AS mean_entropy,
-  round(d.diversity, 6) AS diversity
-FROM (SELECT target, count(*) AS n, avg(h) AS mean_entropy FROM rh GROUP BY target) r
-JOIN (SELECT target, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) AS diversity FROM mq GROUP BY target) d
-  ON d.target = r.target""")
+                           "se AS (SELECT source, target, id, class, exp(score - max(score) OVER (PARTITION BY source, target, id)) AS e FROM scores)",
+                           "sp AS (SELECT source, target, id, class, e / sum(e) OVER (PARTITION BY source, target, id) AS p FROM se)",
+                           """rh AS (SELECT source, target, id, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h
+  FROM sp GROUP BY source, target, id)""",
+                           "rn AS (SELECT source, target, count(*) AS n, avg(h) AS mean_entropy FROM rh GROUP BY source, target)",
+                           """mq AS (SELECT s.source, s.target, s.class, sum(s.p) / r.n AS q FROM sp s
+  JOIN rn r USING (source, target) GROUP BY s.source, s.target, s.class, r.n)""",
+                           """dv AS (SELECT source, target, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) AS diversity
+  FROM mq GROUP BY source, target)""",
+                           select="""SELECT source, target, CAST(r.n AS BIGINT) AS n, round(r.mean_entropy, 6) AS mean_entropy,
+  round(d.diversity, 6) AS diversity FROM rn r JOIN dv d USING (source, target)""")
     q["coral_distance"] = _q(
         "ce AS (SELECT vec_id, CASE WHEN label < 5 THEN 0 ELSE 1 END AS domain, embedding FROM embeddings)",
         "cx AS (SELECT vec_id, domain, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM ce)",
