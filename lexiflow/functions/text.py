@@ -104,10 +104,15 @@ def template(text, label) -> Column:
     return F.concat(F.lit(TEMPLATE_PREFIX), _c(text), F.lit(TEMPLATE_QUESTION), _c(label))
 
 
-def label_to_id(label) -> Column:
-    """TXT-14: fixed label -> id map; unknown labels give null."""
+def label_to_id(label, strict: bool = False) -> Column:
+    """TXT-14 / JN-02: fixed label -> id map; an unknown label gives null, or
+    fails the job when ``strict`` (a null label stays null)."""
     m = F.create_map(*[x for k, v in LABEL_IDS.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, _c(label))
+    out = F.try_element_at(m, _c(label))
+    if strict:
+        unknown = F.concat(F.lit("unknown label: "), _c(label).cast("string"))
+        out = F.coalesce(out, F.when(_c(label).isNotNull(), F.raise_error(unknown).cast("int")))
+    return out
 
 
 def id_to_label(label_id) -> Column:

@@ -18,6 +18,8 @@ Scale notes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,21 @@ def term_stats(terms: DataFrame, key_cols: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, key_cols: list[str], k: int, order_cols: list, slice_col: str = "term",
-          slices: int = TOPK_SLICES, rank_col: str = "_r") -> DataFrame:
-    """Exact per-key top-k in two stages: top-k inside each hash slice of the
-    candidates, then top-k over the <= slices*k survivors of each key."""
+          slices: int = TOPK_SLICES, rank_col: str = "_r", value_col: str = "tf") -> DataFrame:
+    """Exact per-key top-k by ``value_col`` descending, ties by ``order_cols``.
+
+    A histogram of the values per key (as many rows as distinct values) gives
+    the value at which the running count reaches k; rows above it are in, and
+    only rows at or above it are ranked: first inside each hash slice,
+    then over the survivors."""
+    hist = df.groupBy(*key_cols, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*key_cols).orderBy(F.desc(value_col)).rowsBetween(Window.unboundedPreceding, -1)
+    least = (hist.withColumn("_above", F.coalesce(F.sum("_c").over(w), F.lit(0))).where(F.col("_above") < k)
+             .groupBy(*[F.col(c).alias(f"_{c}") for c in key_cols]).agg(F.min(value_col).alias("_least")))
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(least[f"_{c}"]) for c in key_cols])
+    near = df.join(least, same & (df[value_col] >= least["_least"])).drop("_least", *[f"_{c}" for c in key_cols])
     s1 = Window.partitionBy(*key_cols, F.pmod(F.xxhash64(slice_col), F.lit(slices))).orderBy(*order_cols)
-    survivors = df.withColumn(rank_col, F.row_number().over(s1)).where(F.col(rank_col) <= k)
+    survivors = near.withColumn(rank_col, F.row_number().over(s1)).where(F.col(rank_col) <= k)
     s2 = Window.partitionBy(*key_cols).orderBy(*order_cols)
     return survivors.withColumn(rank_col, F.row_number().over(s2)).where(F.col(rank_col) <= k)
 
@@ -76,16 +88,6 @@ def fit_vocab(train_terms: DataFrame, train_docs: DataFrame, key_cols: list[str]
                       (F.row_number().over(w) - 1).cast("bigint").alias("term_index"))
 
 
-def vocab_by_range(train_terms: DataFrame, train_docs: DataFrame, key_cols: list[str], max_n: int,
-                   range_col: str = "ngram_max", **kw) -> DataFrame:
-    """Vocabularies for the ranges (1,1) .. (1,max_n) at once: an m-gram term
-    belongs to every range whose upper end is >= m.  Each range gets its own
-    df filter and top-k (recomputed selections, not subsets)."""
-    expanded = train_terms.withColumn(range_col, F.explode(F.sequence(F.col("n"), F.lit(max_n))))
-    docs = train_docs.withColumn(range_col, F.explode(F.sequence(F.lit(1), F.lit(max_n))))
-    return fit_vocab(expanded, docs, key_cols + [range_col], **kw)
-
-
 def term_counts(terms: DataFrame, vocab: DataFrame, key_cols: list[str], id_col: str = "id") -> DataFrame:
     """JN-03 / FEA-05: keep in-vocabulary terms -> (key..., id, term_index, tf).
 

@@ -10,12 +10,19 @@ from __future__ import annotations
 from lexiflow.functions.hashing import sql_hash_key, sql_hash_mod
 from lexiflow.functions.text import (LABEL_IDS, sql_label_to_id, sql_template, sql_word_tokens,
                                      sql_ws_tokens)
-from lexiflow.operators.textclf import FEATURE_SETS, feature_set_name
-from lexiflow.operators.naive_bayes import ALPHAS
-from lexiflow.plans import catalog as C
+from lexiflow.operators.textclf import feature_set_name
 from lexiflow.sources.tables import SQL_LABELLED, SQL_LEXICON
 
-SEED = C.SEED
+# The run's values, stated apart from the plans so that a change there shows.
+SEED = 42
+FEATURE_SETS = [("count", 1), ("tfidf", 1), ("count", 2), ("tfidf", 2), ("count", 3), ("tfidf", 3)]
+ALPHAS = [0.001, 0.1, 1.0, 10.0, 1000.0]
+
+
+class C:
+    SOURCE, TARGET = "en", "fr"
+    SHOTS, SHOTS_GRID, ORDER_SEEDS = 20, [5, 10, 20], [42, 7]
+    HASH_VOCAB = 30000
 
 
 def with_(*ctes: str) -> str:
@@ -262,6 +269,15 @@ UNION ALL SELECT id, lang, 'source' AS slice FROM sr WHERE split = 'train'""")
 FROM (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test' GROUP BY lang, label)""")
     q["corpus_counts"] = _q(L, SPLIT3, select="SELECT lang, split, count(*) AS n_rows FROM split3 GROUP BY lang, split")
 
+    q["null_group_rank"] = _q(L, select=f"""SELECT id, grp, row_number() OVER (PARTITION BY grp ORDER BY {h('id')}, id) AS rank,
+  count(*) OVER (PARTITION BY grp) AS n FROM (SELECT id, CASE WHEN source <> 'src3' THEN source END AS grp FROM labelled)""")
+    q["first_rows"] = _q(L, select="SELECT id, lang, label FROM labelled ORDER BY id LIMIT 100")
+    q["vocab_topk_ties"] = _q(L, SPLIT3, terms_cte("labelled", 1), """st AS (SELECT s.lang, t.term, CAST(sum(t.tf) AS BIGINT) AS tf, count(*) AS df
+  FROM terms t JOIN split3 s ON s.id = t.id WHERE s.split = 'train' GROUP BY s.lang, t.term)""", """nd AS (SELECT lang, count(*) AS n FROM split3
+  WHERE split = 'train' GROUP BY lang)""", """tk AS (SELECT st.* FROM st JOIN nd USING (lang) WHERE df >= 2 AND df <= 0.8::DOUBLE * n
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY tf DESC, term) <= 100)""",
+                              select="SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY term) - 1 AS term_index, tf, df FROM tk")
+
     # features
     ta = "ta AS (SELECT lang, id, label FROM split3 WHERE split = 'train')"
     ea = "ea AS (SELECT lang, id, label, split FROM split3)"
@@ -410,6 +426,11 @@ def build_more() -> dict[str, str]:
     line = sql_template("text", "label") + " || chr(10)"
     q["fewshot_context"] = _q(*head, select=f"""SELECT lang, count(*) AS n_examples,
   string_agg({line}, '' ORDER BY order_rank) AS context FROM fsx GROUP BY lang""")
+    ask = sql_template("d.text", "''")
+    q["fewshot_prompts"] = _q(*head, f"""ctx AS (SELECT lang, string_agg({line}, '' ORDER BY order_rank) AS context FROM fsx GROUP BY lang)""",
+                              f"""pr AS (SELECT d.lang, d.id, c.context || {ask} AS prompt FROM fsdev d JOIN ctx c ON c.lang = d.lang)""",
+                              select="""SELECT lang, id, candidate, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5,
+  md5(prompt || candidate) AS completion_md5 FROM pr, (VALUES ('negative'), ('neutral'), ('positive')) v(candidate)""")
     bg = bigram_ctes(["lang"], "fsx", "fsdev")
     q["fewshot_scores"] = _q(*head, *bg, select="SELECT lang, id, candidate, round(score, 6) AS score FROM bg_scores")
     q["fewshot_labels"] = _q(*head, *bg, wide_cte(["lang"], "bg_scores"), select="""SELECT w.*, s.label
@@ -460,11 +481,14 @@ WHERE k.pos >= k.n_tokens - k.ans_len GROUP BY k.lang, k.id, k.candidate""")
     part = lambda a, n: f"(CAST(('0x' || substr({hk}, {a}, 8)) AS BIGINT) % {n})"
     ch = f"({part(1, 100)} < 15)"
     ids = f"list_transform(toks, lambda x: {sql_hash_mod(repr('tok'), 'x', C.HASH_VOCAB)} + 1)"
-    q["mlm_mask"] = _q(*blocks_ctes(), f"bi AS (SELECT {key}, {ids} AS ids FROM blk)",
+    masked = [*blocks_ctes(), f"bi AS (SELECT {key}, {ids} AS ids FROM blk)",
                        f"""bm AS (SELECT {key},
   list_transform(ids, lambda x, i: CASE WHEN NOT {ch} THEN x WHEN {part(9, 10)} < 8 THEN {C.HASH_VOCAB + 1}
                                         WHEN {part(9, 10)} < 9 THEN {part(17, C.HASH_VOCAB)} + 1 ELSE x END) AS masked,
-  list_transform(ids, lambda x, i: CASE WHEN {ch} THEN x ELSE -100 END) AS targets FROM bi)""",
+  list_transform(ids, lambda x, i: CASE WHEN {ch} THEN x ELSE -100 END) AS targets FROM bi)"""]
+    q["masked_accuracy"] = _q(*masked, select="""SELECT count(*) AS n, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM (SELECT unnest(targets) AS t, unnest(masked) AS p FROM bm) WHERE t <> -100""")
+    q["mlm_mask"] = _q(*masked,
                        select=f"""SELECT {key}, CAST(len(list_filter(targets, lambda t: t <> -100)) AS BIGINT) AS n_masked,
   array_to_string(masked, ',') AS masked_ids, array_to_string(targets, ',') AS targets FROM bm""")
     wt = sql_word_tokens("text")

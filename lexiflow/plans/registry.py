@@ -11,21 +11,21 @@ NAMES = [
     "strip_mentions", "lexicon_keep", "lexicon_semijoin", "word_tokens", "ngrams_1_3", "token_lengths",
     "pad_truncate", "prompt_rows", "label_ids",
     # shuffles, splits, rebalancing
-    "shuffle_rank", "split_70_10_20", "split_70_30", "split_80_20", "holdout_ceil30", "head_10pct",
+    "shuffle_rank", "null_group_rank", "first_rows", "split_70_10_20", "split_70_30", "split_80_20", "holdout_ceil30", "head_10pct",
     "oversample", "class_sample", "dedupe_last_label", "pair_source_target",
     # set operations
     "dev_plus_test", "joint_pool", "pooled_corpus",
     # aggregations
     "label_order", "class_share", "corpus_counts",
     # features
-    "df_tf", "vocab_topk_1", "vocab_topk_2", "vocab_topk_3", "tf_counts", "idf", "tfidf_l2", "feature_grid",
+    "df_tf", "vocab_topk_1", "vocab_topk_2", "vocab_topk_3", "vocab_topk_ties", "tf_counts", "idf", "tfidf_l2", "feature_grid",
     # naive Bayes, selection, evaluation
     "nb_predict", "nb_grid_best", "best_checkpoint", "constant_baseline", "nb_metrics", "slice_metrics",
     "transfer_matrix",
     # few-shot labelling
-    "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_sweep", "answer_span_ll",
+    "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_prompts", "fewshot_sweep", "answer_span_ll",
     # unlabelled corpus
-    "token_blocks", "mlm_mask", "bigram_perplexity",
+    "token_blocks", "mlm_mask", "masked_accuracy", "bigram_perplexity",
     # transfer protocols and domain distances
     "in_language", "zero_shot", "joint_train", "translate_train", "translate_test", "leave_one_out",
     "pred_entropy", "coral_distance",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,10 +18,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     are split; no join in the library forces a broadcast of a side whose size
     grows with the data.
     """
-    master = master or os.environ.get("LEXIFLOW_MASTER", "local[8]")
+    master = master or os.environ.get("LEXIFLOW_MASTER")
+    if master is None and "PYSPARK_GATEWAY_PORT" not in os.environ:  # spark-submit names its own master
+        master = "local[8]"
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -59,7 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         existing = sc.getCheckpointDir()  # set programmatically by the caller
         if existing:
             path = existing
-        elif sc.master.startswith("local"):
+        elif re.match(r"local(\[|$)", sc.master):
             path = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
             sc.setCheckpointDir(path)
         else:

@@ -18,19 +18,32 @@ PANDAS_NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-Na
 # English corpus carries translations for.
 LANGUAGES = ["am", "dz", "ha", "ig", "ma", "pcm", "pt", "sw", "yo"]
 TRANSLATABLE = ["am", "ig", "ha", "sw", "yo"]
-DA_METHODS = ["none", "dann", "adda", "cdan", "dc", "gan", "coral", "itl"]
+DA_METHODS = ["none", "coral"]  # those that are built
 
 RAW_SCHEMA = T.StructType([T.StructField("ID", T.StringType()), T.StructField("text", T.StringType()),
                            T.StructField("label", T.StringType())])
 SPLIT_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
 
 
-def _csv(spark: SparkSession, schema: T.StructType, sep: str):
-    return (spark.read.schema(schema).option("sep", sep).option("header", True)
-            .option("quote", '"').option("escape", '"').option("multiLine", True)
+def _csv(spark: SparkSession, schema: T.StructType | None, sep: str, multi_line: bool = True):
+    """Reader options shared by all text files.  Without a schema the columns
+    are the header's names, all strings.  ``multi_line`` lets quoted fields
+    hold line breaks, which makes a file one task: give large inputs as many
+    files or Parquet, or switch it off where no field holds a break."""
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return (r.option("sep", sep).option("header", True).option("inferSchema", False)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("mode", "PERMISSIVE"))
 
 
+def _named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names``, whatever their order and whatever else the header holds."""
+    missing = [c for c in names if c not in df.columns]
+    if missing:
+        raise ValueError(f"the file's header lacks {missing}")
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
 def null_tokens(df: DataFrame, cols: list[str], tokens=PANDAS_NULL_TOKENS) -> DataFrame:
     """Map pandas' missing-value tokens to null in ``cols`` (Q8)."""
     out = df
@@ -62,13 +75,15 @@ def read_split_tsv(spark: SparkSession, path: str, pandas_nulls: bool = True) ->
 
 
 def read_splits(spark: SparkSession, root: str, fmt: str = "parquet", lang: str | None = None,
-                split: str | None = None) -> DataFrame:
+                split: str | None = None, allowed: list[str] | None = None) -> DataFrame:
     """SRC-02: the ``lang=*/split=*`` layout written by ``write_splits``;
     language / split predicates prune partitions instead of building paths."""
     if fmt == "parquet":
         df = spark.read.parquet(root)
     else:
         df = (_csv(spark, SPLIT_SCHEMA, "\t").option("basePath", root).csv(f"{root}/lang=*/split=*"))
+    if lang is not None and allowed is not None:
+        validate_langs([lang], [*allowed, "all"])
     if lang is not None and lang != "all":
         df = df.where(F.col("lang") == lang)
     if split is not None:
@@ -76,20 +91,17 @@ def read_splits(spark: SparkSession, root: str, fmt: str = "parquet", lang: str
     return df
 
 
-def read_combined_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_combined_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """SRC-04: combined multilingual CSV -> (text, label, lang, text_en)
-    (PRJ-01/02: ``labels`` renamed to ``label``, ``tag`` to ``lang``)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["text", "labels", "tag", "en_translated"]])
-    df = _csv(spark, schema, ",").option("enforceSchema", False).csv(path)
+    (PRJ-01/02: ``labels`` renamed to ``label``, ``tag`` to ``lang``); columns by header name."""
+    df = _named(_csv(spark, None, ",", multi_line).csv(path), ["text", "labels", "tag", "en_translated"])
     return df.select("text", F.col("labels").alias("label"), F.col("tag").alias("lang"),
                      F.col("en_translated").alias("text_en"))
 
 
-def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05: English CSV with one translation column per language."""
-    cols = ["text", "labels", "tag", *TRANSLATABLE]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    df = _csv(spark, schema, ",").option("enforceSchema", False).csv(path)
+def read_wide_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """SRC-05: English CSV with one translation column per language; columns by header name."""
+    df = _named(_csv(spark, None, ",", multi_line).csv(path), ["text", "labels", "tag", *TRANSLATABLE])
     return df.withColumnRenamed("labels", "label").withColumnRenamed("tag", "lang")
 
 
@@ -104,8 +116,7 @@ def read_lexicon_dir(spark: SparkSession, root: str, langs: list[str]) -> DataFr
     (README files are skipped by the glob), distinct -> (lang, word)."""
     out = None
     for lang in langs:
-        df = (spark.read.option("header", True).option("pathGlobFilter", "*.csv")
-              .csv(f"{root}/{lang}"))
+        df = _csv(spark, None, ",").option("pathGlobFilter", "*.csv").csv(f"{root}/{lang}")
         words = df.select(F.lit(lang).alias("lang"), F.col(df.columns[0]).alias("word"))
         out = words if out is None else out.unionByName(words)
     if out is None:
@@ -131,7 +142,7 @@ def validate_langs(langs: list[str], allowed=LANGUAGES + ["all"]) -> None:
 
 def validate_translatable(lang: str) -> None:
     if lang not in TRANSLATABLE:
-        raise ValueError("English data cannot be translated to this language")
+        raise ValueError(f"no translation column for {lang!r}; there are {TRANSLATABLE}")
 
 
 def validate_method(method: str) -> None:

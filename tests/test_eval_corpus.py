@@ -94,6 +94,9 @@ def test_mlm_mask_rate_and_targets(spark):
     acc = CO.masked_accuracy(df.select("b", "ids").withColumn("targets", F.col("ids"))
                              .withColumn("predicted_ids", F.col("ids")), ["b"]).first()
     assert acc["accuracy"] == 1.0
+    some = spark.createDataFrame([(1, [5, -100, 7, -100], [5, 9, 8, 1]), (2, [-100], [3])], "b int, targets array<int>, predicted_ids array<int>")
+    acc = CO.masked_accuracy(some, ["b"]).first()
+    assert (acc["n"], acc["accuracy"]) == (2, 0.5)
 
 
 def test_naive_bayes_matches_plain_python(spark):

@@ -65,7 +65,48 @@ def test_write_read_splits_partition_pruning(spark):
     got = FI.read_splits(spark, out, lang="ha", split="train")
     assert [r["text"] for r in got.collect()] == ["a"]
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "partitionFilters" in plan.lower()
+    assert "isnotnull(lang" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_hot_split_is_written_by_many_tasks(spark):
+    import glob
+    df = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("positive").alias("label"),
+                                    F.lit("ha").alias("lang"), F.lit("train").alias("split")).repartition(8)
+    out, key = os.path.join(_tmp(), "hot"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "1m")
+    try:
+        SK.write_splits(df, out)
+    finally:
+        spark.conf.unset(key)
+    assert len(glob.glob(f"{out}/lang=ha/split=train/part-*")) > 1
+    assert spark.read.parquet(out).count() == 60_000
+
+
+def test_csv_columns_by_name(spark):
+    import pytest
+    d = _tmp()
+    with open(os.path.join(d, "c.csv"), "w") as f:
+        f.write('tag,extra,en_translated,labels,text\nha,9,"hi, there",positive,"a ""b""\nc"\n')
+    got = [tuple(r) for r in FI.read_combined_csv(spark, d).collect()]
+    assert got == [('a "b"\nc', "positive", "ha", "hi, there")]
+    with open(os.path.join(d, "w.txt"), "w") as f:
+        f.write("yo,sw,note,text,ha,ig,am,labels,tag\nY,S,n,T,H,I,A,neutral,en\n")
+    wide = FI.read_wide_csv(spark, os.path.join(d, "w.txt"))
+    assert wide.columns == ["text", "label", "lang", "am", "ig", "ha", "sw", "yo"]
+    assert FI.translate_to(wide, "sw").first()["text"] == "S"
+    with pytest.raises(ValueError, match="pt"):
+        FI.translate_to(wide, "pt")
+    with pytest.raises(ValueError, match="en_translated"):
+        FI.read_combined_csv(spark, os.path.join(d, "w.txt"))
+
+
+def test_corpus_partitions(spark):
+    out = os.path.join(_tmp(), "corpus")
+    rows = [("a", "ha", "2020", 1), ("b", "ha", "2021", 2), ("c", "yo", "2021", 3)]
+    spark.createDataFrame(rows, "text string, lang string, date string, x int").write.partitionBy("lang", "date").parquet(out)
+    assert sorted(r[0] for r in FI.read_corpus(spark, out, "ha").collect()) == ["a", "b"]
+    one = FI.read_corpus(spark, out, "ha", "2021")
+    assert one.columns == ["text"] and [r[0] for r in one.collect()] == ["b"]
 
 
 def test_predictions_and_metrics_sinks(spark):

@@ -33,6 +33,16 @@ def test_exact_rank_equals_plain_window(spark):
     assert a == b
 
 
+def test_ranks_with_null_groups_and_ids(spark):
+    rows = [(1, "a"), (2, None), (3, "a"), (None, None), (5, None), (None, "a"), (None, None)]
+    df = spark.createDataFrame(rows, "id long, g string").withColumn("h", hash_key(7, F.col("id")))
+    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
+    fast = exact_rank(df, ["g"], [F.col("h"), F.col("id")], F.substring("h", 1, 3), "r", "n")
+    key = lambda rs: sorted(((r["id"], r["g"], r["r"]) for r in rs), key=str)
+    assert key(fast.collect()) == key(plain.collect())
+    assert {(r["g"], r["n"]) for r in fast.collect()} == {("a", 3), (None, 4)}
+
+
 def test_partition_invariance(spark):
     df = spark.range(500).withColumn("lang", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
     base = None
