@@ -303,6 +303,19 @@ FROM (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test' GROUP
     nb1 = [L, SPLIT3, ta, ea, terms_cte("labelled", 1), *nb_ctes(["lang"], [("count", 1)], [1.0], ["split"])]
     q["nb_predict"] = _q(*nb1, select="SELECT lang, id, split, label, prediction FROM pred WHERE split <> 'train'")
     q["nb_metrics"] = _q(*nb1, *metrics_ctes("pred", ["lang", "split"], overall="all"), select="SELECT * FROM metrics")
+    reps = f"""reps AS (SELECT *, CASE WHEN rank <= floor(0.7::DOUBLE * n) THEN 'train' WHEN rank <= floor(0.8::DOUBLE * n) THEN 'dev' ELSE 'test' END AS split
+  FROM (SELECT id, lang, label, rep, row_number() OVER (PARTITION BY lang, rep ORDER BY {sql_hash_key('rep', 'id')}, id) AS rank,
+               count(*) OVER (PARTITION BY lang, rep) AS n FROM labelled, (VALUES (42), (43), (44), (45), (46)) r(rep)))"""
+    q["nb_repeat_mean"] = _q(L, reps, "ta AS (SELECT lang, rep, id, label FROM reps WHERE split = 'train')",
+                             "ea AS (SELECT lang, rep, id, label, split FROM reps WHERE split <> 'train')", terms_cte("labelled", 1),
+                             *nb_ctes(["lang", "rep"], [("count", 1)], ALPHAS, ["split"]),
+                             *metrics_ctes("pred", ["lang", "rep", "alpha", "split"], digits=None),
+                             """mm AS (SELECT lang, alpha, count(DISTINCT rep) AS repeats,
+  avg(CASE WHEN split = 'dev' THEN balanced_accuracy END) AS dev_bacc, avg(CASE WHEN split = 'test' THEN weighted_f1 END) AS test_f1,
+  avg(CASE WHEN split = 'test' THEN balanced_accuracy END) AS test_bacc FROM metrics GROUP BY lang, alpha)""",
+                             select="""SELECT lang, alpha, repeats, round(dev_bacc, 6) AS dev_bacc, round(test_f1, 6) AS test_f1,
+  round(test_bacc, 6) AS test_bacc,
+  row_number() OVER (PARTITION BY lang ORDER BY round(dev_bacc, 9) DESC NULLS LAST, alpha) = 1 AS best FROM mm""")
     q["constant_baseline"] = _q(L, SPLIT3, """cc AS (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test'
   GROUP BY lang, label)""", """cp AS (SELECT a.lang, a.label, b.label AS constant, b.label AS prediction, a.cnt
   FROM cc a JOIN cc b ON a.lang = b.lang)""", *metrics_ctes("cp", ["lang", "constant"], is_confusion=True),
