@@ -386,31 +386,54 @@ def nb_repeat_mean(spark, sf):
                     (F.row_number().over(w) == 1).alias("best"))
 
 
-def _nb_grid_metrics(spark, sf):
-    p = _nb_lang(spark, sf, TC.FEATURE_SETS, TC.NB.ALPHAS)
-    m = M.evaluate(p, ["lang", "feature_set", "alpha", "split"], digits=None)
-    wide = (m.groupBy("lang", "feature_set", "alpha")
+def _grid_metrics(terms, train, ev, key):
+    """Scores of every (feature set, smoothing) model of each ``key`` on its train, dev and test rows."""
+    p = TC.naive_bayes_run(terms, train, ev, [key], TC.FEATURE_SETS, TC.NB.ALPHAS, keep_cols=["split"])
+    m = M.evaluate(p, [key, "feature_set", "alpha", "split"], digits=None)
+    return (m.groupBy(key, "feature_set", "alpha")
             .pivot("split", ["train", "dev", "test"])
             .agg(F.first("accuracy").alias("acc"), F.first("weighted_f1").alias("f1"),
                  F.first("balanced_accuracy").alias("bacc")))
-    return wide
 
 
-def nb_grid_best(spark, sf):
-    from pyspark.sql import Window
-    g = _nb_grid_metrics(spark, sf)
+def _grid_best(g, key):
+    """SEL-01..03: the best smoothing of each feature set by dev weighted F1, and the best feature set of each key."""
     cfg = F.array_position(F.array(*[F.lit(a) for a in TC.NB.ALPHAS]), F.col("alpha"))
-    w1 = Window.partitionBy("lang", "feature_set").orderBy(F.desc(F.round("dev_f1", 9)), cfg)
+    w1 = Window.partitionBy(key, "feature_set").orderBy(F.desc(F.round("dev_f1", 9)), cfg)
     best = g.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") == 1).drop("_r")
     fs_no = F.array_position(F.array(*[F.lit(TC.feature_set_name(w, m)) for w, m in TC.FEATURE_SETS]),
                              F.col("feature_set"))
-    w2 = Window.partitionBy("lang").orderBy(F.desc(F.round("dev_f1", 9)), fs_no)
+    w2 = Window.partitionBy(key).orderBy(F.desc(F.round("dev_f1", 9)), fs_no)
     best = best.withColumn("best_feature_set", F.row_number().over(w2) == 1)
-    return best.select("lang", "feature_set", "alpha", "best_feature_set",
+    return best.select(key, "feature_set", "alpha", "best_feature_set",
                        *[F.round(c, R6).alias(c) for c in
                          ["train_acc", "dev_f1", "test_acc", "test_f1", "test_bacc"]])
 
 
+def _nb_grid_metrics(spark, sf):
+    return shared(spark, sf, "nb_grid", lambda: _grid_metrics(
+        _terms(spark, sf, 3), _train_assign(spark, sf), _all_assign(spark, sf), "lang"))
+
+
+def nb_grid_best(spark, sf):
+    return _grid_best(_nb_grid_metrics(spark, sf), "lang")
+
+
+def pooled_grid_best(spark, sf):
+    """The grid on the pooled corpus: one split of all languages together."""
+    sp = pooled_corpus(spark, sf).select(F.lit("pooled").alias("corpus"), "id", "label", "split")
+    g = _grid_metrics(_terms(spark, sf, 3), sp.where(F.col("split") == "train").drop("split"), sp, "corpus")
+    return _grid_best(g, "corpus")
+
+
+def lexicon_grid_best(spark, sf):
+    """The grid on texts reduced to their lexicon words; texts without any are left out."""
+    kept = shared(spark, sf, "lexicon_kept", lambda: lexicon_keep(spark, sf))
+    sp = S.split_70_10_20(kept.select("id", "lang", "label"), ["lang"], SEED).select("lang", "id", "label", "split")
+    terms = FE.doc_terms(kept.select("id", "text"), [], 3)
+    return _grid_best(_grid_metrics(terms, sp.where(F.col("split") == "train").drop("split"), sp, "lang"), "lang")
+
+
 def best_checkpoint(spark, sf):
     """SEL-04/05 on the grid's metric history: per language the (feature
     set, alpha) checkpoint with the best dev balanced accuracy (first in

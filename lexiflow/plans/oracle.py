@@ -322,24 +322,38 @@ FROM (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test' GROUP
         select="""SELECT m.lang, m.constant, m.n, m.weighted_f1, m.balanced_accuracy,
   round(c.cnt / sum(c.cnt) OVER (PARTITION BY c.lang), 6) AS share
 FROM metrics m JOIN cc c ON c.lang = m.lang AND c.label = m.constant""")
-    grid = [L, SPLIT3, ta, ea, terms_cte("labelled", 3), *nb_ctes(["lang"], FEATURE_SETS, ALPHAS, ["split"]),
-            *metrics_ctes("pred", ["lang", "feature_set", "alpha", "split"], digits=None),
-            """gw AS (SELECT lang, feature_set, alpha,
+    def grid_of(head: list[str], key: str, src: str) -> list[str]:
+        return [*head, terms_cte(src, 3), *nb_ctes([key], FEATURE_SETS, ALPHAS, ["split"]),
+                *metrics_ctes("pred", [key, "feature_set", "alpha", "split"], digits=None),
+                f"""gw AS (SELECT {key}, feature_set, alpha,
   max(CASE WHEN split = 'train' THEN accuracy END) AS train_acc,
   max(CASE WHEN split = 'dev' THEN weighted_f1 END) AS dev_f1,
   max(CASE WHEN split = 'dev' THEN balanced_accuracy END) AS dev_bacc,
   max(CASE WHEN split = 'test' THEN accuracy END) AS test_acc,
   max(CASE WHEN split = 'test' THEN weighted_f1 END) AS test_f1,
   max(CASE WHEN split = 'test' THEN balanced_accuracy END) AS test_bacc
-  FROM metrics GROUP BY lang, feature_set, alpha)"""]
+  FROM metrics GROUP BY {key}, feature_set, alpha)"""]
+
+    grid = grid_of([L, SPLIT3, ta, ea], "lang", "labelled")
     alpha_pos = "list_position([" + ", ".join(f"{float(a)!r}::DOUBLE" for a in ALPHAS) + "], alpha)"
     fs_pos = "list_position([" + ", ".join(f"'{feature_set_name(w, m)}'" for w, m in FEATURE_SETS) + "], feature_set)"
-    q["nb_grid_best"] = _q(*grid, f"""b1 AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang, feature_set ORDER BY round(dev_f1, 9) DESC NULLS LAST, {alpha_pos}) AS r
-  FROM gw) WHERE r = 1)""", select=f"""SELECT lang, feature_set, alpha,
-  row_number() OVER (PARTITION BY lang ORDER BY round(dev_f1, 9) DESC NULLS LAST, {fs_pos}) = 1 AS best_feature_set,
+    def best_of(ctes: list[str], key: str) -> str:
+        return _q(*ctes, f"""b1 AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY {key}, feature_set ORDER BY round(dev_f1, 9) DESC NULLS LAST, {alpha_pos}) AS r
+  FROM gw) WHERE r = 1)""", select=f"""SELECT {key}, feature_set, alpha,
+  row_number() OVER (PARTITION BY {key} ORDER BY round(dev_f1, 9) DESC NULLS LAST, {fs_pos}) = 1 AS best_feature_set,
   round(train_acc, 6) AS train_acc, round(dev_f1, 6) AS dev_f1, round(test_acc, 6) AS test_acc,
   round(test_f1, 6) AS test_f1, round(test_bacc, 6) AS test_bacc FROM b1""")
+
+    q["nb_grid_best"] = best_of(grid, "lang")
+    q["pooled_grid_best"] = best_of(grid_of([
+        L, split_cte("sp", "(SELECT id, label, 'pooled' AS corpus FROM labelled)", [], [0.7, 0.8], ["train", "dev", "test"]),
+        "ta AS (SELECT corpus, id, label FROM sp WHERE split = 'train')", "ea AS (SELECT corpus, id, label, split FROM sp)"], "corpus", "labelled"), "corpus")
+    q["lexicon_grid_best"] = best_of(grid_of([
+        L, SQL_LEXICON, hits, """lexlab AS (SELECT lb.id, lb.lang, lb.label, k.text FROM labelled lb
+  JOIN (SELECT id, string_agg(word, ' ' ORDER BY pos) AS text FROM hits GROUP BY id) k ON k.id = lb.id)""",
+        split_cte("sp", "(SELECT id, lang, label FROM lexlab)", ["lang"], [0.7, 0.8], ["train", "dev", "test"]),
+        "ta AS (SELECT lang, id, label FROM sp WHERE split = 'train')", "ea AS (SELECT lang, id, label, split FROM sp)"], "lang", "lexlab"), "lang")
     q["best_checkpoint"] = _q(*grid, f"""ckp AS (SELECT *, CAST({fs_pos} * 10 + {alpha_pos} AS BIGINT) AS step FROM gw)""",
                               select="""SELECT lang, step AS best_step, round(dev_bacc, 6) AS dev_bacc,
   round(test_f1, 6) AS test_f1, round(test_bacc, 6) AS test_bacc FROM (
