@@ -804,10 +804,42 @@ def bpe_vocab_bytes(spark, sf):
     return BP.vocab_table(spark, *_bpe_model(spark, sf, True))
 
 
+def _bpe_types(spark, sf):
+    """Word types of the training text with their characters."""
+    return BP.word_types(_bpe_texts(spark, sf)).withColumn("sym", BP.char_symbols(F.col("word")))
+
+
+def bpe_word_types(spark, sf):
+    """FEA-01: the word-type table that training runs on."""
+    return BP.word_types(_bpe_texts(spark, sf))
+
+
+def bpe_alphabet(spark, sf):
+    """FEA-01: the 500 most frequent characters."""
+    return BP.alphabet_of(_bpe_types(spark, sf), BP.LIMIT_ALPHABET)
+
+
+def bpe_pair_counts(spark, sf):
+    """FEA-01: counts of all symbol pairs before the first merge."""
+    alphabet = [r["c"] for r in bpe_alphabet(spark, sf).collect()]
+    pairs = BP.pair_counts(BP.keep_symbols(_bpe_types(spark, sf), alphabet))
+    return pairs.where(F.col("count") >= BP.MIN_FREQUENCY).select("a", "b", F.col("count").alias("n"))
+
+
+def bpe_roundtrip(spark, sf):
+    """FEA-03: the pieces of every document, put together again."""
+    pieces = BP.encode(_lab(spark, sf).select("id", "text"), *_bpe_model(spark, sf, False))
+    words = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.array_join("pieces", "").alias("w")))).alias("p"))
+    return words.select("id", F.size("p").cast("bigint").alias("n_words"), F.md5(F.array_join(F.col("p.w"), " ")).alias("joined_md5"))
+
+
 def bpe_encode(spark, sf):
     alphabet, merges = _bpe_model(spark, sf, False)
     pieces = BP.encode(_lab(spark, sf).select("id", "text"), alphabet, merges)
-    return BP.encoded_docs(pieces).select("id", "length", "tokenized")
+    docs = BP.encoded_docs(pieces)
+    # padded at the end with [EOS], which is also the pad token
+    padded = TX.pad_to("input_ids", 500, pad_id=1)
+    return docs.select("id", "length", "tokenized", F.array_join(padded.cast("array<string>"), ",").alias("input_ids"))
 
 
 def answer_span_ll(spark, sf):

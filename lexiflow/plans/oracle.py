@@ -299,6 +299,21 @@ FROM (SELECT lang, label, count(*) AS cnt FROM split3 WHERE split = 'test' GROUP
                            *nb_ctes(["lang"], FEATURE_SETS, [1.0], [])[:12],
                            select="SELECT feature_set, lang, id, term_index, round(x, 6) AS value FROM evx")
 
+    # BPE: what training starts from, and what encoding must give back
+    wt_ws = sql_ws_tokens("text")
+    types = f"""wtypes AS (SELECT '\u2581' || w AS word, count(*) AS freq FROM (SELECT unnest({sql_ws_tokens("lb.text")}) AS w FROM labelled lb
+  JOIN split3 s ON s.id = lb.id WHERE s.split IN ('train', 'dev')) GROUP BY w)"""
+    alpha = """alpha AS (SELECT c, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(word, '(?s).')) AS c, freq FROM wtypes)
+  GROUP BY c ORDER BY n DESC, c LIMIT 500)"""
+    q["bpe_word_types"] = _q(L, SPLIT3, types, select="SELECT word, freq FROM wtypes")
+    q["bpe_alphabet"] = _q(L, SPLIT3, types, alpha, select="SELECT c, n FROM alpha")
+    q["bpe_pair_counts"] = _q(L, SPLIT3, types, alpha, """sy AS (SELECT freq, list_filter(regexp_extract_all(word, '(?s).'),
+  lambda x: list_contains(cs, x)) AS s FROM wtypes, (SELECT list(c) AS cs FROM alpha))""", select="""SELECT a, b, CAST(sum(freq) AS BIGINT) AS n
+FROM (SELECT freq, unnest(s[1:len(s) - 1]) AS a, unnest(s[2:len(s)]) AS b FROM sy WHERE len(s) > 1) GROUP BY a, b HAVING sum(freq) >= 5""")
+    q["bpe_roundtrip"] = _q(L, select=f"""SELECT id, CAST(len(w) AS BIGINT) AS n_words,
+  md5(array_to_string(list_transform(w, lambda x: '\u2581' || x), ' ')) AS joined_md5
+FROM (SELECT id, {wt_ws} AS w FROM labelled) WHERE len(w) > 0""")
+
     # naive Bayes, evaluation, selection
     nb1 = [L, SPLIT3, ta, ea, terms_cte("labelled", 1), *nb_ctes(["lang"], [("count", 1)], [1.0], ["split"])]
     q["nb_predict"] = _q(*nb1, select="SELECT lang, id, split, label, prediction FROM pred WHERE split <> 'train'")

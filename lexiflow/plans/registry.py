@@ -32,7 +32,7 @@ NAMES = [
     # pyspark.ml classifiers and embedding-space transfer (rows-only)
     "svm_linear", "svm_rff", "logreg", "forest", "adaboost", "mlp", "domain_gap", "coral_transfer",
     # BPE vocabularies and encoding (rows-only)
-    "bpe_vocab", "bpe_vocab_bytes", "bpe_encode",
+    "bpe_word_types", "bpe_alphabet", "bpe_pair_counts", "bpe_roundtrip", "bpe_vocab", "bpe_vocab_bytes", "bpe_encode",
 ]
 
 QUERIES = {n: getattr(C, n) for n in NAMES}
