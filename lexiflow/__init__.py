@@ -8,7 +8,6 @@ operators  DataFrame operators: exact ranks, splits, rebalancing, vocabularies,
            tf-idf, naive Bayes, metrics, model selection, few-shot labelling,
            corpus preparation, transfer and domain-distance jobs, BPE
 plans      the named query catalogue and its SQL oracle
-streaming  (the reference workload is bounded batch only; see its docstring)
 """
 
 from lexiflow.session import checkpoint_dir, get_session
