@@ -2,8 +2,9 @@
 
 Every query reads the supplied tables (or views Spark derives from them) and
 runs over whole tables and whole texts.  Each callable takes
-``(spark, sf_dir)`` and returns a lazy DataFrame; ``lexiflow.plans.oracle``
-holds the equivalent DuckDB SQL under the same name.
+``(spark, sf_dir)`` and returns a DataFrame; fitted artefacts and tables that
+several queries share are computed and stored while it is built, the rest when
+the result is used.  ``lexiflow.plans.oracle`` holds the equivalent DuckDB SQL under the same name.
 """
 
 from __future__ import annotations
@@ -856,12 +857,14 @@ def answer_span_ll(spark, sf):
     rows = _fs_dev(spark, sf).withColumn("candidate", F.explode(F.array(*[F.lit(x) for x in TX.LABELS])))
     seq = rows.select("lang", "id", "candidate", TX.word_tokens(TX.template("text", "candidate")).alias("t"),
                       F.size(TX.word_tokens("candidate")).alias("ans_len"))
-    prev = F.slice(F.concat(F.array(F.lit(CO.START)), F.col("t")), 1, F.size("t"))
-    tok = seq.select("lang", "id", "candidate", "ans_len", F.size("t").alias("n_tokens"),
-                     F.posexplode(F.arrays_zip(prev.alias("prev"), F.col("t").alias("w"))).alias("pos", "_e")) \
-        .select("lang", "id", "candidate", "ans_len", "n_tokens", "pos",
-                F.col("_e.prev").alias("prev"), F.col("_e.w").alias("w"))
-    span = tok.where(F.col("pos") >= F.col("n_tokens") - F.col("ans_len"))
+    # only the answer's tokens, each with the one before, are taken apart
+    tail = F.slice(F.concat(F.array(F.lit(CO.START)), F.col("t")), -(F.col("ans_len") + 1), F.col("ans_len") + 1)
+    pairs = F.arrays_zip(F.slice(F.col("tail"), F.lit(1), F.col("ans_len")).alias("prev"),
+                         F.slice(F.col("tail"), F.lit(2), F.col("ans_len")).alias("w"))
+    span = (seq.where("ans_len > 0").withColumn("tail", tail)
+            .select("lang", "id", "candidate", "ans_len", F.size("t").alias("n_tokens"), F.posexplode(pairs).alias("_k", "_e"))
+            .select("lang", "id", "candidate", "ans_len", "n_tokens", (F.col("n_tokens") - F.col("ans_len") + F.col("_k")).alias("pos"),
+                    F.col("_e.prev").alias("prev"), F.col("_e.w").alias("w")))
     lp = (span.join(n2, ["lang", "prev", "w"], "left").join(n1, ["lang", "prev"], "left").join(V, "lang")
           .withColumn("logp", F.log((F.coalesce("n2", F.lit(0)) + 1.0) / (F.coalesce("n1", F.lit(0)) + F.col("V")))))
     out = FS.answer_span_mean(lp, ["lang", "id", "candidate"])
