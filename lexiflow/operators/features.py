@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import ngram_structs, word_tokens
+from lexiflow.operators.sizes import small_side
 
 # Fixed values of the reference vectoriser grid.
 MIN_DF = 7
@@ -91,9 +92,9 @@ def fit_vocab(train_terms: DataFrame, train_docs: DataFrame, key_cols: list[str]
 def term_counts(terms: DataFrame, vocab: DataFrame, key_cols: list[str], id_col: str = "id") -> DataFrame:
     """JN-03 / FEA-05: keep in-vocabulary terms -> (key..., id, term_index, tf).
 
-    The vocabulary side is bounded by k rows per key; AQE broadcasts it when
-    its measured size is small and shuffles otherwise."""
-    return (terms.join(vocab.select(*key_cols, "term", "term_index"), [*key_cols, "term"])
+    The vocabulary side is bounded by k rows per key; it is broadcast when
+    its measured size is small and shuffled otherwise."""
+    return (terms.join(small_side(vocab.select(*key_cols, "term", "term_index")), [*key_cols, "term"])
             .select(*key_cols, id_col, "term_index", "tf"))
 
 

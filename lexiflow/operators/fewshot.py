@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions.text import LABELS, label_to_id, template, word_tokens
 from lexiflow.operators.rank import hash_rank
 from lexiflow.operators.splits import class_sample, dedupe_last_label
+from lexiflow.operators.sizes import small_side
 from lexiflow.session import materialize
 
 START = "<s>"
@@ -90,6 +91,7 @@ def bigram_scores(examples: DataFrame, rows: DataFrame, group_cols: list[str], a
     ev = (_events(rows.select(*g, id_col, text_col), g + [id_col], word_tokens(text_col))
           .groupBy(*g, id_col, "prev", "w").agg(F.count(F.lit(1)).alias("m")))
     n_tok = rows.select(*g, id_col, F.size(word_tokens(text_col)).alias("n_tok"))
+    n2, n1, classes = small_side(n2), small_side(n1), small_side(classes)
     part_a = (ev.join(n2, g + ["prev", "w"])
               .groupBy(*g, id_col, "candidate")
               .agg(F.sum(F.col("m") * (F.log(F.col("n2") + a) - F.log(a))).alias("_a")))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lexiflow.functions.text import label_to_id
+from lexiflow.operators.sizes import small_side
 from lexiflow.session import materialize
 
 ALPHAS = [1e-3, 0.1, 1.0, 10.0, 1e3]  # fixed grid of the reference
@@ -70,9 +71,11 @@ def scores(eval_x: DataFrame, eval_docs: DataFrame, classes: DataFrame, term_cou
     (doc, class) result is then unpivoted to one row per alpha."""
     length = eval_x.groupBy(*key_cols, id_col).agg(F.sum("x").alias("_len"))
     docs = eval_docs.join(length, [*key_cols, id_col], "left").fillna(0.0, ["_len"])
-    cls = classes.withColumnRenamed(label_col, "class")
+    # a language, or a term that most documents hold, is one join key: with the fitted
+    # tables broadcast (their size is checked) no row of the corpus is shuffled by it
+    cls = small_side(classes.withColumnRenamed(label_col, "class"))
     base = docs.join(cls, key_cols).withColumn("_base", F.col("prior") + F.col("_len") * F.col("floor"))
-    j = eval_x.join(term_counts.withColumnRenamed(label_col, "class"), [*key_cols, "term_index"])
+    j = eval_x.join(small_side(term_counts.withColumnRenamed(label_col, "class")), [*key_cols, "term_index"])
     sums = [F.sum(F.col("x") * F.log((F.col("n_ct") + F.lit(float(a))) / F.lit(float(a)))).alias(f"_s{i}")
             for i, a in enumerate(alphas)]
     sp = j.groupBy(*key_cols, id_col, "class").agg(*sums)
