@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from lexiflow.session import checkpoint_dir
 from lexiflow.sources.tables import read_table
 
-#: Rows in an Arrow batch given to a Python worker: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch given to a Python worker: bounds a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -35,8 +35,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
