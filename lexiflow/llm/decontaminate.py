@@ -33,6 +33,7 @@ from lexiflow.llm.common import stored
 WINDOW = 13
 CONTAMINATED_PERCENT = 5
 BROADCAST_BYTES = 32 << 20
+LENGTH = " "  # no word: the index entry of a document's length
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -60,10 +61,6 @@ def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return rows.select("item", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
 
 
-def _tokens(docs: DataFrame, extra: list[str]) -> DataFrame:
-    return docs.select(*extra, "words", F.posexplode("words").alias("pos", "term"))
-
-
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, words): ``th`` tells texts of one id apart."""
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"),
@@ -88,12 +85,16 @@ def probes(wins: DataFrame, counts: DataFrame, rarest: int = 1) -> DataFrame:
 
 
 def postings(tokens: DataFrame, terms: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """The stored index for ``terms``: (term, id, th, pos, start, near), ``near``
-    being the words of the document from position ``start`` on, up to ``reach`` - 1 words either side of ``pos``."""
-    rows = _tokens(tokens, ["id", "th"]).join(sized(terms), "term")
-    start = F.greatest(F.col("pos") - (reach - 1), F.lit(0))
-    return stored(rows.select("term", "id", "th", "pos", start.alias("start"),
-                              F.slice("words", start + 1, F.col("pos") - start + reach).alias("near")), "postings")
+    """The stored index for ``terms``: (term, id, th, pos, start, near, n_words), ``near``
+    being the words of the document from position ``start`` on, up to ``reach`` - 1 words either side of ``pos``.
+    Each row of the documents also has an entry under ``LENGTH``, with its number of words."""
+    rows = tokens.select("id", "th", "words", F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("pos", "term"))
+    rows = rows.join(sized(terms.unionByName(terms.sparkSession.createDataFrame([(LENGTH,)], "term string"))), "term")
+    pos, word = F.col("pos") - 1, F.col("term") != LENGTH
+    start = F.greatest(pos - (reach - 1), F.lit(0))
+    return stored(rows.select("term", "id", "th", pos.alias("pos"), start.alias("start"),
+                              F.when(word, F.slice("words", start + 1, pos - start + reach)).alias("near"),
+                              F.when(~word, F.size("words").cast("long")).alias("n_words")), "postings")
 
 
 def phrase_matches(index: DataFrame, probe: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     wins = stored(windows(bench), "bench-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
     probe = stored(probes(wins, term_counts(tokens, terms)), "bench-probes")
-    hits = phrase_matches(postings(tokens, probe.select("term").distinct()), probe)
+    index = postings(tokens, probe.select("term").distinct())
+    hits = phrase_matches(index, probe)
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(x["last"] - F.greatest(x["first"], acc["upto"] + 1) + 1, F.lit(0))).alias("n"),
         F.greatest(acc["upto"], x["last"]).alias("upto"))
@@ -128,7 +130,7 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     found = hits.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
         F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")), step, lambda acc: acc["n"]).alias("_hit"),
         F.array_sort(F.collect_set("item")).alias("_items"))
-    sizes = tokens.select("id", "th", F.size("words").cast("long").alias("n_words"))
+    sizes = index.where(F.col("term") == LENGTH).select("id", "th", "n_words")
     items = F.coalesce("_items", F.expr("CAST(array() AS array<string>)"))
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     return (sizes.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
