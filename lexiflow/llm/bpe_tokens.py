@@ -7,8 +7,8 @@ makes at most three point updates (the merged pair, its left neighbour, the
 part that went away), each logarithmic in the match's length.  A match of n
 bytes so costs O(n log n), also where a text is one word of 100,000 letters.
 
-Frequent matches are remembered in a bounded two-generation table per Python
-worker; the table changes the time, never the result.
+Frequent matches are remembered in a bounded two-generation table per task;
+the table changes the time, never the result.
 
 Nulls: a null text is read as empty and has no ids; null ids decode to no
 bytes.  Empty tables give empty results; every input row gives one row, so
@@ -18,6 +18,7 @@ repeated rows stay repeated.  Only the id and text columns are read.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +98,18 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int], longest: int = 64):
         self.ranks, self.longest = ranks, longest
         self.none = none = np.int32(2**31 - 1)
-        pairs = {}
+        pairs, merged = array("q"), array("i")  # each pair makes one word, so none comes twice
         for word, rank in ranks.items():
             for i in range(1, len(word)):
                 a, b = ranks.get(word[:i]), ranks.get(word[i:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        keys = np.fromiter(pairs, np.int64, len(pairs))
+                    pairs.append(a << 32 | b)
+                    merged.append(rank)
+        keys = np.array(pairs, np.int64)
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.int64(2**63 - 1))
-        self.merged = np.append(np.fromiter(pairs.values(), np.int32, len(pairs))[order], none)
+        self.merged = np.append(np.array(merged, np.int32)[order], none)
+        self.own = {i: i for i in ranks.values()}  # one object for each id
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
     def pair_rank(self, a, b):
@@ -185,7 +188,7 @@ class Merger:
         counts = live.reshape(k, size).sum(1)
         flat, a = ids[live].tolist(), 0
         for c in counts.tolist():
-            yield tuple(flat[a:a + c])
+            yield tuple(map(self.own.__getitem__, flat[a:a + c]))
             a += c
 
 
@@ -193,13 +196,14 @@ class Encoder:
     """Texts -> ids.  Up to ``2 * most`` matches are remembered; those that a
     batch of texts adds are merged together."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 100_000, longest: int = 64):
         import regex
 
         self.ranks, self.most, self.longest = ranks, most, longest
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.find, self.merger = regex.compile(pattern).findall, Merger(ranks, longest)
+        self.bytes_of = {i: b for b, i in ranks.items()}
 
     def learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of matches that ``known`` lacks; returns those too long to remember."""
@@ -217,7 +221,18 @@ class Encoder:
             known[p] = ids
         return long
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
+    def encode_many(self, texts: list[str], most_chars: int = 1 << 20) -> list[list[int]]:
+        """Ids of each text; texts are taken together up to ``most_chars``, which bounds the memory for their matches."""
+        out, group, chars = [], [], 0
+        for x in texts:
+            if group and chars + len(x) > most_chars:
+                out += self._encode_group(group)
+                group, chars = [], 0
+            group.append(x)
+            chars += len(x)
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[list[int]]:
         found = [self.find(x) for x in texts]
         known = self.known
         new = set()
@@ -235,27 +250,30 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
 
-
-_ENCODERS: dict = {}
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """The worker's encoder, kept between the tasks that it runs."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    """A task's encoder; it goes with the task, so idle workers hold no memory."""
+    return Encoder(load_ranks(path), pattern)
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) for every row; with ``decoded`` also the bytes that the ids decode to."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                        *[T.StructField("decoded", T.BinaryType())] * decoded])
 
     def run(batches):
         enc = encoder(ranks_path, pattern)
         for b in batches:
-            ids = pa.array(enc.encode_many([x or "" for x in b.column(1).to_pylist()]), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])
+            ids = enc.encode_many([x or "" for x in b.column(1).to_pylist()])
+            cols = [b.column(0), pa.array(ids, pa.list_(pa.int32()))]
+            if decoded:
+                cols.append(pa.array([enc.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded"][:len(cols)])
 
     return map_batches(src, run, out)
 
@@ -279,7 +297,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded texts."""
-    rows = decode(encode(df, ranks_path, pattern), ranks_path)
+    rows = encode(df, ranks_path, pattern, decoded=True)
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
     return rows.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
