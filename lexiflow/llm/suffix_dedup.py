@@ -254,7 +254,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(row, id, start, end, other): word ranges of every document that consist of repeated passages; ``end`` is exclusive."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", row_key())
     marks = stored(anchors(rows, least, gram), "anchors")
-    often = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("_gram"))
+    # stored, so that both sides of the join are plain exchanges, whose hot partitions Spark splits
+    often = stored(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("_gram")), "repeated-grams")
     kept = marks.join(often, F.col("gram") == F.col("_gram"), "left_semi")
     return spans(matches(suffixes(rows, kept, least, gram), least, gram, neighbours))
 
