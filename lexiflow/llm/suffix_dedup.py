@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,26 +154,35 @@ def _common(a, a_n, b, b_n) -> np.ndarray:
     return np.minimum(n, np.minimum(a_n, b_n))
 
 
-def compared(rows: pa.Table, reach: int, least: int, gram: int, neighbours: int) -> pa.Table:
-    """(row, id, start, end, other) of each pair of close rows with a common passage of ``least`` words; both ways."""
+def compared(rows: pa.Table, reach: int, least: int, gram: int, neighbours: int) -> pa.Table | None:
+    """(row, id, start, end, other) of each suffix that shares a passage of
+    ``least`` words with a close one: all such passages hold its gram, so they
+    join to one range; ``other`` is the least document of them."""
     g = rows.column("gram").to_numpy()
     right, right_n = _words(rows.column("right"), reach)
     left, left_n = _words(rows.column("left"), reach)
     pos = rows.column("pos").to_numpy().astype(np.int64)
-    parts = []
+    rank = pc.rank(rows.column("id"), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    none = np.int64(len(g) + 1)
+    start, end, other = pos.copy(), np.zeros(len(g), np.int64), np.full(len(g), none)
     for d in range(1, min(neighbours, len(g) - 1) + 1):
         i = np.flatnonzero(g[:-d] == g[d:])
-        if not len(i):
-            continue
         j = i + d
         after = _common(right[i], right_n[i], right[j], right_n[j])
         before = _common(left[i], left_n[i], left[j], left_n[j])
         long = before + gram + after >= least
         i, j, after, before = i[long], j[long], after[long], before[long]
         for x, y in ((i, j), (j, i)):
-            parts.append(pa.table({"row": rows.column("row").take(x), "id": rows.column("id").take(x), "start": pos[x] - before,
-                                   "end": pos[x] + gram + after, "other": rows.column("id").take(y)}))
-    return pa.concat_tables(parts) if parts else None
+            start[x] = np.minimum(start[x], pos[x] - before)
+            end[x] = np.maximum(end[x], pos[x] + gram + after)
+            other[x] = np.minimum(other[x], rank[y])
+    hit = np.flatnonzero(other < none)
+    if not len(hit):
+        return None
+    holder = np.zeros(none, np.int64)
+    holder[rank] = np.arange(len(g))
+    return pa.table({"row": rows.column("row").take(hit), "id": rows.column("id").take(hit), "start": start[hit], "end": end[hit],
+                     "other": rows.column("id").take(holder[other[hit]])})
 
 
 def _compare(df: DataFrame, least: int, gram: int, neighbours: int, edges: bool) -> DataFrame:
