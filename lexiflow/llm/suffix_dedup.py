@@ -6,18 +6,19 @@ of a passage keep the same positions, chosen by content alone.
 
 1. ``anchors``    the minimiser positions of every text: (gram, row, pos)
 2. anchors whose gram occurs once are dropped (counts are summed up in each task first)
-3. ``suffixes``   for the rest the suffix: gram, the words to its right, those to its left, reversed
-4. ``matches``    suffixes are range-sorted by all three, so a gram that a third of all documents hold
-   is spread over many tasks; each is compared with its ``NEIGHBOURS`` next ones on
-   either side, and a common part is extended to the right and left; rows at the edges of sorted
-   partitions are compared in a second, small step
-5. ``spans``      a document's overlapping matches joined
-
-Every reported span consists of passages of at least ``LEAST`` words that occur
-elsewhere (words compared by 32-bit hashes, grams by 64-bit ones).  A passage of ``2 * LEAST - GRAM`` words or more
-that occurs twice is always found: its first anchor's best neighbour
-already shares ``LEAST`` words to the right.  A shorter one, of ``LEAST`` words or
-more, is found unless all compared neighbours share more with the suffix to the right but less to the left.
+3. ``suffixes``   for grams that occur at most ``NEIGHBOURS + 1`` times the suffix: gram, the words to its
+   right, those to its left, reversed
+4. ``matches``    suffixes are range-sorted by all three; each is compared with its ``NEIGHBOURS`` next ones on
+   either side, so with all of its gram, and a common part is extended to the right and left; rows at the
+   edges of sorted partitions are compared in a second, small step
+5. ``windows``    for grams that occur more often the hashes of the windows whose minimiser they are
+   (one row for a window, however many hold the gram), and ``repeats``, those that occur twice: no two
+   occurrences are compared, so a gram that a third of all documents hold costs no more than others
+6. ``spans``      a document's overlapping matches joined
+
+Both copies of a window have the same minimiser, so its gram sends both to step 4 or both to step 5: the
+spans are the union of all windows of ``LEAST`` words that occur twice (words compared by 32-bit hashes in
+step 4, grams and windows by 64-bit ones).
 
 Rows are told apart by id and text.  Nulls: a null text has no words; a null id is an id like others.  Texts
 of fewer than ``LEAST`` words have no spans.  Repeated rows repeat each other's
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import batch, map_batches, stored
@@ -139,6 +140,45 @@ def suffixes(rows: DataFrame, kept: DataFrame, least: int = LEAST, gram: int = G
     return map_batches(src, run, f"gram long, right binary, left binary, id {kind}, row long, pos int")
 
 
+def windows(rows: DataFrame, crowded: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(win, id, row, pos): a hash of each window of ``least`` words whose minimiser is among ``crowded`` (row, pos)."""
+    lists = crowded.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("at"))
+    src = rows.join(lists, F.col("row") == F.col("_row")).select("id", "row", "text", "at")
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        known = WordHashes()
+        for b in batches:
+            for k in range(b.num_rows):
+                words = known.of(b.column(2)[k].as_py())
+                if len(words) < least:
+                    continue
+                view = np.lib.stride_tricks.sliding_window_view(grams(words, gram), least - gram + 1)
+                at = np.flatnonzero(np.isin(view.argmin(1) + np.arange(len(view)), b.column(3)[k].as_py()))
+                m = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams(words, least)[at].view(np.int64)), pa.array([b.column(0)[k].as_py()] * m, b.schema.field(0).type),
+                     pa.array(np.full(m, b.column(1)[k].as_py(), np.int64)), pa.array(at.astype(np.int32))],
+                    names=["win", "id", "row", "pos"])
+
+    return map_batches(src, run, f"win long, id {kind}, row long, pos int")
+
+
+def repeats(found: DataFrame, least: int = LEAST) -> DataFrame:
+    """(row, id, start, end, other) of each of the windows ``found`` that occurs twice; ``other`` is the least document of the other occurrences."""
+    # Spark keeps two rows of a window in each task before the shuffle
+    order = Window.partitionBy("win").orderBy(F.col("id").asc_nulls_last(), "row", "pos")
+    two = found.withColumn("k", F.row_number().over(order)).where("k <= 2")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    least_two = stored(two.groupBy(F.col("win").alias("_win")).agg(
+        F.count("*").alias("n"), of(1, "id").alias("_id"), of(1, "row").alias("_row"), of(1, "pos").alias("_pos"), of(2, "id").alias("_next"))
+        .where("n > 1").drop("n"), "repeated-windows")
+    own = (F.col("row") == F.col("_row")) & (F.col("pos") == F.col("_pos"))
+    start = F.col("pos").cast("long")
+    return (found.join(least_two, F.col("win") == F.col("_win"))
+            .select("row", "id", start.alias("start"), (start + least).alias("end"), F.when(own, F.col("_next")).otherwise(F.col("_id")).alias("other")))
+
+
 def _words(column: pa.Array, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """A binary column as a matrix of words, and the number of words in each row."""
     data = column.to_pylist()
@@ -265,9 +305,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("row", row_key())
     marks = stored(anchors(rows, least, gram), "anchors")
     # stored, so that both sides of the join are plain exchanges, whose hot partitions Spark splits
-    often = stored(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("_gram")), "repeated-grams")
-    kept = marks.join(often, F.col("gram") == F.col("_gram"), "left_semi")
-    return spans(matches(suffixes(rows, kept, least, gram), least, gram, neighbours))
+    often = stored(marks.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated-grams")
+    kept = stored(marks.join(often, F.col("gram") == F.col("_gram")).select("row", "pos", (F.col("_n") > neighbours + 1).alias("crowded")), "kept-anchors")
+    few = matches(suffixes(rows, kept.where("NOT crowded"), least, gram), least, gram, neighbours)
+    many = repeats(stored(windows(rows, kept.where("crowded"), least, gram), "windows"), least)
+    return spans(few.unionByName(many))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -171,6 +171,28 @@ def test_repeats_by_brute_force(spark):
     assert {(r["doc_id"], q) for r in got for q in range(r["start_word"], r["end_word"])} == want
 
 
+def test_repeats_among_many_holders_of_a_gram(spark):
+    rng = random.Random(18)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(40):
+        passage = words(rng.randrange(50, 61))
+        for k in range(22):  # two whole copies, and twenty that hold fewer than fifty of its last words
+            cut = rng.randrange(len(passage) - 49, len(passage) - 24) if k > 1 else 0
+            rows.append((len(rows), " ".join(words(60) + passage[cut:] + words(60)), "en", "s", 0))
+    size, seen, want = 50, {}, {}
+    for i, text, *_ in rows:
+        w = text.split()
+        for p in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[p:p + size]), []).append((i, p))
+    for at in seen.values():
+        for i, p in at:
+            for q in range(p, p + size) if len(at) > 1 else ():
+                want.setdefault((i, q), set()).update(j for j, _ in at if j != i)
+    got = {(r["doc_id"], q): r["other_doc_id"] for r in suffix_dedup.report(docs(spark, rows)).collect() for q in range(r["start_word"], r["end_word"])}
+    assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
+
+
 # --- benchmark passages -------------------------------------------------------
 
 def test_phrase_and_proximity_matches(spark):
