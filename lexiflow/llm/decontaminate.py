@@ -6,6 +6,7 @@
 ``phrase_matches``     exact occurrences of windows
 ``proximity_matches``  places where the rarest terms of a window stand close together, in any order
 ``mark``               hit words, items and the verdict for each document
+``near``               places and items of proximity matches for each document
 
 A window is ``WINDOW`` consecutive words of an item, or the whole item where it
 has fewer.  Only postings of terms that are the rarest of some window are stored; a window
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import stored
 
 WINDOW = 13
+RAREST = 3  # terms of a window that must stand close together
 CONTAMINATED_PERCENT = 5
 BROADCAST_BYTES = 32 << 20
 LENGTH = " "  # no word: the index entry of a document's length
@@ -115,13 +117,29 @@ def proximity_matches(index: DataFrame, probe: DataFrame, within: int = WINDOW)
             .select("id", "th", "item", "pos").distinct())
 
 
-def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th."""
+def indexed(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, rarest: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The ``rarest`` probes of the benchmark's windows, and the index of the documents for them."""
     tokens = tokenized(docs, id_col, text_col)
     wins = stored(windows(bench), "bench-windows")
     terms = wins.select(F.explode("terms").alias("term")).distinct()
-    probe = stored(probes(wins, term_counts(tokens, terms)), "bench-probes")
-    index = postings(tokens, probe.select("term").distinct())
+    probe = stored(probes(wins, term_counts(tokens, terms), rarest), "bench-probes")
+    return probe, postings(tokens, probe.where("rank = 1").select("term").distinct())
+
+
+def near(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_near (positions of proximity matches), near_items (sorted, joined by commas)."""
+    probe, index = indexed(docs, bench, id_col, text_col, RAREST)
+    found = proximity_matches(index, probe).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
+        F.size(F.collect_set("pos")).cast("long").alias("_near"), F.array_join(F.array_sort(F.collect_set("item")), ",").alias("_items"))
+    rows = index.where(F.col("term") == LENGTH).select("id", "th")
+    return (rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+            .select(F.col("id").alias("doc_id"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
+                    F.coalesce("_items", F.lit("")).alias("near_items")))
+
+
+def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th."""
+    probe, index = indexed(docs, bench, id_col, text_col)
     hits = phrase_matches(index, probe)
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(x["last"] - F.greatest(x["first"], acc["upto"] + 1) + 1, F.lit(0))).alias("n"),

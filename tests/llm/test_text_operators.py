@@ -211,6 +211,33 @@ def test_phrase_and_proximity_matches(spark):
     assert {(1, "7"), (5, "8")} <= ids and (2, "7") not in ids
 
 
+def test_near_terms_by_brute_force(spark, monkeypatch):
+    from lexiflow.llm import queries
+
+    rng = random.Random(19)
+    vocabulary = [f"t{i}" for i in range(60)]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 20)))) for i in range(12)]
+    rows = [(None if i == 3 else i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))), "en", "s", 0) for i in range(40)]
+    count = Counter(w for _, text, *_ in rows for w in text.split())
+    want = {}
+    for i, text, *_ in rows:
+        w, at, items = text.split(), set(), set()
+        for item, t in bench:
+            t = t.split()
+            for s in range(max(1, len(t) - 12)):
+                terms = sorted(set(t[s:s + 13]), key=lambda x: (count[x], x))
+                if not all(count[x] for x in terms):
+                    continue
+                places = [p for p in range(len(w)) if w[p] == terms[0] and set(terms[:3]) <= set(w[max(0, p - 12):p + 13])]
+                at |= set(places)
+                items |= {str(item)} if places else set()
+        want[i] = (len(at), ",".join(sorted(items)))
+    tables = {"documents": docs(spark, rows, clashes=False), "benchmark": spark.createDataFrame(bench, "item_id long, text string")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name, *cols: tables[name].select(*cols))
+    got = {r["doc_id"]: (r["n_near"], r["near_items"]) for r in queries.QUERIES["op10_near_terms"](spark, "").collect()}
+    assert got == want and any(n for n, _ in want.values())
+
+
 def test_overlapping_windows_count_words_once(spark):
     text = " ".join(["a b"] * 40)
     bench = spark.createDataFrame([(1, " ".join(["a b"] * 7)), (2, "b a")], "item_id long, text string")
