@@ -63,15 +63,16 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row, ``fp`` as a signed long."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, th, fp) of every row, ``fp`` as a signed long; ``th`` tells texts of one id apart."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
 
     def run(batches):
         for b in batches:
-            fps = [signed(fingerprint(x or "", shingle)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [signed(fingerprint(x or "", shingle)) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["id", "th", "fp"])
 
-    return map_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
+    return map_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, th long, fp long")
 
 
 # --- plan of the search -----------------------------------------------------
@@ -174,14 +175,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(id, fp, component) of every row of ``docs``."""
+    """(id, th, fp, root, component) of every row of ``docs``; ``root`` tells components apart whose least ids are equal."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-groups")
     roots = components(links(fps, distance))
     own = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component"))
-    named = own.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component")
+    named = own.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component")
+    return rows.join(named, F.col("fp") == F.col("_fp")).select("id", "th", "fp", "root", "component")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -190,14 +191,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The row with the least id of each component, with the columns of
-    ``docs``; rows with a null id all stay."""
+    """One row with the least id of each component, with the columns of ``docs``: of rows
+    that repeat this id the one with the least text hash; rows with a null id all stay."""
     found = stored(classes(docs), "classes")
-    gone = stored(found.where("id <> component").select(F.col("id").alias("_id")).distinct(), "copies")
-    gone = sized(gone)
-    rest = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    again = found.where("id = component").groupBy("id").count().where("count > 1").limit(1).count()
-    if again:  # rows that repeat an id
-        repeats = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        rest = repeats.unionByName(rest.where("doc_id IS NULL"))
+    first = found.where("id = component")
+    best = first.groupBy(F.col("root").alias("_root")).agg(F.min("th").alias("_best"))
+    others = first.join(best, F.col("root") == F.col("_root")).where("th <> _best")
+    gone = found.where("id <> component").select("id", "th").unionByName(others.select("id", "th"))
+    gone = sized(stored(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "copies"))
+    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rest = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (th == gone["_th"]), "left_anti")
+    again = first.groupBy("id", "th").count().where("count > 1").limit(1).count()
+    if again:  # rows that repeat an id and its text
+        rows = rest.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        repeats = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text_hash"])
+        rest = repeats.unionByName(rows.where("doc_id IS NULL")).drop("_text_hash")
     return rest

@@ -146,6 +146,15 @@ def test_fingerprint_uses_whole_sequences():
     assert simhash.fingerprint(" \n") == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (5, text(2)), (3, text(3)), (3, text(4)), (4, text(5)), (4, text(5)), (None, text(6)), (None, text(6))]
+    got = simhash.distinct_documents(docs(spark, [(i, t, "en", "s", 0) for i, t in rows]))
+    # (2, text 1) is a copy of 1; (2, text 2) is the first of its own group, as both texts of 3 are
+    want = [(1, text(1)), (2, text(2)), (3, text(3)), (3, text(4)), (4, text(5)), (None, text(6)), (None, text(6))]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in got.collect())
+
+
 # --- repeated passages --------------------------------------------------------
 
 def test_repeats_by_brute_force(spark):
