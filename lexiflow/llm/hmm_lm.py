@@ -105,7 +105,7 @@ def lexicon(counts: DataFrame, own: int = OWN, head: int = HEAD) -> tuple[Lexico
         if upto > head:
             least = r["c"] + 1
             break
-    words = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).collect()]
+    words = [(bytes(r["word"]), r["c"]) for r in counts.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).collect()]
     top = {w for w, _ in sorted(((w, c) for w, c in words if w), key=lambda x: (-x[1], x[0]))[:own - 1]} | {END}
     b = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(BUCKETS))
     sums = np.ones(BUCKETS)

@@ -98,6 +98,21 @@ def test_scores_with_rare_words_by_join(spark, monkeypatch):
         assert -1e6 < whole[i]["score"] < 0
 
 
+def test_end_token_is_counted_when_many_words_are_commoner(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "HEAD", 5)
+    rows = [(i, " ".join(f"w{k}" for k in range(12) for _ in range(20 - k)), "en", "s", 0) for i in range(20)]
+    df = docs(spark, rows, clashes=False)
+    counts = hmm_lm.count_words(df.where(~hmm_lm.is_held_out("doc_id")).select("text"))
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    lex, least = hmm_lm.lexicon(counts, own=4, head=5)
+    assert least > c[hmm_lm.END] == lex.count[hmm_lm.END]
+    total, distinct = sum(c.values()), len(c)
+    for r, (_, text, *_) in zip(sorted(hmm_lm.score(df, states=2, rounds=1).collect(), key=lambda r: r["id"]), rows):
+        words = hmm_lm.tokens(text)
+        assert r["n_known"] == sum(c.get(w, 0) > 0 for w in words)
+        assert math.isclose(r["base_score"], sum(math.log10((c.get(w, 0) + 1) / (total + distinct + 1)) for w in words), rel_tol=1e-9)
+
+
 def test_model_beats_counts_on_held_out_text(spark):
     from lexiflow.llm.queries import op3_hmm_lm
     from tests.conftest import SF01
