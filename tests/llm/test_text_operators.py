@@ -359,6 +359,22 @@ def test_allow_list():
         assert secret_scan.entropy_spans(harmless, []) == []
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "+/"])
+def test_random_keys_are_found_whole(alphabet):
+    rng = random.Random(20)
+    if alphabet == "+/":
+        alphabet += "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for size, least in ((20, 0.94), (24, 0.96), (40, 0.99), (64, 0.99)):
+        keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(500)]
+        found = [secret_scan.entropy_spans(f"id {x} end", []) == [("entropy", 3, 3 + size, False)] for x in keys]
+        assert sum(found) >= least * len(keys)
+
+
+def test_a_pattern_inside_a_run_leaves_the_rest():
+    key = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9"
+    assert secret_scan.secret_spans(f"AKIA0123456789ABCD/{key}") == [("access", 0, 18, True), ("entropy", 18, 19 + len(key), False)]
+
+
 # --- urls ---------------------------------------------------------------------
 
 def test_rules_and_parts(spark):
