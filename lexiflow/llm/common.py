@@ -34,6 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, limit: int = 8 << 20) -> bool:
+    """Whether the files of ``df``, a stored table, have at most ``limit`` bytes, by Spark's own estimate of a scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` bytes."""
     conf = df.sparkSession.conf

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.llm import bpe_tokens, decontaminate, hmm_lm, pii_crf, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc_zip
+from lexiflow.llm import (bpe_tokens, decontaminate, hmm_lm, lexical_search, pii_crf, quality_rules, secret_scan, simhash, suffix_dedup,
+                          token_alignment, toxicity, url_filter, warc_zip)
 from lexiflow.llm.common import table
 
 
@@ -61,10 +62,27 @@ def op10_near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.near(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.report(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_url_filter, op3_hmm_lm, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf,
-        op8_warc_zip, op9_secret_scan, op10_decontaminate, op10_near_terms)}
+        op8_warc_zip, op9_secret_scan, op10_decontaminate, op10_near_terms,
+        op11_toxicity, op12_token_alignment, op13_lexical_search)}
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_quality_rules": quality_rules.SQL, "op8_warc_zip": warc_zip.SQL, "op10_decontaminate": decontaminate.SQL}
+    "op4_quality_rules": quality_rules.SQL, "op8_warc_zip": warc_zip.SQL, "op10_decontaminate": decontaminate.SQL,
+    "op13_lexical_search": lexical_search.SQL}
