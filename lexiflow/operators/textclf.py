@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.functions.text import LABELS, label_to_id
 from lexiflow.operators import features as FE
+from lexiflow.operators import metrics as M
+from lexiflow.operators import multimodel as MM
 from lexiflow.operators import naive_bayes as NB
-from lexiflow.session import materialize
+from lexiflow.session import materialize, stored
 
 FEATURE_SETS = [(w, m) for m in (1, 2, 3) for w in ("count", "tfidf")]  # 6 sets of the grid
 
@@ -103,3 +106,40 @@ def naive_bayes_run(terms: DataFrame, train_assign: DataFrame, eval_assign: Data
     if return_scores:
         return sc
     return NB.predict(sc, kf, [label_col, *keep_cols], id_col)
+
+
+ROWS_PER_SLICE = 4096  # of a grid's stored rows
+
+
+def grid_rows(terms: DataFrame, train_assign: DataFrame, eval_assign: DataFrame, key: str, feature_sets=FEATURE_SETS, **vocab_kw):
+    """The rows of a classifier grid: (rows, problems, widths, class_rows) as ``multimodel.grid`` takes them.
+
+    A problem is a value of ``key`` with a feature set; ``problems`` is the small table (problem, key, feature_set).  Rows without
+    a known term have empty features.  The stored rows are ordered by problem and cut into even ranges, so a
+    key that holds most rows is spread over tasks and a scan of some problems skips the others' files."""
+    spark = terms.sparkSession
+    _, x, _, sizes = featurize(terms, train_assign, eval_assign, [key], feature_sets, **vocab_kw)
+    found = [(i, r[key], r["feature_set"], r["V"]) for i, r in enumerate(sizes.orderBy(key, "feature_set").collect())]
+    key_type = train_assign.schema[key].dataType.simpleString()
+    problems = spark.createDataFrame([f[:3] for f in found], f"problem long, `{key}` {key_type}, feature_set string")
+    vectors = x.groupBy(key, "feature_set", "id").agg(F.array_sort(F.collect_list(F.struct("term_index", "x"))).alias("_v"))
+    docs = with_feature_sets(eval_assign.select(key, "id", "label", "split"), feature_sets)
+    rows = docs.join(vectors, [key, "feature_set", "id"], "left").join(F.broadcast(problems), [key, "feature_set"])
+    rows = rows.select("problem", "id", "split", label_to_id("label").cast("long").alias("y"),
+                       F.coalesce(F.col("_v.term_index").cast("array<int>"), F.expr("CAST(array() AS array<int>)")).alias("idx"),
+                       F.coalesce(F.col("_v.x"), F.expr("CAST(array() AS array<double>)")).alias("val"))
+    slices = max(4, eval_assign.count() * len(feature_sets) // ROWS_PER_SLICE)
+    rows = stored(rows.repartitionByRange(slices, "problem", F.xxhash64("id")), "grid-rows")
+    counts = rows.where("split = 'train' AND y IS NOT NULL").groupBy("problem", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    class_rows = {f[0]: dict.fromkeys(range(len(LABELS)), 0) for f in found}
+    for r in counts:
+        class_rows[r["problem"]][r["y"]] = r["n"]
+    return rows.where("y IS NOT NULL"), problems, {f[0]: f[3] for f in found}, class_rows
+
+
+def grid_scores(conf: DataFrame, problems: DataFrame, key: str) -> DataFrame:
+    """(key, feature_set, family, c) with accuracy, weighted F1 and balanced accuracy on train, dev and test."""
+    named = conf.select("problem", "family", "c", "split", F.col("y").alias("label"), F.col("predicted").alias("prediction"), "cnt")
+    m = M.from_confusion(named, ["problem", "family", "c", "split"], digits=None).join(F.broadcast(problems), "problem")
+    return (m.groupBy(key, "feature_set", "family", "c").pivot("split", ["train", "dev", "test"])
+            .agg(F.first("accuracy").alias("acc"), F.first("weighted_f1").alias("f1"), F.first("balanced_accuracy").alias("bacc")))

@@ -22,6 +22,7 @@ from lexiflow.operators import transfer as XF
 from lexiflow.operators import features as FE
 from lexiflow.operators import lexicon as LX
 from lexiflow.operators import metrics as M
+from lexiflow.operators import multimodel as MM
 from lexiflow.operators import splits as S
 from lexiflow.operators import textclf as TC
 from lexiflow.operators.rank import hash_rank
@@ -389,12 +390,9 @@ def nb_repeat_mean(spark, sf):
 
 def _grid_metrics(terms, train, ev, key):
     """Scores of every (feature set, smoothing) model of each ``key`` on its train, dev and test rows."""
-    p = TC.naive_bayes_run(terms, train, ev, [key], TC.FEATURE_SETS, TC.NB.ALPHAS, keep_cols=["split"])
-    m = M.evaluate(p, [key, "feature_set", "alpha", "split"], digits=None)
-    return (m.groupBy(key, "feature_set", "alpha")
-            .pivot("split", ["train", "dev", "test"])
-            .agg(F.first("accuracy").alias("acc"), F.first("weighted_f1").alias("f1"),
-                 F.first("balanced_accuracy").alias("bacc")))
+    rows, problems, widths, counts = TC.grid_rows(terms, train, ev, key)
+    conf, _ = MM.grid(rows, widths, counts, {"naive_bayes": TC.NB.ALPHAS})
+    return TC.grid_scores(conf, problems, key).withColumnRenamed("c", "alpha").drop("family")
 
 
 def _grid_best(g, key):
@@ -435,6 +433,54 @@ def lexicon_grid_best(spark, sf):
     return _grid_best(_grid_metrics(terms, sp.where(F.col("split") == "train").drop("split"), sp, "lang"), "lang")
 
 
+# family -> its settings in the reference's order: smoothing, or C of the linear kernel and of the logistic regression
+CLF_FAMILIES = {"naive_bayes": TC.NB.ALPHAS, "svm": CL.SVC_C, "logreg": CL.LOGREG_C}
+
+
+def _corpora(spark, sf):
+    """(corpus, id, label, split): every language and the pooled corpus, each with its own split."""
+    own = _all_assign(spark, sf).withColumnRenamed("lang", "corpus")
+    return own.unionByName(pooled_corpus(spark, sf).select(F.lit("pooled").alias("corpus"), "id", "label", "split"))
+
+
+def _clf_grid(spark, sf):
+    """Scores of every deterministic setting on every corpus and feature set, and how each fit ended."""
+    def build():
+        ev = shared(spark, sf, "corpora", lambda: _corpora(spark, sf))
+        rows, problems, widths, counts = TC.grid_rows(_terms(spark, sf, 3), ev.where(F.col("split") == "train").drop("split"), ev, "corpus")
+        conf, ends = MM.grid(rows, widths, counts, CLF_FAMILIES)
+        return TC.grid_scores(conf, problems, "corpus").join(ends.join(F.broadcast(problems), "problem").drop("problem"),
+                                                             ["corpus", "feature_set", "family", "c"])
+    return shared(spark, sf, "clf_grid", build)
+
+
+def _place(values, col):
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col))
+
+
+def _setting_no():
+    return F.coalesce(*[F.when(F.col("family") == f, _place(cs, "c")) for f, cs in CLF_FAMILIES.items()])
+
+
+_CLF_SCORES = ["train_acc", "dev_f1", "test_acc", "test_f1", "test_bacc"]
+
+
+def clf_grid(spark, sf):
+    """SEL-01 / CLS-02 / CLS-04: naive Bayes, linear SVM (one against one) and logistic regression, every setting
+    on every feature set, for each language and pooled, trained together; ``rounds`` and
+    ``slope`` say how many steps the slowest of a setting's fits took and the largest gradient entry left."""
+    return _clf_grid(spark, sf).select("corpus", "feature_set", "family", F.col("c").alias("setting"), "fits", "rounds", F.round("slope", R6).alias("slope"),
+                                       *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
+
+
+def clf_grid_best(spark, sf):
+    """SEL-03: the best setting and feature set of each corpus and family by dev weighted F1, the earlier one on ties."""
+    sets = [TC.feature_set_name(w, m) for w, m in TC.FEATURE_SETS]
+    w = Window.partitionBy("corpus", "family").orderBy(F.desc(F.round("dev_f1", 9)), _place(sets, "feature_set"), _setting_no())
+    best = _clf_grid(spark, sf).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    return best.select("corpus", "family", "feature_set", F.col("c").alias("setting"), *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
+
+
 def best_checkpoint(spark, sf):
     """SEL-04/05 on the grid's metric history: per language the (feature
     set, alpha) checkpoint with the best dev balanced accuracy (first in
@@ -724,8 +770,17 @@ def _clf_data(spark, sf, tfidf=False, vocab_size=FE.TOP_K):
     return shared(spark, sf, key, build)
 
 
+def _pooled_linear(spark, sf, family, feature_set, name):
+    """One linear family on the languages' pooled rows, split by language, with one feature set."""
+    ev = _split3(spark, sf).select(F.lit("pooled").alias("corpus"), "id", "label", "split")
+    rows, problems, widths, counts = TC.grid_rows(_terms(spark, sf, feature_set[1]), ev.where(F.col("split") == "train").drop("split"), ev, "corpus", [feature_set])
+    conf, _ = MM.grid(rows, widths, counts, {family: CLF_FAMILIES[family]})
+    g = TC.grid_scores(conf, problems, "corpus")
+    return g.select(F.lit(name).alias("family"), F.concat(F.lit("C="), "c").alias("config"), *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
+
+
 def svm_linear(spark, sf):
-    return CL.run_grid(spark, CL.linear_svm_jobs(_clf_data(spark, sf)))
+    return _pooled_linear(spark, sf, "svm", ("count", 1), "linear_svm")
 
 
 def svm_rff(spark, sf):
@@ -733,7 +788,7 @@ def svm_rff(spark, sf):
 
 
 def logreg(spark, sf):
-    return CL.run_grid(spark, CL.logreg_jobs(_clf_data(spark, sf, tfidf=True)))
+    return _pooled_linear(spark, sf, "logreg", ("tfidf", 1), "logreg")
 
 
 def forest(spark, sf):

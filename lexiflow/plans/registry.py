@@ -20,7 +20,7 @@ NAMES = [
     # features
     "df_tf", "vocab_topk_1", "vocab_topk_2", "vocab_topk_3", "vocab_topk_ties", "tf_counts", "idf", "tfidf_l2", "feature_grid",
     # naive Bayes, selection, evaluation
-    "nb_predict", "nb_repeat_mean", "nb_grid_best", "pooled_grid_best", "lexicon_grid_best", "best_checkpoint", "constant_baseline", "nb_metrics", "slice_metrics",
+    "nb_predict", "nb_repeat_mean", "nb_grid_best", "pooled_grid_best", "lexicon_grid_best", "clf_grid", "clf_grid_best", "best_checkpoint", "constant_baseline", "nb_metrics", "slice_metrics",
     "transfer_matrix",
     # few-shot labelling
     "fewshot_context", "fewshot_scores", "fewshot_labels", "fewshot_prompts", "fewshot_sweep", "answer_span_ll",
