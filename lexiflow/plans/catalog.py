@@ -9,11 +9,13 @@ the result is used.  ``lexiflow.plans.oracle`` holds the equivalent DuckDB SQL u
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as TX
-from lexiflow.session import materialize
+from lexiflow.session import checkpoint_dir, materialize, stored
 from lexiflow.operators import bpe as BP
 from lexiflow.operators import classifiers as CL
 from lexiflow.operators import corpus as CO
@@ -26,6 +28,7 @@ from lexiflow.operators import multimodel as MM
 from lexiflow.operators import splits as S
 from lexiflow.operators import textclf as TC
 from lexiflow.operators.rank import hash_rank
+from lexiflow.sources import sinks as SK
 from lexiflow.sources import tables as T
 
 # Fixed run parameters of the catalogue.
@@ -448,9 +451,12 @@ def _clf_grid(spark, sf):
     def build():
         ev = shared(spark, sf, "corpora", lambda: _corpora(spark, sf))
         rows, problems, widths, counts = TC.grid_rows(_terms(spark, sf, 3), ev.where(F.col("split") == "train").drop("split"), ev, "corpus")
-        conf, ends = MM.grid(rows, widths, counts, CLF_FAMILIES)
-        return TC.grid_scores(conf, problems, "corpus").join(ends.join(F.broadcast(problems), "problem").drop("problem"),
-                                                             ["corpus", "feature_set", "family", "c"])
+        conf, steps = MM.grid(rows, widths, counts, CLF_FAMILIES)
+        key = ["problem", "family", "c"]
+        last = steps.groupBy(*key, "pair").agg(F.max("round").alias("rounds"), F.min_by("slope", -F.col("round")).alias("slope"))
+        ends = (last.groupBy(*key).agg(F.count(F.lit(1)).alias("fits"), F.max("rounds").alias("rounds"), F.max("slope").alias("slope"))
+                .join(F.broadcast(problems), "problem").drop("problem"))
+        return TC.grid_scores(conf, problems, "corpus").join(ends, ["corpus", "feature_set", "family", "c"], "left")
     return shared(spark, sf, "clf_grid", build)
 
 
@@ -468,8 +474,8 @@ _CLF_SCORES = ["train_acc", "dev_f1", "test_acc", "test_f1", "test_bacc"]
 def clf_grid(spark, sf):
     """SEL-01 / CLS-02 / CLS-04: naive Bayes, linear SVM (one against one) and logistic regression, every setting
     on every feature set, for each language and pooled, trained together; ``rounds`` and
-    ``slope`` say how many steps the slowest of a setting's fits took and the largest gradient entry left."""
-    return _clf_grid(spark, sf).select("corpus", "feature_set", "family", F.col("c").alias("setting"), "fits", "rounds", F.round("slope", R6).alias("slope"),
+    ``slope`` say how many steps the slowest of a setting's fits took and the largest gradient entry left (naive Bayes has none)."""
+    return _clf_grid(spark, sf).select("corpus", "feature_set", "family", F.col("c").alias("setting"), _b("fits"), _b("rounds"), F.round("slope", R6).alias("slope"),
                                        *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
 
 
@@ -770,21 +776,43 @@ def _clf_data(spark, sf, tfidf=False, vocab_size=FE.TOP_K):
     return shared(spark, sf, key, build)
 
 
-def _pooled_linear(spark, sf, family, feature_set, name):
-    """One linear family on the languages' pooled rows, split by language, with one feature set."""
+def _pooled_rows(spark, sf, feature_set):
+    """The languages' pooled rows, split by language, with one feature set, as one problem."""
     ev = _split3(spark, sf).select(F.lit("pooled").alias("corpus"), "id", "label", "split")
-    rows, problems, widths, counts = TC.grid_rows(_terms(spark, sf, feature_set[1]), ev.where(F.col("split") == "train").drop("split"), ev, "corpus", [feature_set])
-    conf, _ = MM.grid(rows, widths, counts, {family: CLF_FAMILIES[family]})
+    return TC.grid_rows(_terms(spark, sf, feature_set[1]), ev.where(F.col("split") == "train").drop("split"), ev, "corpus", [feature_set])
+
+
+def _named_scores(conf, problems, name, config, *more):
+    """One row per setting: the means of its repeats' scores."""
     g = TC.grid_scores(conf, problems, "corpus")
-    return g.select(F.lit(name).alias("family"), F.concat(F.lit("C="), "c").alias("config"), *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
+    return g.select(F.lit(name).alias("family"), config.alias("config"), *more, *[F.round(c, R6).alias(c) for c in _CLF_SCORES])
+
+
+def _pooled_linear(spark, sf, family, feature_set, name):
+    """One linear family on the pooled rows."""
+    rows, problems, widths, counts = _pooled_rows(spark, sf, feature_set)
+    conf, _ = MM.grid(rows, widths, counts, {family: CLF_FAMILIES[family]})
+    return _named_scores(conf, problems, name, F.concat(F.lit("C="), "c"))
 
 
 def svm_linear(spark, sf):
     return _pooled_linear(spark, sf, "svm", ("count", 1), "linear_svm")
 
 
+FOURIER = 512  # random features of the Gaussian kernel
+
+
 def svm_rff(spark, sf):
-    return CL.run_grid(spark, CL.rff_svm_jobs(_clf_data(spark, sf)))
+    """CLS-03: Gaussian-kernel SVM, one against one, on random Fourier features; ``kernel_error`` is the root mean square
+    difference between their products and the kernel, over pairs of neighbouring rows."""
+    rows, problems, widths, counts = _pooled_rows(spark, sf, ("count", 1))
+    out = []
+    for how in ("scale", "auto"):
+        z = stored(MM.fourier(rows, MM.gammas(rows.where(F.col("split") == "train"), widths, how), FOURIER, SEED), "fourier-rows")
+        conf, _ = MM.grid(z, dict.fromkeys(widths, FOURIER), counts, {"svm": [c for c, g in CL.RBF if g == how]})
+        error = z.agg(F.round(F.sqrt(F.avg(F.col("miss") * F.col("miss"))), R6).alias("e")).first()["e"]
+        out.append(_named_scores(conf, problems, "rbf_svm_rff", F.concat(F.lit("C="), "c", F.lit(f",gamma={how}")), F.lit(error).alias("kernel_error")))
+    return out[0].unionByName(out[1])
 
 
 def logreg(spark, sf):
@@ -799,8 +827,39 @@ def adaboost(spark, sf):
     return CL.run_grid(spark, CL.adaboost_jobs(_clf_data(spark, sf), ADABOOST_RUN), parallelism=3)
 
 
+def _mlp(spark, sf):
+    """(confusions, steps, problems) of both network settings, five random starts each."""
+    def build(part):
+        rows, problems, widths, counts = _pooled_rows(spark, sf, ("count", 1))
+        conf, steps = MM.grid(rows, widths, counts, {f: [1.0] for f in MM.ACTIVATIONS})
+        for name, df in (("mlp_conf", conf), ("mlp_steps", steps), ("mlp_problems", problems)):
+            shared(spark, sf, name, lambda df=df: df)
+        return part
+
+    if (id(spark), spark.sparkContext.applicationId, sf, "mlp_conf") not in _SHARED:
+        build(None)
+    return tuple(shared(spark, sf, n, lambda: None) for n in ("mlp_conf", "mlp_steps", "mlp_problems"))
+
+
 def mlp(spark, sf):
-    return CL.run_grid(spark, CL.mlp_jobs(_clf_data(spark, sf)))
+    """CLS-07 / AGG-07: networks of 100 relu or tanh units with an L2 penalty of 1, mean scores of five random starts."""
+    conf, _, problems = _mlp(spark, sf)
+    each = conf.select("problem", F.concat_ws("#", "family", "repeat").alias("family"), "c", "split", "y", "predicted", "cnt")
+    g = TC.grid_scores(each, problems, "corpus").groupBy(F.split_part("family", F.lit("#"), F.lit(1)).alias("family"))
+    g = g.agg(F.count(F.lit(1)).alias("repeats"), *[F.round(F.avg(c), R6).alias(c) for c in _CLF_SCORES])
+    return g.select(F.lit("mlp").alias("family"), F.concat(F.lit("activation="), F.split_part("family", F.lit("_"), F.lit(2)), F.lit(",alpha=1")).alias("config"),
+                    "repeats", *_CLF_SCORES)
+
+
+def metric_history(spark, sf):
+    """SNK-04 / SEL-04: loss and largest gradient entry after every step of the networks' fits, from the
+    history table, into which each activation writes its own run."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metric-history-{uuid.uuid5(uuid.NAMESPACE_URL, sf).hex[:12]}"
+    _, steps, _ = _mlp(spark, sf)
+    for family in MM.ACTIVATIONS:
+        SK.append_metrics(steps.where(F.col("family") == family).select("repeat", "round", "loss", "slope"), path, family)
+    return spark.read.schema("repeat long, round long, loss double, slope double, run string").parquet(path).select(
+        "run", "repeat", "round", F.round("loss", R6).alias("loss"), F.round("slope", R6).alias("slope"))
 
 
 def _domains_split(spark, sf):

@@ -30,7 +30,7 @@ NAMES = [
     "in_language", "zero_shot", "joint_train", "translate_train", "translate_test", "leave_one_out",
     "pred_entropy", "coral_distance",
     # pyspark.ml classifiers and embedding-space transfer (rows-only)
-    "svm_linear", "svm_rff", "logreg", "forest", "adaboost", "mlp", "domain_gap", "coral_transfer",
+    "svm_linear", "svm_rff", "logreg", "forest", "adaboost", "mlp", "metric_history", "domain_gap", "coral_transfer",
     # BPE vocabularies and encoding (rows-only)
     "bpe_word_types", "bpe_alphabet", "bpe_pair_counts", "bpe_roundtrip", "bpe_vocab", "bpe_vocab_bytes", "bpe_encode",
 ]

@@ -116,9 +116,9 @@ def test_predictions_and_metrics_sinks(spark):
     back = spark.read.parquet(os.path.join(d, "p"))
     assert set(back.columns) >= {"scorer", "shots", "seed", "lang"}
     m = spark.createDataFrame([(0, 0.5)], "epoch int, f1 double")
-    SK.append_metrics(m, os.path.join(d, "m"))
-    SK.append_metrics(m, os.path.join(d, "m"))
-    assert spark.read.parquet(os.path.join(d, "m")).count() == 2
+    for run in ("a", "b", "a", "a"):  # a run again leaves the same rows
+        SK.append_metrics(m, os.path.join(d, "m"), run)
+    assert sorted(r["run"] for r in spark.read.parquet(os.path.join(d, "m")).collect()) == ["a", "b"]
     rep = SK.score_report(spark.createDataFrame([(0.123456,)], "x double")).first()[0]
     assert rep == 0.123
 
