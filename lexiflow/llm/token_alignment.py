@@ -28,7 +28,7 @@ columns are read, so other columns may have any names.  An empty table gives an
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +41,9 @@ from lexiflow.llm.common import map_batches, stored
 
 PIECE = 4096
 HEAD = 1 << 19
+SMALL = 64  # links of a group that are written out before equal ones are summed
+#: The words that a byte-level vocabulary of this kind is merged within: a fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def merge_path(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -87,17 +90,15 @@ class Pair:
     """Both tokenizers with the bytes of their tokens; one for each task process."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        byte_of = byte_letters()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for word, i in self.a.get_vocab().items():
-            known = all(c in byte_of for c in word)
-            self.a_bytes[i] = bytes(byte_of[c] for c in word) if known else word.encode()
+        import tiktoken
+
+        ranks = byte_ranks(a_path)
+        self.a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for word, i in ranks.items():
+            self.a_bytes[i] = word
         size = self.b.get_piece_size()
         pieces = self.b.id_to_piece(list(range(size)))
         self.b_bytes = [bytes([int(w[3:5], 16)]) if self.b.is_byte(i) else w.replace("▁", " ").encode() for i, w in enumerate(pieces)]
@@ -111,10 +112,10 @@ class Pair:
         full = [i for i, x in enumerate(texts) if x]
         out: list = [([], [])] * len(texts)
         spaced = [" " + texts[i] for i in full]
-        a = self.a.encode_batch(spaced, add_special_tokens=False)
+        a = map(self.a.encode_ordinary, spaced)
         b = self.b.encode([texts[i] for i in full], num_threads=1)
         for i, want, x, y in zip(full, spaced, a, b):
-            raw, x = want.encode(), x.ids
+            raw = want.encode()
             if b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw:
                 out[i] = x, y
         return out
@@ -142,30 +143,51 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Rank of each token's bytes in a byte-level vocabulary file, whose merges must be in the order of the ids they make;
+    special tokens, which aren't made of byte letters by merges, are left out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec["added_tokens"]}
+    vocab, byte_of = spec["model"]["vocab"], byte_letters()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if made != sorted(set(made)):
+        raise ValueError(f"{path}: merges aren't in the order of their ids")
+    return {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if word not in special}
+
+
 @lru_cache(maxsize=2)
 def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def counted(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id, occurrences) of the distinct ids of each group, by group."""
     keys, n = np.unique(groups << 20 | ids, return_counts=True)
     return keys >> 20, keys & ((1 << 20) - 1), n
 
 
 def linked_pairs(a, b, ga, gb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A id, B id, links) of the distinct pairs of one text, by id."""
+    """(A id, B id, links) of the distinct pairs of one text, by id; in a group of many links equal ids are counted first."""
     size_a, size_b = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
     groups = np.arange(len(ga))
-    xg, xi, xn = counted(np.repeat(groups, size_a), a)
-    yg, yi, yn = counted(np.repeat(groups, size_b), b)
-    y_of = np.bincount(yg, minlength=len(ga))  # distinct B ids of each group
-    first = np.cumsum(y_of) - y_of
-    reps = y_of[xg]
-    x_at = np.repeat(np.arange(len(xg)), reps)
-    y_at = np.arange(len(x_at)) - np.repeat(np.cumsum(reps) - reps, reps) + first[xg][x_at]
-    keys, back = np.unique(xi[x_at] << 20 | yi[y_at], return_inverse=True)
-    return keys >> 20, keys & ((1 << 20) - 1), np.bincount(back, weights=xn[x_at] * yn[y_at]).astype(np.int64)
+    xg, yg = np.repeat(groups, size_a), np.repeat(groups, size_b)
+    xi, yi, xn, yn = a, b, None, None
+    if (size_a * size_b).max() > SMALL:
+        xg, xi, xn = distinct(xg, a)
+        yg, yi, yn = distinct(yg, b)
+        size_b = np.bincount(yg, minlength=len(ga))
+    # each A id of a group beside each B id of it
+    first = np.cumsum(size_b) - size_b
+    reps = size_b[xg]
+    y_at = np.arange(reps.sum()) + np.repeat(first[xg] - np.cumsum(reps) + reps, reps)
+    keys = np.repeat(xi, reps) << 20 | yi[y_at]
+    if xn is None:
+        keys, n = np.unique(keys, return_counts=True)
+    else:
+        keys, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, weights=np.repeat(xn, reps) * yn[y_at]).astype(np.int64)
+    return keys >> 20, keys & ((1 << 20) - 1), n
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

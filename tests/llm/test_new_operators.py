@@ -42,6 +42,17 @@ def test_merge_path_deals_out_equal_work():
     assert ia.tolist() == [sum(side == 0 for _, side in merged[:k]) for k in d]
 
 
+def test_ids_are_those_of_the_vocabulary_file():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizers()[0])
+    t.encode_special_tokens = True
+    both, rng = token_alignment.Pair(*tokenizers()), random.Random(4)
+    letters = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0xFFFF, 7), *range(0x1F300, 0x1F700)]] + list(" 'stmdlrve019\t\n") * 3000
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)] + ["x" * 50_000, " " * 9000 + "y", "<|endoftext|>", "I'LL i'll"]
+    assert [both.a.encode_ordinary(" " + x) for x in texts] == [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+
+
 def plain_report(rows):
     both = token_alignment.Pair(*tokenizers())
     parts = []
