@@ -34,6 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df`` in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fits(df: DataFrame, limit: int = 8 << 20) -> bool:
     """Whether the files of ``df``, a stored table, have at most ``limit`` bytes, by Spark's own estimate of a scan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit

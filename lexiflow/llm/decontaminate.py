@@ -163,7 +163,7 @@ def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    bad = (mark(docs, bench).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    bad = mark(docs, bench).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     bad = sized(stored(bad, "contaminated"))
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (th == bad["_th"]), "left_anti")

@@ -19,7 +19,9 @@ The fences are quartile-based so that junk, unless it is a quarter of a group, d
 
 Nulls: a null text has no words, fails the base rules and stays out of the
 sketches; a null language or source is a group of its own.  Empty tables give
-empty results; every input row gives one row.
+empty results; every input row gives one row.  Texts are read whole, however
+long; repeated rows count as often as they occur and get equal verdicts, and a value
+on a fence is kept.  The columns of the documents travel in one struct, so they may have any names.
 """
 
 from __future__ import annotations
@@ -69,18 +71,17 @@ def text_stats(text: str) -> tuple[int, int, int, int, int, int]:
 
 
 def measure(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) of every row, and the struct ``_quality``
-    of its counts; an older column of that name is replaced."""
-    keep = [c for c in (df.columns if keep is None else keep) if c != "_quality"]
-    src = df.select(*keep, F.col(text_col).cast("string").alias("_quality_text"))
+    """Columns ``keep`` (default: all) of every row in the struct ``row``, and the struct ``_quality`` of its counts."""
+    keep = df.columns if keep is None else keep
+    src = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = T.StructType([T.StructField(c, T.LongType()) for c in STATS])
-    out = T.StructType([*src.schema.fields[:-1], T.StructField("_quality", kind)])
+    out = T.StructType([src.schema["row"], T.StructField("_quality", kind)])
 
     def run(batches):
         item = pa.struct([(c, pa.int64()) for c in STATS])
         for b in batches:
             rows = [dict(zip(STATS, text_stats(x or ""))) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, item)], names=[*keep, "_quality"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, item)], names=["row", "_quality"])
 
     return map_batches(src, run, out)
 
@@ -148,7 +149,8 @@ def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"))
 
 
 def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """``measured`` with ``_base_failed`` and ``_kept`` (both never null)."""
+    """(row, _quality, _base_failed, _kept), the last two never null, for the rows of ``measure``."""
+    measured = measured.select("row", "_quality", *[F.col(f"row.`{c}`").alias(c) for c in groups])
     fences = thresholds(sketches(measured, list(groups)), groups)
     out = None
     for k, v in metrics().items():
@@ -160,20 +162,20 @@ def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) ->
     joined = measured.join(fences, F.col(lang).eqNullSafe(F.col("_g_lang")) & F.col(source).eqNullSafe(F.col("_g_source")), "left")
     return (joined.withColumn("_base_failed", base_failed())
             .withColumn("_kept", ~F.col("_base_failed") & ~F.coalesce(out, F.lit(False)))
-            .drop("_g_lang", "_g_source", "_lo", "_hi"))
+            .select("row", "_quality", "_base_failed", "_kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The counts and the verdict of every document."""
     rows = judge(stored(measure(docs, keep=["doc_id", "lang", "source"]), "quality"))
-    return rows.select("doc_id", *[F.col(f"_quality.{c}").alias(c) for c in STATS if c != "n_lines"],
+    return rows.select("row.doc_id", *[F.col(f"_quality.{c}").alias(c) for c in STATS if c != "n_lines"],
                        F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
     rows = judge(stored(measure(docs), "quality"))
-    return rows.where("_kept").select(*docs.columns)
+    return rows.where("_kept").select("row.*")
 
 
 #: The same counts, sketches, fences and verdicts in DuckDB SQL.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import map_batches, stored
+from lexiflow.llm.common import free_names, map_batches, stored
 from lexiflow.llm.decontaminate import sized
 
 SHINGLE, DISTANCE = 4, 4
@@ -198,12 +198,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     best = first.groupBy(F.col("root").alias("_root")).agg(F.min("th").alias("_best"))
     others = first.join(best, F.col("root") == F.col("_root")).where("th <> _best")
     gone = found.where("id <> component").select("id", "th").unionByName(others.select("id", "th"))
-    gone = sized(stored(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "copies"))
-    th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    rest = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (th == gone["_th"]), "left_anti")
+    gone = sized(stored(gone.select("id", "th").distinct(), "copies"))
+    hash_col, = free_names(docs, "text_hash")
+    rows = docs.withColumn(hash_col, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    rest = rows.join(gone, (rows["doc_id"] == gone["id"]) & (rows[hash_col] == gone["th"]), "left_anti")
     again = first.groupBy("id", "th").count().where("count > 1").limit(1).count()
     if again:  # rows that repeat an id and its text
-        rows = rest.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-        repeats = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text_hash"])
-        rest = repeats.unionByName(rows.where("doc_id IS NULL")).drop("_text_hash")
-    return rest
+        rest = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", hash_col]).unionByName(rest.where("doc_id IS NULL"))
+    return rest.drop(hash_col)

@@ -12,7 +12,9 @@ ROWS = [
     (8, "é\u00a0ü\u2003x 你好 \U0001f600 \x00 end", "fr", "c", 9), (9, "x" * 100_000, "en", "a", 1), (None, None, None, None, None),
 ]
 #: Names that operators use themselves.
-CLASHES = ["id", "row", "fp", "spans", "ids", "decoded", "words", "_quality", "term", "n_words", "pos", "label", "score", "component", "_id"]
+CLASHES = ["id", "row", "fp", "spans", "ids", "decoded", "words", "_quality", "term", "n_words", "pos", "label", "score", "component", "_id", "_th",
+           "_hi", "_lo", "_g_lang", "_g_source", "_quality_text", "_kept", "_base_failed", "_text_hash", "text_hash", "row", "q", "tid", "th", "fp"]
+CLASHES = list(dict.fromkeys(CLASHES))
 
 
 def docs(spark, rows=ROWS, clashes=True):

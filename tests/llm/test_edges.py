@@ -5,7 +5,7 @@ import pytest
 from lexiflow.llm import (bpe_tokens, decontaminate, hmm_lm, pii_crf, quality_rules, secret_scan, simhash, suffix_dedup, url_filter, warc_zip)
 from lexiflow.llm.queries import tokenizer
 
-from .cases import ROWS, docs
+from .cases import CLASHES, ROWS, docs
 
 BENCH = [(1, " ".join(f"alpha{i} beta{i % 7} gamma" for i in range(10))), (2, None), (None, "alpha1"), (3, "")]
 
@@ -45,7 +45,8 @@ def test_filters_keep_the_columns(spark):
     d = docs(spark)
     for out in (quality_rules.filter_documents(d), simhash.distinct_documents(d), decontaminate.clean_documents(d, bench(spark)), pii_crf.redact(d)):
         assert out.columns == d.columns
-        out.collect()
+        for r in out.collect():  # the clashing columns keep their values
+            assert [r[c] for c in CLASHES] == list(range(len(CLASHES)))
 
 
 def test_near_copies_leave_one(spark):
@@ -56,3 +57,17 @@ def test_near_copies_leave_one(spark):
 def test_missing_benchmark(spark):
     rows = decontaminate.report(docs(spark), bench(spark).limit(0)).collect()
     assert len(rows) == len(ROWS) and not any(r["contaminated"] for r in rows)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, repeated rows and clashing columns through all stages, and empty tables."""
+    import corpus_pipeline
+
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in (ROWS, []):
+        d = docs(spark, rows)
+        for _, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, str(tmp_path))
+        got = [r["doc_id"] for r in d.collect()]
+        assert len(got) == len(set(got)) and set(got) <= {r[0] for r in rows}
+    assert corpus_pipeline.STAGES[-1][0] == "tokens"
