@@ -10,7 +10,7 @@ its labels ``O`` and the four kinds.
 * skip potentials: between a token and the next one in the document with the same letters and digits, or
   the same last digits; a chain of such links keeps all repeats of an entity consistent at linear cost
 
-Loopy belief propagation runs on all documents of an Arrow batch as one graph
+Loopy belief propagation runs on each text as a graph of its own
 (documents share no edges).  A label is used where its marginal reaches ``SURE``
 on each token of a run; the span must not overlap a span of the rules.
 
