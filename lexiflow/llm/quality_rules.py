@@ -8,17 +8,20 @@
 A sketch is a table of integer bins: a metric's value keeps its leading six
 bits, so a bin's relative width is at most 1/32 and two sketches merge by adding
 counts.  It is built by partial aggregation, so a source that holds a third of
-all rows is summed up in each task before the shuffle.  A group with fewer
-than ``MIN_DOCS`` documents borrows the merged sketch of its language, and a
-language with fewer the one of the corpus.
+all rows is summed up in each task before the shuffle.  Sketches hold the
+documents that pass the base rules.
 
-A document is rejected when a metric lies beyond the fence of its group: the
-upper quartile plus ``REACH`` times the distance from the lower quartile to
-the upper one, plus the metric's slack; for word length also the mirrored lower fence.
-The fences are quartile-based so that junk, unless it is a quarter of a group, doesn't move them.
+A group's sketch is merged with its language's and the corpus's, weighed as
+``LANG_PRIOR`` and ``CORPUS_PRIOR`` documents: a large group's fences are its own, a small one's lean
+on its language, with no size at which one rule gives way to another.
+
+A document is rejected when a metric lies beyond the fence of its group.  With
+m the merged sketch's median and t its 95th percentile, that is t + 2 (t - m), for word length also
+the same below with the 5th percentile; where more than half of a group has a metric at zero it is 2 t.
+A fence is at least the metric's small ``FLOOR`` away from the median.
 
 Nulls: a null text has no words, fails the base rules and stays out of the
-sketches; a null language or source is a group of its own.  Empty tables give
+sketches; a group without a document that passes them has no fences; a null language or source is a group of its own.  Empty tables give
 empty results; every input row gives one row.  Texts are read whole, however
 long; repeated rows count as often as they occur and get equal verdicts, and a value
 on a fence is kept.  The columns of the documents travel in one struct, so they may have any names.
@@ -38,10 +41,12 @@ from lexiflow.llm.common import map_batches, stored
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_DOCS = 200
-REACH = 3
-#: Metric -> slack beyond the fence (per mille; hundredths of a character for word length).
-SLACK = {"symbol_rate": 200, "dup_line_rate": 500, "repeat_rate": 400, "word_length": 150}
+LANG_PRIOR, CORPUS_PRIOR = 1000, 100  # documents that the language's and the corpus's sketch count for in a group's
+REACH = 2  # tail distances beyond the tail percentile
+#: Metric -> least distance of a fence from the median (per mille; hundredths of a character for word length).
+FLOOR = {"symbol_rate": 50, "dup_line_rate": 150, "repeat_rate": 100, "word_length": 150}
+TAIL = 20  # one document in TAIL lies beyond the tail percentile
+WEIGHT = 1000  # weight of one document, so that shares of a prior stay whole numbers
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -107,45 +112,51 @@ def bin_of(v):
 
 
 def sketches(measured: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., metric, bin, n): a quantile sketch for each group and metric over rows with a word."""
+    """(groups..., metric, bin, n): a quantile sketch for each group and metric over rows that pass the base rules."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("_value")) for k, v in metrics().items()])).alias("m")
-    return (measured.where("_quality.n_words > 0").select(*groups, pairs).select(*groups, "m.*")
+    return (measured.where(~base_failed()).select(*groups, pairs).select(*groups, "m.*")
             .select(*groups, "metric", bin_of(F.col("_value")).alias("bin"))
             .groupBy(*groups, "metric", "bin").agg(F.count("*").alias("n")))
 
 
-def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups..., metric, docs, q1, q3) of the sketches, merged over other columns."""
-    key = [*groups, "metric"]
-    merged = sketch.groupBy(*key, "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*key)
-    cum = merged.select(*key, "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("docs"))
-    return cum.groupBy(*key).agg(F.max("docs").alias("docs"),
-                                 F.min(F.when(F.col("upto") * 4 >= F.col("docs"), F.col("bin"))).alias("q1"),
-                                 F.min(F.when(F.col("upto") * 4 >= F.col("docs") * 3, F.col("bin"))).alias("q3"))
+def merged(sketch: DataFrame, lang: str, source: str) -> DataFrame:
+    """(lang, source, metric, bin, weight): each group's sketch with its language's and the corpus's."""
+    def shares(cols, name, prior):
+        key = [*cols, "metric"]
+        sums = sketch.groupBy(*key, "bin").agg(F.sum("n").alias("n"))
+        share = F.expr(f"{prior * WEIGHT} * n div sum(n) over (partition by {', '.join(f'`{c}`' for c in key)})")
+        return sums.select(*[F.col(c).alias(f"_{name}_{c}") for c in [*key, "bin"]], share.alias(name))
+
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    own = sketch.select(F.col(lang).alias("_o_lang"), F.col(source).alias("_o_source"), F.col("metric").alias("_o_metric"),
+                        F.col("bin").alias("_o_bin"), "n")
+    # the corpus's sketch has at most 32 bins for each of a metric's bit lengths
+    return (sketch.select(lang, source, "metric").distinct()
+            .join(F.broadcast(shares([], "c", CORPUS_PRIOR)), same("metric", "_c_metric"))
+            .join(shares([lang], "l", LANG_PRIOR), same(lang, f"_l_{lang}") & same("metric", "_l_metric") & same("_c_bin", "_l_bin"), "left")
+            .join(own, same(lang, "_o_lang") & same(source, "_o_source") & same("metric", "_o_metric") & same("_c_bin", "_o_bin"), "left")
+            .select(lang, source, "metric", F.col("_c_bin").alias("bin"),
+                    (F.coalesce("n", F.lit(0)) * WEIGHT + F.coalesce("l", F.lit(0)) + F.col("c")).alias("weight")))
 
 
 def thresholds(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """One row for each group: ``lo`` and ``hi``, maps from metric to fence."""
+    """One row for each group: ``_lo`` and ``_hi``, maps from metric to fence."""
     lang, source = groups
-    slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(v))])
-    levels = []
-    for level, cols in enumerate(([lang, source], [lang], [])):
-        q = quartiles(sketch, cols).where((F.col("docs") >= MIN_DOCS) | F.lit(level == 2))
-        reach = REACH * (F.col("q3") - F.col("q1")) + slack[F.col("metric")]
-        levels.append(q.select(*[F.col(c).alias(f"_{c}{level}") for c in cols], "metric",
-                               F.struct((F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi")).alias(f"f{level}"))
-                      .withColumnRenamed("metric", f"m{level}"))
-    own = sketch.select(lang, source, "metric").distinct()
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    full = (own.join(levels[0], same(lang, f"_{lang}0") & same(source, f"_{source}0") & same("metric", "m0"), "left")
-            .join(levels[1], same(lang, f"_{lang}1") & same("metric", "m1"), "left")
-            .join(levels[2], same("metric", "m2"), "left")
-            .select(F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"), "metric",
-                    F.coalesce("f0", "f1", "f2").alias("f")))
-    return full.groupBy("_g_lang", "_g_source").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", F.col("f.lo")))).alias("_lo"),
-        F.map_from_entries(F.collect_list(F.struct("metric", F.col("f.hi")))).alias("_hi"))
+    w = Window.partitionBy(lang, source, "metric")
+    cum = merged(sketch, lang, source).select(
+        lang, source, "metric", "bin", F.sum("weight").over(w.orderBy("bin")).alias("upto"), F.sum("weight").over(w).alias("total"))
+    at = lambda cond: F.min(F.when(cond, F.col("bin")))
+    marks = cum.groupBy(lang, source, "metric").agg(
+        at(F.expr(f"upto * {TAIL} >= total")).alias("low"), at(F.expr("upto * 2 >= total")).alias("mid"),
+        at(F.expr(f"upto * {TAIL} >= total * {TAIL - 1}")).alias("high"))
+    floor = F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv])[F.col("metric")]
+    far = lambda end: F.col(end) + REACH * (F.col(end) - F.col("mid"))
+    hi = F.when(F.col("mid") > 0, far("high")).otherwise(2 * F.col("high"))
+    fences = marks.select(F.col(lang).alias("_g_lang"), F.col(source).alias("_g_source"), "metric",
+                          F.least(far("low"), F.col("mid") - floor).alias("lo"), F.greatest(hi, F.col("mid") + floor).alias("hi"))
+    return fences.groupBy("_g_lang", "_g_source").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "lo"))).alias("_lo"),
+        F.map_from_entries(F.collect_list(F.struct("metric", "hi"))).alias("_hi"))
 
 
 def judge(measured: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -195,18 +206,25 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
              CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
       FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-v AS (SELECT doc_id, lang, source, n_words, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS metric,
+v AS (SELECT doc_id, lang, source, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed,
+             unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS metric,
              unnest([1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1),
-                     1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)]) AS x,
-             unnest([200, 500, 400, 150]) AS slack FROM m),
-b AS (SELECT *, x - x % (CAST(1 AS BIGINT) << greatest(length(bin(x)) - 6, 0)) AS bin FROM v WHERE n_words > 0),
-q AS (SELECT grouping(lang) + grouping(source) AS level, lang, source, metric, any_value(slack) AS slack, count(*) AS docs,
-             list_sort(list(bin)) AS bins FROM b GROUP BY GROUPING SETS ((lang, source, metric), (lang, metric), (metric))),
-f AS (SELECT *, bins[CAST(ceil(docs / 4) AS BIGINT)] AS q1, bins[CAST(ceil(docs * 3 / 4) AS BIGINT)] AS q3 FROM q WHERE docs >= 200 OR level = 2),
-best AS (SELECT v.doc_id, v.metric, v.x, f.q1 - 3 * (f.q3 - f.q1) - f.slack AS lo, f.q3 + 3 * (f.q3 - f.q1) + f.slack AS hi
-         FROM v JOIN f ON v.metric = f.metric AND (f.level = 2 OR v.lang IS NOT DISTINCT FROM f.lang AND
-              (f.level = 1 OR v.source IS NOT DISTINCT FROM f.source))
-         QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.metric ORDER BY f.level) = 1),
+                     1000 * n_repeat_words // greatest(n_words, 1), 100 * word_chars // greatest(n_words, 1)]) AS x FROM m),
+b AS (SELECT *, x - x % (CAST(1 AS BIGINT) << greatest(length(bin(x)) - 6, 0)) AS bin FROM v WHERE NOT failed),
+c AS (SELECT metric, bin, 100000 * count(*) // sum(count(*)) OVER (PARTITION BY metric) AS n FROM b GROUP BY metric, bin),
+l AS (SELECT lang, metric, bin, 1000000 * count(*) // sum(count(*)) OVER (PARTITION BY lang, metric) AS n FROM b GROUP BY lang, metric, bin),
+o AS (SELECT lang, source, metric, bin, 1000 * count(*) AS n FROM b GROUP BY lang, source, metric, bin),
+w AS (SELECT g.lang, g.source, g.metric, c.bin, c.n + coalesce(l.n, 0) + coalesce(o.n, 0) AS n
+      FROM (SELECT DISTINCT lang, source, metric FROM b) g JOIN c ON g.metric = c.metric
+      LEFT JOIN l ON l.lang IS NOT DISTINCT FROM g.lang AND l.metric = g.metric AND l.bin = c.bin
+      LEFT JOIN o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.metric = g.metric AND o.bin = c.bin),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM w),
+q AS (SELECT lang, source, metric, min(bin) FILTER (upto * 20 >= total) AS low, min(bin) FILTER (upto * 2 >= total) AS mid,
+             min(bin) FILTER (upto * 20 >= total * 19) AS high,
+             CASE metric WHEN 'symbol_rate' THEN 50 WHEN 'dup_line_rate' THEN 150 WHEN 'repeat_rate' THEN 100 ELSE 150 END AS least_gap FROM u GROUP BY lang, source, metric),
+best AS (SELECT v.doc_id, v.metric, v.x, least(3 * low - 2 * mid, mid - least_gap) AS lo,
+                greatest(CASE WHEN mid > 0 THEN 3 * high - 2 * mid ELSE 2 * high END, mid + least_gap) AS hi
+         FROM v JOIN q ON v.metric = q.metric AND v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source),
 bad AS (SELECT doc_id FROM best GROUP BY doc_id HAVING bool_or(x > hi OR metric = 'word_length' AND x < lo))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -39,6 +39,28 @@ def test_adaptive_fence_follows_the_group(spark):
     assert 10_000 not in kept and len(kept) == 440  # symbols are usual in one group, junk in the other
 
 
+def test_fences_with_quartiles_at_zero(spark):
+    """Junk with few symbols goes where symbols are rare and stays where one document in ten has as many."""
+    def row(i, lang, n_symbols):
+        return (i, " ".join(f"w{j}x{i % 90 + 10}{'|' if j < n_symbols else ''}" for j in range(80)), lang, "s", 0)
+    rows = [row(i, "en", 0) for i in range(400)] + [row(1000 + i, "md", 50 if i % 10 == 0 else 0) for i in range(400)]
+    rows += [row(9000 + i, lang, 60) for i, lang in enumerate(["en", "en", "md", "md"])]
+    kept = {r["doc_id"] for r in quality_rules.report(docs(spark, rows, clashes=False)).where("kept").collect()}
+    assert {r[0] for r in rows} - kept == {9000, 9001}
+
+
+def test_fences_merge_the_sketches_of_language_and_corpus(spark):
+    sketch = spark.createDataFrame([(g, s, "symbol_rate", b, n) for g, s, b, n in
+                                    [("a", "x", 0, 2), ("a", "y", 0, 90), ("a", "y", 100, 10), (None, "z", 0, 5000), (None, "z", 40, 5)]],
+                                   "lang string, source string, metric string, bin long, n long")
+    got = {(r["lang"], r["source"], r["bin"]): r["weight"] for r in quality_rules.merged(sketch, "lang", "source").collect()}
+    assert got["a", "x", 100] == 1000000 * 10 // 102 + 100000 * 10 // 5107
+    assert got["a", "y", 0] == 90000 + 1000000 * 92 // 102 + 100000 * 5092 // 5107
+    assert got[None, "z", 40] == 5000 + 1000000 * 5 // 5005 + 100000 * 5 // 5107 and len(got) == 9
+    hi = {(r["_g_lang"], r["_g_source"]): r["_hi"]["symbol_rate"] for r in quality_rules.thresholds(sketch).collect()}
+    assert hi == {("a", "x"): 200, ("a", "y"): 200, (None, "z"): 50}
+
+
 # --- language model -----------------------------------------------------------
 
 def test_forward_recursion_is_exact():
