@@ -1,20 +1,21 @@
 """Benchmark passages in documents, by a distributed positional inverted index.
 
-``term_counts``        how often each benchmark term occurs in the documents
-``probes``             for each benchmark window its terms from the rarest on
-``postings``           the stored index: (term, document, position, neighbourhood) of the rarest terms
-``phrase_matches``     exact occurrences of windows
+``postings``           the stored positional index: (document, term, position) of every benchmark term
+``slots``              each benchmark window's terms and offsets from the rarest on
+``phrase_matches``     exact occurrences of windows, by intersecting offset-adjusted posting lists
 ``proximity_matches``  places where the rarest terms of a window stand close together, in any order
 ``mark``               hit words, items and the verdict for each document
-``near``               places and items of proximity matches for each document
 
 A window is ``WINDOW`` consecutive words of an item, or the whole item where it
-has fewer.  Only postings of terms that are the rarest of some window are stored; a window
-one of whose terms never occurs is dropped at once.  A posting keeps
-the words around it, so the offset-adjusted lists of a window's other terms are
-intersected where the posting lies, without a second pass over the documents.
-A document's words are counted by partial aggregation, and the terms of a benchmark are broadcast only when
-their measured size is below ``BROADCAST_BYTES``; a larger benchmark is joined by shuffles.
+has fewer; a window one of whose terms never occurs in the documents is dropped at once.  Candidates
+come from the posting list of a window's rarest term; the lists of its second and
+third rarest terms, moved by their offsets, are intersected with them one after the other, and
+the lists of its remaining terms together, read only in documents that still have a candidate.
+Lists are intersected by semi joins on (document, term, position), so no posting carries text and
+a frequent term or window spreads over its documents and positions.
+
+Term counts come from the index by partial aggregation.  The terms of a benchmark and the documents with
+candidates are broadcast only when their stored files are small; larger ones are joined by shuffles.
 
 Everything is DataFrame and SQL functions.
 
@@ -29,13 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import fits, stored
 
 WINDOW = 13
-RAREST = 3  # terms of a window that must stand close together
+RAREST = 3  # terms of a window that are intersected one by one, and that must stand close together
 CONTAMINATED_PERCENT = 5
-BROADCAST_BYTES = 32 << 20
-LENGTH = " "  # no word: the index entry of a document's length
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -48,128 +47,143 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, marked for broadcast if its rows, measured as JSON text, have at most ``limit`` bytes."""
-    size = df.select(F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
-    return F.broadcast(df) if (size or 0) <= limit else df
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if its files are small."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def same_doc(left: DataFrame, right: DataFrame) -> Column:
+    return left["id"].eqNullSafe(right["id"]) & (left["th"] == right["th"])
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item, terms): the distinct windows of each item."""
+    """(item, win, terms): the distinct windows of each item; equal windows have equal ``win``."""
     items = (bench.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w"))
              .where("item IS NOT NULL AND size(w) > 0").distinct())
     last = F.greatest(F.size("w") - size, F.lit(0))
     rows = items.select("item", "w", F.explode(F.sequence(F.lit(0), last)).alias("first"))
-    return rows.select("item", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
+    rows = rows.select("item", F.slice("w", F.col("first") + 1, F.lit(size)).alias("terms")).distinct()
+    return rows.select("item", F.md5(F.array_join("terms", " ").cast("binary")).alias("win"), "terms")
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, words): ``th`` tells texts of one id apart."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, text): ``th`` tells texts of one id apart."""
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"),
-                       words_of(F.col(text_col)).alias("words"))
-
-
-def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) for the ``terms`` that occur in the documents."""
-    words = tokens.select(F.explode("words").alias("term"))
-    return words.join(sized(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-
-
-def probes(wins: DataFrame, counts: DataFrame, rarest: int = 1) -> DataFrame:
-    """(item, terms, term, off, rank): of each window whose terms all occur, its
-    ``rarest`` distinct terms, rank 1 first, and an offset of each."""
-    each = wins.select("item", "terms", F.posexplode("terms").alias("off", "term"))
-    each = each.join(counts, "term", "left").groupBy("item", "terms", "term").agg(F.min("off").alias("off"), F.max("n").alias("n"))
-    w = Window.partitionBy("item", "terms")
-    ranked = each.select("*", F.row_number().over(w.orderBy(F.col("n").asc_nulls_first(), "term")).alias("rank"),
-                         F.min(F.coalesce("n", F.lit(0))).over(w).alias("least"))
-    return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).drop("least", "n")
-
-
-def postings(tokens: DataFrame, terms: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """The stored index for ``terms``: (term, id, th, pos, start, near, n_words), ``near``
-    being the words of the document from position ``start`` on, up to ``reach`` - 1 words either side of ``pos``.
-    Each row of the documents also has an entry under ``LENGTH``, with its number of words."""
-    rows = tokens.select("id", "th", "words", F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("pos", "term"))
-    rows = rows.join(sized(terms.unionByName(terms.sparkSession.createDataFrame([(LENGTH,)], "term string"))), "term")
-    pos, word = F.col("pos") - 1, F.col("term") != LENGTH
-    start = F.greatest(pos - (reach - 1), F.lit(0))
-    return stored(rows.select("term", "id", "th", pos.alias("pos"), start.alias("start"),
-                              F.when(word, F.slice("words", start + 1, pos - start + reach)).alias("near"),
-                              F.when(~word, F.size("words").cast("long")).alias("n_words")), "postings")
-
-
-def phrase_matches(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """(id, th, item, first, last): document positions of each exact occurrence of a window."""
-    first = F.col("pos") - F.col("off")
-    fits = (first >= F.col("start")) & (F.slice("near", F.greatest(first - F.col("start"), F.lit(0)) + 1, F.size("terms")) == F.col("terms"))
-    return (index.join(sized(probe.where("rank = 1").drop("rank")), "term").where(fits)
-            .select("id", "th", "item", first.alias("first"), (first + F.size("terms") - 1).alias("last")).distinct())
-
-
-def proximity_matches(index: DataFrame, probe: DataFrame, within: int = WINDOW) -> DataFrame:
-    """(id, th, item, pos): places of a window's rarest term with all its other probe
-    terms less than ``within`` words away, in any order; ``within`` is at most the index's reach."""
-    wanted = probe.groupBy("item", "terms").agg(F.min_by("term", "rank").alias("term"), F.collect_set("term").alias("all"))
-    left = F.greatest(F.col("pos") - (within - 1), F.lit(0)) - F.col("start")
-    close = F.slice("near", left + 1, F.col("pos") - F.col("start") - left + within)
-    return (index.join(sized(wanted), "term").where(F.size(F.array_except("all", close)) == 0)
-            .select("id", "th", "item", "pos").distinct())
-
-
-def indexed(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, rarest: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The ``rarest`` probes of the benchmark's windows, and the index of the documents for them."""
-    tokens = tokenized(docs, id_col, text_col)
-    wins = stored(windows(bench), "bench-windows")
-    terms = wins.select(F.explode("terms").alias("term")).distinct()
-    probe = stored(probes(wins, term_counts(tokens, terms), rarest), "bench-probes")
-    return probe, postings(tokens, probe.where("rank = 1").select("term").distinct())
-
-
-def near(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_near (positions of proximity matches), near_items (sorted, joined by commas)."""
-    probe, index = indexed(docs, bench, id_col, text_col, RAREST)
-    found = proximity_matches(index, probe).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.size(F.collect_set("pos")).cast("long").alias("_near"), F.array_join(F.array_sort(F.collect_set("item")), ",").alias("_items"))
-    rows = index.where(F.col("term") == LENGTH).select("id", "th")
-    return (rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-            .select(F.col("id").alias("doc_id"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
-                    F.coalesce("_items", F.lit("")).alias("near_items")))
-
-
-def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th."""
-    probe, index = indexed(docs, bench, id_col, text_col)
-    hits = phrase_matches(index, probe)
+                       F.col(text_col).alias("text"))
+
+
+def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index of ``docs``, rows of ``keyed``, for the stored table ``terms``: (id, th, pos, term)."""
+    rows = docs.select("id", "th", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return stored(rows.join(small(terms), "term", "left_semi"), "postings")
+
+
+def slots(wins: DataFrame, index: DataFrame) -> DataFrame:
+    """(win, slots, rare) of the windows whose terms all occur: (term, off) of each of its words, the
+    rarest term first, and its ``RAREST`` rarest distinct terms in that order."""
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    each = wins.select("win", "terms").distinct().select("win", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
+    each = each.join(counts, "term").groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct("n", "term", "off"))).alias("s"))
+    drop_n = F.transform("s", lambda x: F.struct(x["term"].alias("term"), x["off"].alias("off")))
+    return (each.where(F.size("s") == F.col("size"))
+            .select("win", drop_n.alias("slots"), F.slice(F.array_distinct(F.transform("s", lambda x: x["term"])), 1, RAREST).alias("rare")))
+
+
+def padded(items: str, k: int) -> Column:
+    """Entry ``k`` of an array, or its first where it has fewer."""
+    return F.expr(f"{items}[IF(size({items}) > {k}, {k}, 0)]")
+
+
+def phrase_matches(index: DataFrame, rare: DataFrame, wins: DataFrame) -> DataFrame:
+    """(id, th, win, first, last): document positions of each exact occurrence of the windows ``wins``, the
+    stored rows of ``slots``; ``rare`` is the part of ``index`` that holds their rarest terms."""
+    heads = wins.select("win", *[padded("slots", k).alias(f"s{k}") for k in range(RAREST)], F.col("slots")[0]["term"].alias("term"))
+    found = rare.join(small(heads) if fits(wins) else heads, "term").withColumn("first", F.expr("pos - s0.off")).where("first >= 0")
+    for k in range(1, RAREST):
+        post = rare.select("id", "th", F.col("term").alias("t"), F.col("pos").alias("at"))
+        found = found.join(post, same_doc(found, post) & (F.col(f"s{k}.term") == F.col("t")) & (F.expr(f"first + s{k}.off") == F.col("at")), "left_semi")
+    found = stored(found.select("id", "th", "win", "first").distinct(), "phrase-candidates")
+
+    rest = F.expr(f"IF(size(slots) > {RAREST}, slice(slots, {RAREST + 1}, size(slots)), slice(slots, 1, 1))")
+    tails = wins.select("win", F.size("slots").alias("size"), F.size(rest).alias("wanted"), rest.alias("rest"))
+    wanted = (found.join(small(tails) if fits(wins) else tails, "win").select("id", "th", "win", "first", "size", "wanted", F.explode("rest").alias("s"))
+              .select("id", "th", "win", "first", "size", "wanted", F.col("s.term").alias("t"), F.expr("first + s.off").alias("at")))
+    where = stored(found.select("id", "th").distinct(), "phrase-documents")
+    post = index.join(small(where), same_doc(index, where), "left_semi")
+    met = wanted.join(post, same_doc(wanted, post) & (F.col("t") == F.col("term")) & (F.col("at") == F.col("pos")), "left_semi")
+    return (met.groupBy("id", "th", "win", "first", "size", "wanted").agg(F.count("*").alias("n")).where("n = wanted")
+            .select("id", "th", "win", "first", (F.col("first") + F.col("size") - 1).alias("last")))
+
+
+def proximity_matches(rare: DataFrame, wins: DataFrame, within: int = WINDOW) -> DataFrame:
+    """(id, th, win, pos): places of a window's rarest term with its ``RAREST`` rarest distinct
+    terms less than ``within`` words away, in any order; arguments as for ``phrase_matches``."""
+    heads = wins.select("win", *[padded("rare", k).alias(f"r{k}") for k in range(1, RAREST)], F.col("rare")[0].alias("term"))
+    found = rare.join(small(heads) if fits(wins) else heads, "term").withColumn("block", F.expr(f"pos div {within}"))
+    # a word is close to another if it lies in the same block of positions or one beside it
+    post = rare.select("id", "th", F.col("term").alias("t"), F.col("pos").alias("at"),
+                       F.explode(F.expr(f"sequence(pos div {within} - 1, pos div {within} + 1)")).alias("near"))
+    for k in range(1, RAREST):
+        found = found.join(post, same_doc(found, post) & (F.col(f"r{k}") == F.col("t")) & (F.col("block") == F.col("near"))
+                           & (F.abs(F.col("pos") - F.col("at")) < within), "left_semi")
+    return found.select("id", "th", "win", "pos")
+
+
+def per_document(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``sizes`` with the columns that ``found`` has for their document, if any."""
+    right = found.select(F.col("id").alias("_id"), F.col("th").alias("_th"), *[c for c in found.columns if c not in ("id", "th")])
+    return sizes.join(right, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
+
+
+def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", proximity: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th;
+    with ``proximity`` also n_near (positions of proximity matches) and near_items (sorted, joined by commas)."""
+    rows = keyed(docs, id_col, text_col)
+    found = stored(windows(bench), "bench-windows")
+    terms = stored(found.select(F.explode("terms").alias("term")).distinct(), "bench-terms")
+    index = postings(rows, terms)
+    wins = stored(slots(found, index), "bench-slots")
+    first = stored(wins.select(F.explode("rare").alias("term")).distinct(), "rare-terms")
+    rare = stored(index.join(small(first), "term", "left_semi"), "rare-postings")
+    owners = found.select("win", "item")
+    owners = small(owners) if fits(found) else owners
+
     step = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(x["last"] - F.greatest(x["first"], acc["upto"] + 1) + 1, F.lit(0))).alias("n"),
         F.greatest(acc["upto"], x["last"]).alias("upto"))
     spans = F.array_sort(F.collect_set(F.struct("first", "last")))
-    found = hits.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
+    items_of = F.array_sort(F.collect_set("item"))
+    hits = phrase_matches(index, rare, wins).join(owners, "win").groupBy("id", "th").agg(
         F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")), step, lambda acc: acc["n"]).alias("_hit"),
-        F.array_sort(F.collect_set("item")).alias("_items"))
-    sizes = index.where(F.col("term") == LENGTH).select("id", "th", "n_words")
+        items_of.alias("_items"))
+    sizes = rows.select("id", "th", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = per_document(sizes, hits)
     items = F.coalesce("_items", F.expr("CAST(array() AS array<string>)"))
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
-    return (sizes.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-            .select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-                    F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-                    ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * CONTAMINATED_PERCENT)).alias("contaminated"), "th"))
+    cols = [F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+            ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * CONTAMINATED_PERCENT)).alias("contaminated"), "th"]
+    if proximity:
+        close = proximity_matches(rare, wins).join(owners, "win").groupBy("id", "th").agg(
+            F.size(F.collect_set("pos")).cast("long").alias("_near"), F.array_join(items_of, ",").alias("_near_items"))
+        out = per_document(out, close)
+        cols += [F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"), F.coalesce("_near_items", F.lit("")).alias("near_items")]
+    return out.select(*cols)
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    return mark(docs, bench).drop("th")
+    return mark(docs, bench, proximity=True).drop("th")
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     bad = mark(docs, bench).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    bad = sized(stored(bad, "contaminated"))
+    bad = small(stored(bad, "contaminated"))
     th = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (th == bad["_th"]), "left_anti")
 
 
-#: Exact matches by plain window equality.
+#: Exact matches by plain window equality, proximity by the words around each place of a window's rarest term.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -182,10 +196,23 @@ dw AS (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win
        FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM d, sizes WHERE len(w) >= size)),
 hit AS (SELECT dw.doc_id, dw.s, dw.size, bw.item FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id),
+at AS (SELECT doc_id, unnest(w) AS term, unnest(generate_series(1, len(w))) AS p FROM d),
+cnt AS (SELECT term, count(*) AS n FROM at GROUP BY term),
+bt AS (SELECT item, win, term, n, row_number() OVER (PARTITION BY item, win ORDER BY n, term) AS rank,
+              min(coalesce(n, 0)) OVER (PARTITION BY item, win) AS least
+       FROM (SELECT DISTINCT item, win, unnest(string_split(win, ' ')) AS term FROM bw) LEFT JOIN cnt USING (term)),
+rare AS (SELECT item, win, arg_min(term, rank) AS term, list(term) AS terms FROM bt WHERE least > 0 AND rank <= 3 GROUP BY item, win),
+close AS (SELECT DISTINCT at.doc_id, at.p, rare.item FROM at JOIN rare USING (term) JOIN d ON at.doc_id = d.doc_id
+          WHERE list_has_all(d.w[greatest(p - 12, 1):p + 12], rare.terms)),
+near AS (SELECT doc_id, count(DISTINCT p) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM close GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(len(its.items), 0) AS BIGINT) AS n_items,
        sha256(coalesce(array_to_string(its.items, ','), '')) AS items_sha256,
-       coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+       coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(d.w) AS contaminated,
+       CAST(coalesce(near.n, 0) AS BIGINT) AS n_near, coalesce(near.items, '') AS near_items
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)
 """
+
+#: The proximity columns alone.
+NEAR_SQL = f"SELECT doc_id, n_near, near_items FROM ({SQL})"

@@ -58,8 +58,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-def op10_near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.near(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity columns of ``op10_decontaminate``."""
+    return op10_decontaminate(spark, sf_dir).select("doc_id", "n_near", "near_items")
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +81,9 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_url_filter, op3_hmm_lm, op4_quality_rules, op5_byte_bpe, op6_simhash, op7_pii_crf,
-        op8_warc_zip, op9_secret_scan, op10_decontaminate, op10_near_terms,
+        op8_warc_zip, op9_secret_scan, op10_decontaminate, near_terms,
         op11_toxicity, op12_token_alignment, op13_lexical_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.SQL, "op8_warc_zip": warc_zip.SQL, "op10_decontaminate": decontaminate.SQL,
-    "op13_lexical_search": lexical_search.SQL}
+    "near_terms": decontaminate.NEAR_SQL,    "op13_lexical_search": lexical_search.SQL}

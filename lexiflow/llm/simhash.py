@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import free_names, map_batches, stored
-from lexiflow.llm.decontaminate import sized
+from lexiflow.operators.sizes import small_side
 
 SHINGLE, DISTANCE = 4, 4
 SAMPLE = 1000
@@ -198,7 +198,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     best = first.groupBy(F.col("root").alias("_root")).agg(F.min("th").alias("_best"))
     others = first.join(best, F.col("root") == F.col("_root")).where("th <> _best")
     gone = found.where("id <> component").select("id", "th").unionByName(others.select("id", "th"))
-    gone = sized(stored(gone.select("id", "th").distinct(), "copies"))
+    gone = small_side(stored(gone.select("id", "th").distinct(), "copies"))
     hash_col, = free_names(docs, "text_hash")
     rows = docs.withColumn(hash_col, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
     rest = rows.join(gone, (rows["doc_id"] == gone["id"]) & (rows[hash_col] == gone["th"]), "left_anti")

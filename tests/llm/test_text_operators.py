@@ -249,12 +249,22 @@ def test_phrase_and_proximity_matches(spark):
     got = {r["doc_id"]: r for r in decontaminate.report(docs(spark, rows, clashes=False), bench).collect()}
     assert [got[i]["n_hit"] for i in range(1, 6)] == [14, 0, 13, 0, 1]
     assert got[1]["items_sha256"] == hashlib.sha256(b"7").hexdigest() and got[5]["contaminated"]
-    tokens = decontaminate.tokenized(docs(spark, rows, clashes=False))
-    wins = decontaminate.windows(bench)
-    probe = decontaminate.probes(wins, decontaminate.term_counts(tokens, wins.select(F.explode("terms").alias("term")).distinct()), rarest=3)
-    near = decontaminate.proximity_matches(decontaminate.postings(tokens, probe.where("rank = 1").select("term").distinct()), probe)
-    ids = {(r["id"], r["item"]) for r in near.collect()}
-    assert {(1, "7"), (5, "8")} <= ids and (2, "7") not in ids
+    near = {i: r["near_items"] for i, r in got.items()}
+    assert near[1] == "7" and near[5] == "8" and near[2] == ""
+
+
+def test_lists_of_all_terms_are_intersected(spark):
+    """Texts that hold a window's rarest terms in their places, but not one of its common terms."""
+    item = [f"c{i}" for i in range(10)] + ["r1", "r2", "r3"]
+    rows = [(0, " ".join(item), "en", "s", 0), (100, " ".join(f"c{i}" for i in range(10)) + " r3 r2 r1", "en", "s", 0)]
+    rows += [(1 + i, " ".join(w if j != i else "other" for j, w in enumerate(item)), "en", "s", 0) for i in range(13)]
+    rows += [(50 + i, " ".join(["pad"] * i + item[:9] + item), "en", "s", 0) for i in range(3)] + [(0, " ".join(item), "en", "s", 0)]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item)), (9, "r1 r2"), (10, "r2 absent")], "item_id long, text string")
+    got = [(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.report(docs(spark, rows, clashes=False), bench).collect()]
+    both = {10: 0, 11: 0, 12: 2}  # the texts without c9 and on: r1, r2, r3
+    want = [(0, 13, 3)] * 2 + [(100, 0, 0)] + [(50 + i, 13, 3) for i in range(3)]
+    want += [(1 + i, n, int(n > 0)) for i in range(13) for n in [both.get(i, 2)]]
+    assert sorted(got) == sorted(want)
 
 
 def test_near_terms_by_brute_force(spark, monkeypatch):
@@ -280,7 +290,7 @@ def test_near_terms_by_brute_force(spark, monkeypatch):
         want[i] = (len(at), ",".join(sorted(items)))
     tables = {"documents": docs(spark, rows, clashes=False), "benchmark": spark.createDataFrame(bench, "item_id long, text string")}
     monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name, *cols: tables[name].select(*cols))
-    got = {r["doc_id"]: (r["n_near"], r["near_items"]) for r in queries.QUERIES["op10_near_terms"](spark, "").collect()}
+    got = {r["doc_id"]: (r["n_near"], r["near_items"]) for r in queries.QUERIES["near_terms"](spark, "").collect()}
     assert got == want and any(n for n, _ in want.values())
 
 
