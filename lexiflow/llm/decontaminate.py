@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by a distributed positional inverted index.
 
-``postings``           the stored positional index: (document, term, position) of every benchmark term
+``postings``           the stored positional index: (document, term, position) of every benchmark term, and text lengths
 ``slots``              each benchmark window's terms and offsets from the rarest on
 ``phrase_matches``     exact occurrences of windows, by intersecting offset-adjusted posting lists
 ``proximity_matches``  places where the rarest terms of a window stand close together, in any order
@@ -73,9 +73,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index of ``docs``, rows of ``keyed``, for the stored table ``terms``: (id, th, pos, term)."""
-    rows = docs.select("id", "th", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return stored(rows.join(small(terms), "term", "left_semi"), "postings")
+    """The stored index of ``docs``, rows of ``keyed``, for the stored table ``terms``: (id, th, pos, term, n_words).
+
+    ``n_words`` is null but in one row of each text, that of its last word, whatever that is; a text without words
+    has a row without position."""
+    rows = docs.select("id", "th", words_of(F.col("text")).alias("words"))
+    rows = rows.select("id", "th", F.size("words").alias("n"), F.posexplode_outer("words").alias("pos", "term"))
+    known = terms.withColumn("known", F.lit(True))
+    rows = rows.join(F.broadcast(known) if fits(terms) else known, "term", "left").withColumn(
+        "n_words", F.when(F.coalesce(F.col("pos") + 1, F.lit(0)) == F.col("n"), F.col("n").cast("long")))
+    return stored(rows.where("known OR n_words IS NOT NULL").select("id", "th", "pos", "term", "n_words"), "postings")
 
 
 def slots(wins: DataFrame, index: DataFrame) -> DataFrame:
@@ -156,7 +163,7 @@ def mark(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     hits = phrase_matches(index, rare, wins).join(owners, "win").groupBy("id", "th").agg(
         F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")), step, lambda acc: acc["n"]).alias("_hit"),
         items_of.alias("_items"))
-    sizes = rows.select("id", "th", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    sizes = index.where("n_words IS NOT NULL").select("id", "th", "n_words")
     out = per_document(sizes, hits)
     items = F.coalesce("_items", F.expr("CAST(array() AS array<string>)"))
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
@@ -197,13 +204,13 @@ dw AS (SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS win
 hit AS (SELECT dw.doc_id, dw.s, dw.size, bw.item FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id),
-at AS (SELECT doc_id, unnest(w) AS term, unnest(generate_series(1, len(w))) AS p FROM d),
-cnt AS (SELECT term, count(*) AS n FROM at GROUP BY term),
+place AS (SELECT doc_id, unnest(w) AS term, unnest(generate_series(1, len(w))) AS p FROM d),
+cnt AS (SELECT term, count(*) AS n FROM place GROUP BY term),
 bt AS (SELECT item, win, term, n, row_number() OVER (PARTITION BY item, win ORDER BY n, term) AS rank,
               min(coalesce(n, 0)) OVER (PARTITION BY item, win) AS least
        FROM (SELECT DISTINCT item, win, unnest(string_split(win, ' ')) AS term FROM bw) LEFT JOIN cnt USING (term)),
 rare AS (SELECT item, win, arg_min(term, rank) AS term, list(term) AS terms FROM bt WHERE least > 0 AND rank <= 3 GROUP BY item, win),
-close AS (SELECT DISTINCT at.doc_id, at.p, rare.item FROM at JOIN rare USING (term) JOIN d ON at.doc_id = d.doc_id
+close AS (SELECT DISTINCT place.doc_id, place.p, rare.item FROM place JOIN rare USING (term) JOIN d ON place.doc_id = d.doc_id
           WHERE list_has_all(d.w[greatest(p - 12, 1):p + 12], rare.terms)),
 near AS (SELECT doc_id, count(DISTINCT p) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM close GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit,
