@@ -9,9 +9,11 @@ remaining 1 is for all unseen words together).  So the probabilities of all text
 Word counts come from every training text, summed up in each task before the shuffle.  ``HEAD``
 words (by a count threshold, so at most that many) travel to the tasks; counts
 of all rarer words are joined by a shuffle.  Baum-Welch runs over every training
-text: tasks work on pieces of ``PIECE`` tokens at once and emit expected counts per
+text: tasks work on many short texts, or on pieces of ``PIECE`` tokens of long ones, at once and emit expected counts per
 class, which Spark sums over all tasks; the new parameters, whose size
-is fixed, are set on the driver.  Scoring runs the scaled forward recursion over
+is fixed, are set on the driver.  A long text's pieces get their forward and backward
+messages from products of transition and emission matrices over the pieces between, so the counts, edges
+included, are those of whole texts and don't depend on ``PIECE``.  Scoring runs the scaled forward recursion over
 each whole text, exactly.
 
 Nulls: a null text is empty, its only token the end; a null id counts as the
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import batch, map_batches, stored
 
 END = b""  # no word is empty
-STATES, ROUNDS, PIECE, SEED = 8, 5, 128, 11
+STATES, ROUNDS, SEED = 8, 5, 11
+#: Texts up to ``WHOLE`` tokens are worked on in one piece, longer ones in pieces of ``PIECE`` tokens.
+WHOLE, PIECE = 1024, 128
 OWN, BUCKETS, HEAD = 4096, 1024, 100_000
 FOLDS, HELD_OUT = 7, 2
 #: Distinct words that a task counts before it hands the counts on.
@@ -177,29 +181,65 @@ class Model:
         emit = emit + prior * unigram[:, None]
         return cls((start + 1) / (start + 1).sum(), (step + 1) / (step + 1).sum(1, keepdims=True), np.vstack([emit / emit.sum(0), np.ones(len(start))]))
 
-    def expected(self, obs: np.ndarray):
-        """Expected counts (start, step, emit) of pieces ``obs`` (time, piece), padded at the end."""
+    def expected(self, obs: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Expected counts (start, step, emit) of pieces ``obs`` (time, piece), padded at the end.
+
+        ``before`` (piece, S) is the forward message of the token in front of a piece, zero where a text starts there;
+        ``after`` (piece, S) the backward message at a piece's last token, of ones where a text ends there.  The step into a
+        piece is counted with it."""
         n, pieces = obs.shape
         states, pad = len(self.start), len(self.emit) - 1
+        before = np.zeros((pieces, states)) if before is None else before
+        opens = ~before.any(1)
         alpha = np.empty((n, pieces, states))
         scale = np.empty((n, pieces, 1))
-        a = self.start[None, :]
+        a = before @ self.step
+        a[opens] = self.start
         for t in range(n):
             a = (a if t == 0 else a @ self.step) * self.emit[obs[t]]
             s = a.sum(1, keepdims=True)
             a = a / s
             alpha[t], scale[t] = a, s
-        beta = np.ones((pieces, states))
+        beta = np.ones((pieces, states)) if after is None else after / (a * after).sum(1, keepdims=True)
         step = np.zeros((states, states))
-        for t in range(n - 1, 0, -1):
+        for t in range(n - 1, -1, -1):
             e = self.emit[obs[t]] * beta / scale[t]
-            step += alpha[t - 1].T @ (e * (obs[t] != pad)[:, None])
+            step += (alpha[t - 1] if t else before).T @ (e * (obs[t] != pad)[:, None])
             alpha[t] *= beta
             beta = e @ self.step.T
-        alpha[0] *= beta
         flat = obs.ravel()
         emit = np.stack([np.bincount(flat, alpha[:, :, s].ravel(), pad + 1)[:pad] for s in range(states)], 1)
-        return alpha[0][obs[0] != pad].sum(0), step * self.step, emit
+        return alpha[0][opens & (obs[0] != pad)].sum(0), step * self.step, emit
+
+    def messages(self, obs: np.ndarray, opens: np.ndarray):
+        """Forward and backward messages (piece, S) of pieces ``obs`` (time, piece), as ``expected`` takes them; a text's
+        pieces follow one another, the first is marked in ``opens``."""
+        n, pieces = obs.shape
+        states = len(self.start)
+        # over[k]: the product of (step x emission) over all tokens of piece k, up to a factor
+        over = np.repeat(np.eye(states)[None], pieces, 0)
+        first = np.repeat(self.start[None], opens.sum(), 0)
+        for t in range(n):
+            e = self.emit[obs[t]]
+            over = (over.reshape(-1, states) @ self.step).reshape(pieces, states, states) * e[:, None, :]
+            first = (first @ self.step if t else first) * e[opens]
+            if t % 8 == 7:
+                over /= over.sum((1, 2), keepdims=True)
+                first /= first.sum(1, keepdims=True)
+        before, after = np.zeros((pieces, states)), np.ones((pieces, states))
+        ends = iter(first)
+        for k in range(pieces):
+            if opens[k]:
+                a = next(ends)
+            else:
+                before[k] = a
+                a = a @ over[k]
+            a = a / a.sum()
+        for k in range(pieces - 2, -1, -1):
+            if not opens[k + 1]:
+                b = over[k + 1] @ after[k + 1]
+                after[k] = b / b.sum()
+        return before, after
 
     def log10_likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """Scaled forward recursion over whole texts, all at once: longest first, a text leaves when it ends."""
@@ -226,27 +266,51 @@ class Model:
         return out
 
 
-def pieces(texts, piece: int, pad: int, most: int = 1024):
-    """(time, piece) arrays of at most ``most`` pieces of the texts' class numbers."""
-    held: list[np.ndarray] = []
-
-    def grid():
-        obs = np.full((max(map(len, held)), len(held)), pad, np.int64)
-        for k, x in enumerate(held):
-            obs[:len(x), k] = x
-        held.clear()
-        return obs
+def grid(rows: list[np.ndarray], pad: int) -> np.ndarray:
+    """(time, piece) array of the rows, padded at the end."""
+    obs = np.full((max(map(len, rows)), len(rows)), pad, np.int64)
+    for k, x in enumerate(rows):
+        obs[:len(x), k] = x
+    return obs
+
+
+def expected_counts(model: Model, texts, whole: int = WHOLE, piece: int = PIECE, wide: int = 512):
+    """Expected counts (start, step, emit) of texts.  Those up to ``whole`` tokens run side by side, of like
+    lengths together; pieces of ``piece`` tokens of the longer ones side by side, between messages."""
+    pad = len(model.emit) - 1
+    short: list[np.ndarray] = []
+    cut: list[np.ndarray] = []
+    opens: list[bool] = []
+
+    def run_short():
+        short.sort(key=len, reverse=True)
+        for i in range(0, len(short), wide):
+            yield model.expected(grid(short[i:i + wide], pad))
+        short.clear()
+
+    def run_cut():
+        if cut:
+            before, after = model.messages(grid(cut, pad), np.array(opens))
+            for i in range(0, len(cut), wide):
+                yield model.expected(grid(cut[i:i + wide], pad), before[i:i + wide], after[i:i + wide])
+        cut.clear()
+        opens.clear()
 
     for x in texts:
-        for i in range(0, len(x), piece):
-            held.append(x[i:i + piece])
-            if len(held) == most:
-                yield grid()
-    if held:
-        yield grid()
-
-
-def baum_welch(classes: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, piece: int = PIECE, seed: int = SEED) -> Model:
+        if len(x) > whole:
+            cut += [x[i:i + piece] for i in range(0, len(x), piece)]
+            opens += [i == 0 for i in range(0, len(x), piece)]
+        elif len(x):
+            short.append(x)
+        if len(short) >= 4 * wide:
+            yield from run_short()
+        if len(cut) >= 2 * wide:
+            yield from run_cut()
+    yield from run_short()
+    yield from run_cut()
+
+
+def baum_welch(classes: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
     """Fit to the column ``classes``; counts of all texts are added up by Spark."""
     spark, size = classes.sparkSession, lex.classes
     model = Model.first(lex.unigram, states, seed)
@@ -257,8 +321,7 @@ def baum_welch(classes: DataFrame, lex: Lexicon, states: int = STATES, rounds: i
             m, emit = sent.value, np.zeros((size, states))
             start, step = np.zeros(states), np.zeros((states, states))
             texts = (np.frombuffer(x, "<u2") for b in batches for x in b.column(0).to_pylist())
-            for obs in pieces(texts, piece, size):
-                a, b, c = m.expected(obs)
+            for a, b, c in expected_counts(m, texts):
                 start += a
                 step += b
                 emit += c

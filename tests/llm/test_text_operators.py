@@ -97,6 +97,34 @@ def test_expected_counts_match_enumeration():
         assert np.allclose(a - b, c / total)
 
 
+def test_expected_counts_do_not_depend_on_pieces():
+    rng = np.random.default_rng(3)
+    m = hmm_lm.Model.first(rng.random(20), 3, 5)
+    m.step = rng.dirichlet([1, 1, 1], 3)
+    texts = [rng.integers(0, 20, n) for n in (0, 1, 5, 16, 17, 3, 64, 1, 200, 33)]
+    start, step, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((20, 3))
+    for x in texts:  # forward and backward over each whole text, one token after another
+        if not len(x):
+            continue
+        a = [m.start * m.emit[x[0]]]
+        for k in x[1:]:
+            a.append(a[-1] @ m.step * m.emit[k])
+        b = [np.ones(3)]
+        for k in x[:0:-1]:
+            b.append(m.step @ (m.emit[k] * b[-1]))
+        b.reverse()
+        total = a[-1].sum()
+        start += a[0] * b[0] / total
+        for t, k in enumerate(x):
+            emit[k] += a[t] * b[t] / total
+            if t:
+                step += np.outer(a[t - 1], m.emit[k] * b[t]) * m.step / total
+    for whole, piece, wide in ((1000, 7, 512), (10, 4, 3), (1, 1, 2), (16, 16, 1), (2, 13, 512)):
+        got = [sum(x) for x in zip(*hmm_lm.expected_counts(m, texts, whole, piece, wide))]
+        for g, want in zip(got, (start, step, emit)):
+            assert np.allclose(g, want)
+
+
 def test_scores_with_rare_words_by_join(spark, monkeypatch):
     monkeypatch.setattr(hmm_lm, "HEAD", 20)
     rng = random.Random(4)
