@@ -5,19 +5,22 @@ spans that the rules miss or drop (a card number that runs into the next
 number, a number repeated without its prefix).  Its nodes are a document's tokens that hold a digit or ``@``;
 its labels ``O`` and the four kinds.
 
-* node potentials: a softmax model of a token's shape and neighbours
+* node potentials: a softmax model of a token's shape and neighbours (a leading ``+`` only counts as part of the
+  shape: it is what the rule asks for, so a feature of its own would outweigh everything else)
 * chain potentials: between consecutive nodes, apart for touching and distant ones
-* skip potentials: between a token and the next one in the document with the same letters and digits, or
+* skip potentials: between a token and the next one in the document, not beside it, with the same letters and digits, or
   the same last digits; a chain of such links keeps all repeats of an entity consistent at linear cost
 
 Loopy belief propagation runs on each text as a graph of its own
-(documents share no edges).  A label is used where its marginal reaches ``SURE``
+(documents share no edges), until no message changes by more than ``SETTLED``, so that evidence
+crosses any number of links; where loops keep it from settling, it ends after ``SPARE`` rounds more than there are nodes.  A label is used where its marginal reaches ``SURE``
 on each token of a run; the span must not overlap a span of the rules.
 
 Training is piecewise, on labels that the rules give: ``fit`` takes whole documents, at most
-``SAMPLE_DOCS``, in the order of a hash of their ids; only their nodes' features
-reach the driver.  Node weights come from gradient descent, edge potentials
-from smoothed counts of label pairs.
+``SAMPLE_DOCS``, in the order of a hash of their ids.  Tokens that the rules leave alone but that resemble an entity of their
+document are not taken as negatives.  Spark counts equal nodes (features and label) and the label pairs of edges;
+at most ``SAMPLE_NODES`` distinct nodes, in the order of a hash, reach the driver.  Node weights come from gradient
+descent on these counts, edge potentials from the smoothed counts of label pairs.
 
 Nulls: a null text is read as empty and has no spans; rows with a null id are
 judged like others.  Without labelled nodes (also an empty table) the field adds
@@ -27,19 +30,26 @@ nothing.  Every input row gives one row, also repeated ones.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiflow.llm.common import batch, map_batches, scan_spans, span_digest
+from lexiflow.llm.common import batch, first_by_hash, map_batches, scan_spans, span_digest, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *KINDS]
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS, SAMPLE_NODES = 20_000, 100_000
 SURE = 0.9
-ROUNDS = 12
+SETTLED, SPARE = 1e-4, 64
+#: Bounds of the log potentials of touching, distant and skip edges.
+LIMITS = (1.5, 1.5, 6.0)
+#: Before any edge is counted: the share of similar tokens with equal labels.
+ALIKE = 0.99
+#: Distinct nodes and edges that a task counts before it hands the counts on.
+MOST_COUNTED = 100_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -114,7 +124,7 @@ def shape(word: str) -> str:
 
 def nodes_of(text: str, base: list[tuple[str, int, int, bool]], doubtful: list[tuple[int, int]] = ()):
     """(start, end, label, key, features, token number, last digits) of each
-    node, in order; the label is -1 within a doubtful span without a sure one."""
+    node, in order; the label is -1 within a doubtful span without a sure one, and where only a similar token is in a sure one."""
     if not NODE.search(text):
         return []
     words = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
@@ -145,14 +155,20 @@ def nodes_of(text: str, base: list[tuple[str, int, int, bool]], doubtful: list[t
         dots = core.count(".")
         octets = core.split(".") if dots == 3 else []
         feats = ["bias", f"shape={shape(core)}", f"digits={min(len(digits), 20)}", f"letters={min(letters, 12)}",
-                 f"at={min(core.count('@'), 2)}", f"dots={min(dots, 4)}", f"plus={word[0] == '+'}",
+                 f"at={min(core.count('@'), 2)}", f"dots={min(dots, 4)}",
                  f"quad={len(octets) == 4 and all(x.isdigit() and len(x) <= 3 for x in octets)}",
                  f"luhn={len(digits) >= 14 and not letters and luhn(digits)}",
                  f"before={shape(before)}" if NODE.search(before) else "before=word",
                  f"after={shape(after)}" if NODE.search(after) else "after=word"]
         key = "".join(c for c in core.lower() if c.isalnum())
         out.append((start, end, label, key if len(key) >= 5 else "", feats, i, digits[-7:] if len(digits) >= 7 and not letters else ""))
-    return out
+    alike = {key for n in out if n[2] > 0 for key in keys_of(n)}
+    return [(*n[:2], -1, *n[3:]) if not n[2] and not alike.isdisjoint(keys_of(n)) else n for n in out]
+
+
+def keys_of(node) -> set[tuple[str, str]]:
+    """What a node shares with its repeats and similar tokens."""
+    return {(kind, x) for kind, x in (("t", node[3]), ("d", node[6])) if x}
 
 
 def edges_of(nodes, at: int):
@@ -161,20 +177,20 @@ def edges_of(nodes, at: int):
     for k, n in enumerate(nodes):
         if k:
             out.append((at + k - 1, at + k, 0 if n[5] - nodes[k - 1][5] == 1 else 1))
-        for key in {("t", n[3]), ("d", n[6])}:
-            if key[1]:
-                if key in last and last[key] != k - 1:
-                    out.append((at + last[key], at + k, 2))
-                last[key] = k
+        keys = keys_of(n)
+        for j in sorted({last[key] for key in keys if key in last}):
+            if n[5] - nodes[j][5] > 1:
+                out.append((at + j, at + k, 2))
+        last.update(dict.fromkeys(keys, k))
     return out
 
 
 # --- inference --------------------------------------------------------------
 
-def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, settled: float = SETTLED) -> np.ndarray:
     """Label marginals by loopy sum-product: ``unary`` (n, L) and ``pair``
     (types, L, L) in logs, ``edges`` (m, 3).  A message is damped by half; the
-    result is exact on trees once ``rounds`` covers their depth."""
+    result is exact on trees."""
     soft = lambda x: np.exp(x - x.max(1, keepdims=True)) / np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)
     if not len(edges):
         return soft(unary)
@@ -183,14 +199,17 @@ def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: in
     table = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
     msg = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds):
+    for _ in range(len(unary) + SPARE):
         total = unary.copy()
         np.add.at(total, dst, msg)
         out = (total[src] - msg[back])[:, :, None] + table
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
+        change = np.abs(new - msg).max()
         msg = 0.5 * msg + 0.5 * new
+        if change < settled:
+            break
     total = unary.copy()
     np.add.at(total, dst, msg)
     return soft(total)
@@ -234,65 +253,74 @@ class Field:
         return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Fit the field on at most ``sample_docs`` documents, chosen by the hash of their ids."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_nodes: int = SAMPLE_NODES) -> Field:
+    """Fit the field on at most ``sample_docs`` documents, chosen by the hash of their ids, and ``sample_nodes`` distinct nodes."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = src.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    chosen = first_by_hash(src.select("id").where("id IS NOT NULL").distinct(), sample_docs, "id")
     sample = src.join(F.broadcast(chosen), "id", "left_semi").select("text")
-    out = T.StructType([T.StructField("feats", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("labels", T.ArrayType(T.IntegerType())),
-                        T.StructField("edges", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
-    def run(batches):
+    def run(batches):  # (kind of edge or -1 for a node, features, label, label of the edge's other end, count)
         import pyarrow as pa
-        schema = pa.schema([("feats", pa.list_(pa.list_(pa.string()))), ("labels", pa.list_(pa.int32())), ("edges", pa.list_(pa.list_(pa.int32())))])
-        for b in batches:
-            rows = [nodes_of(x, pattern_spans(x), doubtful_spans(x)) for x in b.column(0).to_pylist() if x and NODE.search(x)]
-            rows = [r for r in rows if r]
-            yield batch(schema, [[n[4] for n in r] for r in rows], [[n[2] for n in r] for r in rows],
-                        [[list(e) for e in edges_of(r, 0)] for r in rows])
-
-    return _train(sorted(map(tuple, map_batches(sample, run, out).collect()), key=repr))
+        schema = pa.schema([("kind", pa.int32()), ("feats", pa.list_(pa.string())), ("y", pa.int32()), ("z", pa.int32()), ("n", pa.int64())])
+        count: Counter = Counter()
 
+        def rows():
+            out = batch(schema, *map(list, zip(*[(*k, n) for k, n in count.items()]))) if count else batch(schema, [], [], [], [], [])
+            count.clear()
+            return out
 
-def _train(rows, least: int = 3, steps: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> Field:
-    labels = np.array([y for _, ys, _ in rows for y in ys], int)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                nodes = nodes_of(x, pattern_spans(x), doubtful_spans(x)) if x else []
+                count.update((-1, tuple(n[4]), n[2], 0) for n in nodes if n[2] >= 0)
+                count.update((kind, (), nodes[i][2], nodes[j][2]) for i, j, kind in edges_of(nodes, 0) if min(nodes[i][2], nodes[j][2]) >= 0)
+                if len(count) >= MOST_COUNTED:
+                    yield rows()
+        yield rows()
+
+    counts = stored(map_batches(sample, run, "kind int, feats array<string>, y int, z int, n long")
+                    .groupBy("kind", "feats", "y", "z").agg(F.sum("n").alias("n")), "field-counts")
+    nodes = first_by_hash(counts.where("kind < 0"), sample_nodes, "feats", "y").select("feats", "y", "n").collect()
+    edges = np.zeros((3, len(LABELS), len(LABELS)))
+    for r in counts.where("kind >= 0").collect():
+        edges[r["kind"], r["y"], r["z"]] = r["n"]
+    return _train([(r["feats"], r["y"], r["n"]) for r in nodes], edges)
+
+
+def _train(nodes, edges: np.ndarray, least: int = 3, steps: int = 300, rate: float = 0.5, ridge: float = 1e-4) -> Field:
+    """The field of (features, label, count) ``nodes`` and edge counts (kind, label, label)."""
     size = len(LABELS)
-    sure = labels >= 0
-    if not (labels > 0).any():
+    if not any(y for _, y, _ in nodes):
         return Field({}, np.zeros((0, size)), np.zeros((3, size, size)))
-    seen: dict[str, int] = {}
-    for feats, _, _ in rows:
-        for x in feats:
-            for f in x:
-                seen[f] = seen.get(f, 0) + 1
+    seen: Counter = Counter()
+    for feats, _, n in nodes:
+        for f in feats:
+            seen[f] += n
     index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
-    lines = [[index[f] for f in x if f in index] for (feats, ys, _) in rows for x, y in zip(feats, ys) if y >= 0]
+    lines = [[index[f] for f in feats if f in index] for feats, _, _ in nodes]
     node = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
     feat = np.array([k for x in lines for k in x], int)
+    labels, share = np.array([y for _, y, _ in nodes]), np.array([n for *_, n in nodes], float)
+    total = share.sum()
     w, speed = np.zeros((len(index), size)), np.full((len(index), size), 1e-8)
-    truth = np.eye(size)[labels[sure]]
+    truth = np.eye(size)[labels]
     for _ in range(steps):  # AdaGrad on the whole sample
         score = np.stack([np.bincount(node, w[feat, c], len(lines)) for c in range(size)], 1)
         p = np.exp(score - score.max(1, keepdims=True))
-        off = p / p.sum(1, keepdims=True) - truth
-        grad = np.stack([np.bincount(feat, off[node, c], len(index)) for c in range(size)], 1) / len(lines) + ridge * w
+        off = (p / p.sum(1, keepdims=True) - truth) * (share / total)[:, None]
+        grad = np.stack([np.bincount(feat, off[node, c], len(index)) for c in range(size)], 1) + ridge * w
         speed += grad * grad
         w -= rate * grad / np.sqrt(speed)
-    return Field(index, w, _edge_potentials(rows, labels[sure]))
+    return Field(index, w, _edge_potentials(edges, np.bincount(labels, share, size)))
 
 
-def _edge_potentials(rows, labels, prior: float = 50.0, limit: float = 1.5) -> np.ndarray:
+def _edge_potentials(edges: np.ndarray, labels: np.ndarray, prior: float = 50.0) -> np.ndarray:
     """Log ratios of an edge's label pairs to independent labels, smoothed by ``prior`` pairs:
-    independent ones for chain edges; for skip edges nine in ten of equal labels."""
-    size = len(LABELS)
-    p = (np.bincount(labels, minlength=size) + 1.0) / (len(labels) + size)
+    independent ones for chain edges; for skip edges a share of ``ALIKE`` has equal labels for sure."""
+    p = (labels + 1.0) / (labels + 1.0).sum()
     free = np.outer(p, p)
-    prior_of = [free, free, 0.9 * np.diag(p) + 0.1 * free]
-    count = prior * np.array(prior_of)
-    for _, ys, edges in rows:
-        for i, j, kind in edges:
-            if ys[i] >= 0 and ys[j] >= 0:
-                count[kind, ys[i], ys[j]] += 1
+    count = prior * np.array([free, free, ALIKE * np.diag(p) + (1 - ALIKE) * free]) + edges
+    limit = np.array(LIMITS)[:, None, None]
     return np.clip(np.log(count / count.sum((1, 2), keepdims=True) / free), -limit, limit)
 
 

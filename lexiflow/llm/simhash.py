@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import free_names, map_batches, stored
+from lexiflow.llm.common import first_by_hash, free_names, map_batches, stored
 from lexiflow.operators.sizes import small_side
 
 SHINGLE, DISTANCE = 4, 4
@@ -140,7 +140,7 @@ def _probe(k: int, part, flips: list[int]):
 def links(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct fingerprints ``fp`` within the distance."""
     n = fps.count()
-    chosen = np.array([r["fp"] for r in fps.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
+    chosen = np.array([r["fp"] for r in first_by_hash(fps.select("fp"), sample, "fp", total=n).collect()], np.int64).view(np.uint64)
     probes, index = [], []
     for k, (bits, t) in enumerate(plan(chosen, n, distance)):
         mask = sum(1 << b for b in bits)

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import first_by_hash, stored
 from lexiflow.llm.decontaminate import LOWER, UPPER
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -71,8 +71,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE):
     ``labelled``: url and ``blocked`` (boolean); at most ``sample`` distinct rows are used.
     """
     host, path = parts(F.col("url"))
-    rows = (labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").distinct()
-            .orderBy(F.xxhash64("url"), "url", "blocked").limit(sample))
+    rows = first_by_hash(labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked").distinct(), sample, "url", "blocked")
     rows = stored(rows.select(grams(host, path).alias("_grams"), F.col("blocked").cast("double").alias("label")), "labelled-urls")
     kinds = [r["label"] for r in rows.select("label").distinct().collect()]
     if len(kinds) < 2:

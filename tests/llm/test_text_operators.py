@@ -342,6 +342,84 @@ def test_patterns_by_plain_regex():
         assert [(a, b) for k, a, b, _ in spans if k == "ip"] == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
 
 
+def test_card_and_phone_by_plain_regex():
+    rng = random.Random(10)
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def passes(digits):
+        total = 0
+        for i, c in enumerate(reversed(digits)):
+            d = int(c) * (1 + i % 2)
+            total += d - 9 if d > 9 else d
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+
+    found = Counter()
+    for _ in range(20_000):
+        text = "".join(rng.choice("00123456789- +().a") if rng.random() < 0.25 else rng.choice("0123456789") for _ in range(rng.randrange(60)))
+        spans = pii_crf.pattern_spans(text)
+        cards = [m.span() for m in card.finditer(text) if passes(re.sub("[^0-9]", "", m.group()))]
+        phones = [m.span() for m in phone.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert [(a, b) for k, a, b, _ in spans if k == "card"] == cards and [(a, b) for k, a, b, _ in spans if k == "phone"] == phones
+        found.update(card=len(cards), phone=len(phones))
+    assert min(found["card"], found["phone"]) > 100
+
+
+def test_skip_links_decide(spark):
+    """A number is a telephone number where the same digits stand with a prefix elsewhere in the text, else a part number."""
+    rng, rows = random.Random(6), []
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    part = lambda: number() if rng.random() < 0.2 else f"{rng.randrange(20, 99)}-{rng.randrange(1000, 9999)}"
+    for i in range(300):
+        text = f"call +1-{number()} today or write to us about part {part()} now" if i % 2 else f"part {part()} costs 12 and part {part()} 15"
+        rows.append((i, text, "en", "s", 0))
+    df = docs(spark, rows, clashes=False)
+    field = pii_crf.fit(df)
+    again = "call +1-415-555-0123 in the morning, order 7 at night, and 415-555-0123 later"
+    base = pii_crf.pattern_spans(again)
+    at = again.rindex("415-555-0123")
+    assert field.extra_spans([again], [base]) == [[("phone", at, at + 12, False)]]
+    other = again[:at] + "415-555-9999" + again[at + 12:]
+    assert field.extra_spans([other], [pii_crf.pattern_spans(other)]) == [[]]
+    without = pii_crf.Field(field.index, field.weights, field.pair * np.array([1, 1, 0])[:, None, None])
+    assert without.extra_spans([again], [base]) == [[]]
+
+
+def test_messages_cross_many_links():
+    unary, pair = np.zeros((60, 5)), np.zeros((3, 5, 5))
+    unary[0, 3], pair[2] = 30.0, 12 * np.eye(5)
+    edges = np.array([(k, k + 1, 2) for k in range(59)])
+    assert pii_crf.marginals(unary, edges, pair)[:, 3].min() > 0.99
+
+
+def test_field_counts_by_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(pii_crf, "MOST_COUNTED", 20)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["+14155550123", "14155550123", "a@b.cd", "x1", "word", "1.2.3.4", "4539148803436467"]) for _ in range(20)), "en", "s", 0)
+            for i in range(60)]
+    seen = []
+    monkeypatch.setattr(pii_crf, "_train", lambda nodes, edges: seen.append((nodes, edges)))
+    pii_crf.fit(docs(spark, rows, clashes=False))
+    nodes, edges = Counter(), np.zeros((3, 5, 5))
+    for _, text, *_ in rows:
+        found = pii_crf.nodes_of(text, pii_crf.pattern_spans(text), pii_crf.doubtful_spans(text))
+        nodes.update((tuple(n[4]), n[2]) for n in found if n[2] >= 0)
+        for i, j, kind in pii_crf.edges_of(found, 0):
+            if found[i][2] >= 0 and found[j][2] >= 0:
+                edges[kind, found[i][2], found[j][2]] += 1
+    assert {(tuple(f), y): n for f, y, n in seen[0][0]} == dict(nodes) and (seen[0][1] == edges).all() and edges[2].any()
+
+
+def test_first_by_hash(spark):
+    from lexiflow.llm.common import first_by_hash
+
+    df = spark.range(30_000).withColumn("x", F.col("id").cast("string"))
+    want = df.orderBy(F.xxhash64("x"), "x").limit(100).collect()
+    out = first_by_hash(df, 100, "x")
+    assert out.collect() == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 1
+    assert first_by_hash(df.limit(5), 100, "x").count() == 5
+
+
 def test_long_texts_take_linear_time():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "1." * 100_000, "+1" * 100_000):
         pii_crf.pattern_spans(text)
@@ -371,7 +449,7 @@ def test_message_passing_is_exact_on_a_chain():
         w = math.exp(sum(unary[i, y] for i, y in enumerate(path)) + sum(pair[0, path[i], path[i + 1]] for i in range(3)))
         for i, y in enumerate(path):
             p[i, y] += w
-    got = pii_crf.marginals(unary, np.array([(0, 1, 0), (1, 2, 0), (2, 3, 0)]), pair, rounds=60)
+    got = pii_crf.marginals(unary, np.array([(0, 1, 0), (1, 2, 0), (2, 3, 0)]), pair, settled=1e-9)
     assert np.allclose(got, p / p.sum(1, keepdims=True), atol=1e-6)
 
 
