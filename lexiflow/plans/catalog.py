@@ -890,33 +890,34 @@ def coral_transfer(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
-# --- 2.10 BPE vocabularies (rows-only) --------------------------------------------------------
+# --- 2.10 BPE vocabularies --------------------------------------------------------------------
 
-BPE_PAIRS_PER_ROUND = 2000  # batch mode for the registered runs; 1 = exact sequential BPE
 _BPE: dict = {}
 
 
 def _bpe_texts(spark, sf):
     """BPE is learned on train + dev text (Q20)."""
-    sp = _split3(spark, sf).where(F.col("split").isin("train", "dev")).select("id")
+    sp = _split3(spark, sf).where(F.col("split").isin("train", "dev")).select("id", "lang")
     return _with_text(spark, sf, sp)
 
 
 def _bpe_model(spark, sf, byte_level: bool):
+    """A vocabulary for each language."""
     key = (id(spark), spark.sparkContext.applicationId, sf, byte_level)
     if key not in _BPE:
-        _BPE[key] = BP.learn(_bpe_texts(spark, sf), byte_level=byte_level,
-                             limit_alphabet=None if byte_level else BP.LIMIT_ALPHABET,
-                             pairs_per_round=BPE_PAIRS_PER_ROUND)
+        _BPE[key] = BP.learn(_bpe_texts(spark, sf), byte_level=byte_level, by="lang",
+                             limit_alphabet=None if byte_level else BP.LIMIT_ALPHABET)
     return _BPE[key]
 
 
 def bpe_vocab(spark, sf):
-    return BP.vocab_table(spark, *_bpe_model(spark, sf, False))
+    """FEA-01: the vocabulary of each language, sequential BPE over NFKC words."""
+    return BP.vocab_table(spark, _bpe_model(spark, sf, False))
 
 
 def bpe_vocab_bytes(spark, sf):
-    return BP.vocab_table(spark, *_bpe_model(spark, sf, True))
+    """FEA-02: the same over UTF-8 bytes."""
+    return BP.vocab_table(spark, _bpe_model(spark, sf, True))
 
 
 def _bpe_types(spark, sf):
@@ -943,14 +944,13 @@ def bpe_pair_counts(spark, sf):
 
 def bpe_roundtrip(spark, sf):
     """FEA-03: the pieces of every document, put together again."""
-    pieces = BP.encode(_lab(spark, sf).select("id", "text"), *_bpe_model(spark, sf, False))
+    pieces = BP.encode(_lab(spark, sf).select("id", "lang", "text"), _bpe_model(spark, sf, False), by="lang")
     words = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.array_join("pieces", "").alias("w")))).alias("p"))
     return words.select("id", F.size("p").cast("bigint").alias("n_words"), F.md5(F.array_join(F.col("p.w"), " ")).alias("joined_md5"))
 
 
 def bpe_encode(spark, sf):
-    alphabet, merges = _bpe_model(spark, sf, False)
-    pieces = BP.encode(_lab(spark, sf).select("id", "text"), alphabet, merges)
+    pieces = BP.encode(_lab(spark, sf).select("id", "lang", "text"), _bpe_model(spark, sf, False), by="lang")
     docs = BP.encoded_docs(pieces)
     # padded at the end with [EOS], which is also the pad token
     padded = TX.pad_to("input_ids", 500, pad_id=1)
