@@ -31,3 +31,30 @@ def test_doc_terms_of_one_length(spark):
     docs = _docs(spark)
     got = {(r["id"], r["n"], r["term"]): r["tf"] for r in FE.doc_terms(docs, [], 2, min_n=2).collect()}
     assert got == {k: v for k, v in _expected(docs, 2).items() if k[1] == 2}
+
+
+def test_chunks_try_few_sizes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from lexiflow.operators import multimodel as MM
+    rng = np.random.default_rng(1)
+    n, each = 2000, 30
+    idx = np.concatenate([rng.choice(5000, each, replace=False) for _ in range(n)]).astype(np.int32)
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * each)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, int)), pa.ListArray.from_arrays(ends, pa.array(idx)),
+                                        pa.ListArray.from_arrays(ends, pa.array(np.ones(n * each)))], names=["problem", "idx", "val"])
+    monkeypatch.setattr(MM, "CELLS", 20000)
+    sorted_numbers, unique = [], np.unique
+    monkeypatch.setattr(MM.np, "unique", lambda a, **kw: (sorted_numbers.append(len(a)), unique(a, **kw))[1])
+    got = [(len(part), used, x) for _, part, used, x in MM.chunks(batch)]
+    # the rows that are left, halved until they fit
+    first, sizes = 0, []
+    while first < n:
+        k = n - first
+        while k > 1 and k * len(unique(idx[first * each:(first + k) * each])) > 20000:
+            k //= 2
+        sizes.append(k)
+        first += k
+    assert [g[0] for g in got] == sizes
+    assert sum(sorted_numbers) < 10 * n * each
+    assert all((x.sum(axis=1) == each).all() and len(used) == x.shape[1] for _, used, x in got)
