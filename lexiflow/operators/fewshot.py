@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiflow.functions.text import LABELS, label_to_id, template, word_tokens
 from lexiflow.operators.rank import hash_rank
@@ -67,42 +68,61 @@ def _events(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
 
 
 def bigram_scores(examples: DataFrame, rows: DataFrame, group_cols: list[str], alpha: float = ALPHA,
-                  id_col: str = "id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "id", text_col: str = "text", row_cols: list[str] | None = None) -> DataFrame:
     """LAB-03/04: (group..., id, candidate, score) for every row and every
     label present in the group's examples.
 
     score = mean_i ln((N_c(p_i, w_i) + alpha) / (N_c(p_i) + alpha V)),
     V = distinct example words of the group + 1 (unknown).  Rows without
     tokens score 0.
+
+    ``row_cols`` are those of ``group_cols`` that the rows have (all, if not given); the others (a grid's) tell apart several
+    models that score the same rows.  A row's events are taken apart once for all of them: an event meets the
+    models' weights as an array, and only a row's sums are shuffled.
     """
     g = group_cols
+    rc = g if row_cols is None else row_cols
     # the model (examples and their count tables, bounded by 3N examples per
     # group) is fitted once and written; scoring only reads it
     ex = materialize(examples.select(*g, "label", text_col))
     ex_ev = _events(ex.select(*g, F.col("label").alias("candidate"), text_col),
                     g + ["candidate"], word_tokens(text_col))
-    n2 = materialize(ex_ev.groupBy(*g, "candidate", "prev", "w").agg(F.count(F.lit(1)).alias("n2")))
-    n1 = materialize(ex_ev.groupBy(*g, "candidate", "prev").agg(F.count(F.lit(1)).alias("n1")))
+    n2 = ex_ev.groupBy(*g, "candidate", "prev", "w").agg(F.count(F.lit(1)).alias("n2"))
+    n1 = ex_ev.groupBy(*g, "candidate", "prev").agg(F.count(F.lit(1)).alias("n1"))
     vocab = (ex.select(*g, F.explode(word_tokens(text_col)).alias("w")).distinct()
              .groupBy(*g).agg((F.count(F.lit(1)) + 1).alias("V")))
     classes = materialize(ex.select(*g, F.col("label").alias("candidate")).distinct().join(vocab, g, "left")
                           .fillna(1, ["V"]))
+    kinds = [c for c in [*g, "candidate"] if c not in rc]  # a model of a row is one of these
+    numbered = classes.select(*kinds).distinct().orderBy(*kinds).collect()
+    number = ex.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(numbered)], classes.select(*kinds).schema.add("_no", T.IntegerType()))
+    models = max(len(numbered), 1)
+    classes = classes.join(F.broadcast(number), kinds)
     a = F.lit(float(alpha))
-    ev = (_events(rows.select(*g, id_col, text_col), g + [id_col], word_tokens(text_col))
-          .groupBy(*g, id_col, "prev", "w").agg(F.count(F.lit(1)).alias("m")))
-    n_tok = rows.select(*g, id_col, F.size(word_tokens(text_col)).alias("n_tok"))
-    n2, n1, classes = small_side(n2), small_side(n1), small_side(classes)
-    part_a = (ev.join(n2, g + ["prev", "w"])
-              .groupBy(*g, id_col, "candidate")
-              .agg(F.sum(F.col("m") * (F.log(F.col("n2") + a) - F.log(a))).alias("_a")))
-    part_b = (ev.drop("w").join(n1, g + ["prev"]).join(classes.select(*g, "candidate", "V"), g + ["candidate"])
-              .groupBy(*g, id_col, "candidate")
-              .agg(F.sum(F.col("m") * (F.log(F.col("n1") + a * F.col("V")) - F.log(a * F.col("V")))).alias("_b")))
-    base = n_tok.join(classes, g).withColumn(
-        "_base", F.col("n_tok") * (F.log(a) - F.log(a * F.col("V"))))
-    s = (base.join(part_a, g + [id_col, "candidate"], "left")
-         .join(part_b, g + [id_col, "candidate"], "left"))
-    total = F.col("_base") + F.coalesce(F.col("_a"), F.lit(0.0)) - F.coalesce(F.col("_b"), F.lit(0.0))
+
+    def weights(table, keys, value):
+        """One row of ``keys``, with the weights of all models."""
+        w = table.join(classes, [*g, "candidate"]).groupBy(*rc, *keys).agg(F.collect_list(F.struct("_no", value.alias("x"))).alias("_w"))
+        spread = F.aggregate("_w", F.array_repeat(F.lit(0.0), models), lambda acc, e: F.transform(
+            acc, lambda x, i: F.when(i == e["_no"], e["x"]).otherwise(x)))
+        return small_side(materialize(w.select(*rc, *keys, spread.alias("_w"))))
+
+    n2 = weights(n2, ["prev", "w"], F.log(F.col("n2") + a) - F.log(a))
+    n1 = weights(n1, ["prev"], F.log(F.col("n1") + a * F.col("V")) - F.log(a * F.col("V")))
+    ev = _events(rows.select(*rc, id_col, text_col), rc + [id_col], word_tokens(text_col))
+    n_tok = rows.select(*rc, id_col, F.size(word_tokens(text_col)).alias("n_tok"))
+
+    def sums(part, name):
+        each = part.groupBy(*rc, id_col).agg(*[F.sum(F.col("_w")[i]).alias(f"_{i}") for i in range(models)])
+        return each.select(*rc, id_col, F.array(*[f"_{i}" for i in range(models)]).alias(name))
+
+    part_a = sums(ev.join(n2, rc + ["prev", "w"]), "_a")
+    part_b = sums(ev.drop("w").join(n1, rc + ["prev"]), "_b")
+    s = (n_tok.join(part_a, rc + [id_col], "left").join(part_b, rc + [id_col], "left")
+         .join(small_side(classes), rc)
+         .withColumn("_base", F.col("n_tok") * (F.log(a) - F.log(a * F.col("V")))))
+    here = lambda c: F.coalesce(F.get(c, F.col("_no")), F.lit(0.0))
+    total = F.col("_base") + here("_a") - here("_b")
     return s.select(*g, id_col, "candidate",
                     F.when(F.col("n_tok") > 0, total / F.col("n_tok")).otherwise(F.lit(0.0)).alias("score"))
 

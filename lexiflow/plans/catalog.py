@@ -559,6 +559,12 @@ def _fs_dev(spark, sf):
                       .select("id", "lang", "label"))
 
 
+def _fs_dev_labels(spark, sf):
+    """The rows of ``_fs_dev`` without their texts."""
+    dev = _split73(spark, sf).where(F.col("split") == "test").select("id", "lang", "label")
+    return dev.join(_lab(spark, sf).select("id"), "id")
+
+
 def _fs_examples(spark, sf):
     return FS.context_examples(_fs_train(spark, sf), SHOTS, ["lang"], SEED, SEED)
 
@@ -590,17 +596,21 @@ def fewshot_prompts(spark, sf):
 
 def fewshot_sweep(spark, sf):
     """LAB-06: shots x order-seed grid as key columns of one job."""
-    tr = _fs_train(spark, sf)
-    ex = S.class_sample(tr, max(SHOTS_GRID), ["lang"], "label", SEED)
+    # the sample is drawn from narrow rows; a digest tells apart the texts of an id, which are joined to the sample only
+    texts = _lab(spark, sf).select("id", F.xxhash64("text").alias("_digest"), "text")
+    tr = _split73(spark, sf).where(F.col("split") == "train").select("id", "lang", "label").join(texts.drop("text"), "id")
+    ex = materialize(S.class_sample(tr, max(SHOTS_GRID), ["lang"], "label", SEED))
+    ex = ex.join(texts.join(F.broadcast(ex.select("id").distinct()), "id").dropDuplicates(["id", "_digest"]), ["id", "_digest"]).drop("_digest")
     ex = ex.withColumn("shots", F.explode(F.filter(F.array(*[F.lit(s) for s in SHOTS_GRID]),
                                                    lambda s: s >= F.col("sample_rank"))))
     ex = ex.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in ORDER_SEEDS])))
     keys = ["lang", "shots", "seed"]
     ex = hash_rank(ex, keys, F.col("seed"), "id", "order_rank", None, extra_keys=("order",))
     ex = S.dedupe_last_label(ex, keys, "order_rank")
-    rows = _fs_dev(spark, sf).join(ex.select(*keys).distinct(), "lang")
-    sc = FS.bigram_scores(ex, rows, keys)
-    pred = FS.predict_wide(sc, keys + ["id"]).join(rows.select(*keys, "id", "label"), keys + ["id"])
+    ex = materialize(ex)  # 3N rows of a language for each point of the grid
+    rows = _fs_dev(spark, sf)
+    sc = FS.bigram_scores(ex, rows, keys, row_cols=["lang"])
+    pred = FS.predict_wide(sc, keys + ["id"]).join(_fs_dev_labels(spark, sf), ["lang", "id"])
     return pred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg((F.col("label") == F.col("predicted_label")).cast("double")), R6).alias("accuracy")) \

@@ -126,3 +126,35 @@ def test_answer_span_mean_uses_last_tokens_only(spark):
     df = spark.createDataFrame(rows, "id long, candidate string, pos int, logp double, n_tokens int, ans_len int")
     got = FS.answer_span_mean(df, ["id", "candidate"]).first()["answer_ll"]
     assert got == -2.0
+
+
+def test_bigram_scores_of_several_models_take_rows_apart_once(spark):
+    """Rows that have only the language are scored by all models of their language, as if they were repeated for each."""
+    ex = spark.createDataFrame([("en", 5, "good day", "positive"), ("en", 5, "bad day", "negative"), ("en", 9, "good good news", "positive"),
+                                ("fr", 5, "bon jour", "neutral")], "lang string, shots int, text string, label string")
+    rows = spark.createDataFrame([("en", 1, "good day good day"), ("en", 1, "bad news"), ("en", 2, ""), ("fr", 3, "jour jour"), ("de", 4, "tag"), (None, 5, "day")],
+                                 "lang string, id long, text string")
+    keys = ["lang", "shots"]
+    repeated = FS.bigram_scores(ex, rows.join(ex.select(*keys).distinct(), "lang"), keys)
+    once = FS.bigram_scores(ex, rows, keys, row_cols=["lang"])
+    flat = lambda df: sorted((r["lang"], r["shots"], r["id"], r["candidate"], round(r["score"], 9)) for r in df.collect())
+    assert flat(once) == flat(repeated) and len(flat(once)) == 3 * 3 + 1
+    # "" scores 0; jour after the start is seen once of V = 3
+    assert {r[4] for r in flat(once) if r[2] == 2} == {0.0}
+
+
+def test_masking_by_plain_python(spark):
+    import hashlib
+
+    rows = [("en", 0, [5, 6, 7] * 60), (None, 1, [1, 2]), ("fr", 2, []), ("fr", 3, None)]
+    df = spark.createDataFrame(rows, "lang string, block long, ids array<long>")
+    got = {r["block"]: r for r in CO.mlm_mask(df, ["lang", "block"], "ids", 42, 30).collect()}
+    masked, targets = [], []
+    for i, x in enumerate(rows[0][2]):
+        h = hashlib.md5(f"42:en:0:{i}".encode()).hexdigest()
+        chosen, kind = int(h[:8], 16) % 100 < 15, int(h[8:16], 16) % 10
+        masked.append(x if not chosen or kind == 9 else 31 if kind < 8 else int(h[16:24], 16) % 30 + 1)
+        targets.append(x if chosen else -100)
+    assert got[0]["masked_ids"] == masked and got[0]["targets"] == targets and len(set(masked)) > 4
+    assert got[1]["masked_ids"] == [1, 2] and got[1]["targets"] == [-100, -100]  # a null key chooses nothing
+    assert got[2]["masked_ids"] == got[2]["targets"] == [] and got[3]["masked_ids"] is got[3]["targets"] is None
