@@ -15,10 +15,13 @@ are concatenated per block in offset order.  A block holds at most
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiflow.functions.hashing import hash_key
 from lexiflow.operators.rank import natural_rank
 
 BLOCK_LEN = 128
@@ -47,7 +50,9 @@ def token_blocks(docs: DataFrame, group_cols: list[str], tokens: Column, id_col:
     last = F.least(F.col("_off") + F.col("_n"), F.col("_use")) - 1
     spans = off.select(*g, id_col, "batch", "_off", "_use",
                        F.explode(F.sequence(F.floor(F.col("_off") / L), F.floor(last / L))).alias("block"))
-    pieces = spans.join(tok.select(id_col, "_tok"), id_col)
+    # narrow rows, but the texts follow them: a number of their own, as by their bytes they would be put into one task
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    pieces = spans.repartition(parts, *g, "batch", "block").join(tok.select(id_col, "_tok"), id_col)
     start = F.greatest(F.col("block") * L, F.col("_off"))
     end = F.least((F.col("block") + 1) * L, F.col("_use"), F.col("_off") + F.size("_tok"))
     pieces = pieces.select(*g, "batch", F.col("block").cast("bigint").alias("block"), "_off",
@@ -59,6 +64,20 @@ def token_blocks(docs: DataFrame, group_cols: list[str], tokens: Column, id_col:
     return out.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
+def token_ids(tokens, buckets: int, seed: str = "tok") -> Column:
+    """``hashed_ids`` of long token lists, as an Arrow function that hashes each distinct token of a batch once."""
+
+    @F.pandas_udf("array<long>")
+    def ids(lists: pd.Series) -> pd.Series:
+        known = [x for x in lists if x is not None]
+        codes, words = pd.factorize(np.concatenate([*known, np.empty(0, object)]))
+        hashed = np.array([int(hashlib.md5(f"{seed}:{w}".encode(), usedforsecurity=False).hexdigest()[:8], 16) % buckets + 1 for w in words], np.int64)
+        parts = iter(np.split(hashed[codes] if len(words) else codes, np.cumsum([len(x) for x in known])))
+        return pd.Series([None if x is None else next(parts) for x in lists], dtype=object)
+
+    return ids(tokens)
+
+
 def mlm_mask(blocks: DataFrame, keys: list[str], ids_col: str = "ids", seed=42, vocab: int = 30000,
              mask_id: int | None = None, percent: int = MLM_PERCENT) -> DataFrame:
     """COR-03: choose ``percent`` % of positions by a seeded hash of (keys,
@@ -67,30 +86,36 @@ def mlm_mask(blocks: DataFrame, keys: list[str], ids_col: str = "ids", seed=42,
     -100 elsewhere).
 
     One md5 digest per position drives all three draws (hex digits 1-8: chosen,
-    9-16: replacement kind, 17-24: random id); the digests are computed once
-    as an array column and both outputs read it.
+    9-16: replacement kind, 17-24: random id).  Both outputs come from one function over the arrays of an
+    Arrow batch, so that each digest is made once.
     """
     mask_id = vocab + 1 if mask_id is None else mask_id
-    kcols = [F.col(k) for k in keys]
-
-    def part(h, start, n):
-        return F.pmod(F.conv(F.substring(h, start, 8), 16, 10).cast("bigint"), F.lit(n))
-
-    hashed = blocks.withColumn("_h", F.transform(F.col(ids_col), lambda x, i: hash_key(seed, *kcols, i)))
-    z = F.arrays_zip(F.col(ids_col).alias("x"), F.col("_h").alias("h"))
-
-    def replace(e):
-        chosen = part(e["h"], 1, 100) < percent
-        r = part(e["h"], 9, 10)
-        return (F.when(~chosen, e["x"]).when(r < 8, F.lit(mask_id))
-                .when(r < 9, part(e["h"], 17, vocab) + 1).otherwise(e["x"]))
-
-    def target(e):
-        return F.when(part(e["h"], 1, 100) < percent, e["x"]).otherwise(F.lit(IGNORE_INDEX))
 
-    return hashed.select(*[c for c in blocks.columns],
-                         F.transform(z, replace).alias("masked_ids"),
-                         F.transform(z, target).alias("targets"))
+    @F.pandas_udf("struct<masked_ids: array<long>, targets: array<long>>")
+    def mask(prefixes: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        masked, targets = [], []
+        for prefix, ids in zip(prefixes, lists):
+            x = None if ids is None else np.array(ids, dtype=np.int64)
+            if x is None or prefix is None or not len(x):
+                masked.append(x)
+                targets.append(None if x is None else np.full(len(x), IGNORE_INDEX, np.int64))
+                continue
+            start = hashlib.md5(prefix.encode(), usedforsecurity=False)
+            digests = []
+            for i in range(len(x)):
+                h = start.copy()
+                h.update(b"%d" % i)
+                digests.append(h.digest())
+            draws = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4).astype(np.int64)
+            chosen, kind = draws[:, 0] % 100 < percent, draws[:, 1] % 10
+            put = np.where(kind < 8, mask_id, np.where(kind < 9, draws[:, 2] % vocab + 1, x))
+            masked.append(np.where(chosen, put, x))
+            targets.append(np.where(chosen, x, IGNORE_INDEX))
+        return pd.DataFrame({"masked_ids": pd.Series(masked, dtype=object), "targets": pd.Series(targets, dtype=object)})
+
+    prefix = F.concat(*[c for k in (F.lit(seed), *[F.col(k) for k in keys]) for c in (k.cast("string"), F.lit(":"))])
+    out = blocks.withColumn("_m", mask(prefix, F.col(ids_col).cast("array<long>")))
+    return out.select(*blocks.columns, "_m.masked_ids", "_m.targets")
 
 
 def masked_accuracy(pred: DataFrame, keys: list[str], targets_col: str = "targets",

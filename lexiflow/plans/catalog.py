@@ -629,7 +629,7 @@ def token_blocks(spark, sf):
 
 
 def _masked(spark, sf):
-    b = _blocks(spark, sf).withColumn("ids", TX.hashed_ids(F.col("tokens"), HASH_VOCAB))
+    b = _blocks(spark, sf).withColumn("ids", CO.token_ids(F.col("tokens"), HASH_VOCAB))
     return CO.mlm_mask(b, ["lang", "batch", "block"], "ids", SEED, HASH_VOCAB)
 
 

@@ -158,3 +158,18 @@ def test_masking_by_plain_python(spark):
     assert got[0]["masked_ids"] == masked and got[0]["targets"] == targets and len(set(masked)) > 4
     assert got[1]["masked_ids"] == [1, 2] and got[1]["targets"] == [-100, -100]  # a null key chooses nothing
     assert got[2]["masked_ids"] == got[2]["targets"] == [] and got[3]["masked_ids"] is got[3]["targets"] is None
+
+
+def test_token_ids_equal_the_array_expression(spark):
+    from lexiflow.functions.text import hashed_ids
+
+    df = spark.createDataFrame([(["a", "b", "a", "caf\u00e9", ""],), ([],), (None,), (["b"],)], "t array<string>")
+    for r in df.select(CO.token_ids(F.col("t"), 100).alias("x"), hashed_ids(F.col("t"), 100).alias("y")).collect():
+        assert r["x"] == r["y"]
+
+
+def test_blocks_of_few_bytes_are_made_by_many_tasks(spark):
+    """The spans of blocks are narrow; the texts that follow them must not end in one task."""
+    df = spark.createDataFrame([(i, "en", "w " * 300) for i in range(2000)], "id long, lang string, text string")
+    b = CO.token_blocks(df, ["lang"], F.split(F.trim("text"), " "))
+    assert b.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and b.agg(F.sum("n_tokens")).first()[0] == 2 * (300_000 // 128) * 128
