@@ -58,3 +58,30 @@ def test_chunks_try_few_sizes(monkeypatch):
     assert [g[0] for g in got] == sizes
     assert sum(sorted_numbers) < 10 * n * each
     assert all((x.sum(axis=1) == each).all() and len(used) == x.shape[1] for _, used, x in got)
+
+
+def test_features_are_never_sorted_by_term(spark, monkeypatch):
+    """Tables too large for a broadcast: the features, far more rows than the tables, stream past them."""
+    from lexiflow.operators import naive_bayes as NB
+    from lexiflow.operators import sizes
+    from lexiflow.operators import textclf as TC
+    docs = _docs(spark).where("id IS NOT NULL").dropDuplicates(["id"]).selectExpr(
+        "id", "text", "IF(id % 3 = 0, 'en', 'fr') AS lang", "IF(id % 4 = 1, 'positive', 'negative') AS label")
+    terms, rows = FE.doc_terms(docs, [], 2), docs.select("lang", "id", "label")
+    seen, scores = [], NB.scores
+    monkeypatch.setattr(NB, "scores", lambda x, *a: (seen.append((x, scores(x, *a))), seen[-1][1])[1])
+
+    def run():
+        p = TC.naive_bayes_run(terms, rows, rows, ["lang"], [("count", 2), ("tfidf", 1)], (0.1, 1.0), min_df=2)
+        return {(r["lang"], r["feature_set"], r["alpha"], r["id"]): r["prediction"] for r in p.collect()}
+
+    small = run()
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run() == small and len(small) == rows.count() * 4
+        plan = seen[-1][1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan
+    assert "term_index" not in "".join(x for x in plan.splitlines() if " Sort [" in x)
