@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from lexiflow.operators import classifiers as CL
 from lexiflow.operators import trees as TR
 
 N, V = 240, 30
@@ -28,12 +29,43 @@ def _found(df):
     return {r["id"]: r["prediction"] for r in df.collect()}
 
 
+@pytest.mark.parametrize("impurity,depth", [("gini", 5), ("entropy", 3)])
+def test_a_tree_is_that_of_pyspark(table, impurity, depth):
+    _, _, df, rows, train, bins = table
+    want = DecisionTreeClassifier(labelCol="y", impurity=impurity, maxDepth=depth).fit(df.where("split = 'train'")).transform(df)
+    assert _found(TR.boost(rows, train, bins, impurity, depth, 1.0, 1, 3)) == _found(want)
+
+
 def test_only_held_cells_are_stored(table):
     x, _, _, rows, _, bins = table
     held = {r["id"]: sorted(r["idx"]) for r in rows.collect()}
     assert all(set(held[i]) <= {0, *np.flatnonzero(x[i]).tolist()} for i in range(N)) and bins.features == V
 
 
+def test_sums_and_blocks_in_many_parts(table, monkeypatch):
+    _, _, _, rows, train, bins = table
+    want = _found(TR.boost(rows, train, bins, "gini", 4, 0.5, 3, 3))
+    for name, value in (("HELD", 20), ("CELLS", 300), ("BLOCK", 4)):
+        monkeypatch.setattr(TR, name, value)
+    assert _found(TR.boost(rows, train, bins, "gini", 4, 0.5, 3, 3)) == want
+
+
+def test_boosting_weighs_as_in_plain_python(table):
+    _, y, df, rows, train, bins = table
+    w, votes = np.where(np.arange(N) % 4, 1.0, 0.0), np.zeros((N, 3))
+    for _ in range(3):
+        w /= w.sum()
+        now = df.join(df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "id long, w double"), "id")
+        tree = DecisionTreeClassifier(labelCol="y", weightCol="w", maxDepth=2).fit(now.where("w > 0"))
+        p = np.array([k for _, k in sorted(_found(tree.transform(df)).items())], int)
+        err = w[p != y].sum()
+        alpha = 0.5 * (np.log((1 - err) / err) + np.log(2))
+        votes[np.arange(N), p] += alpha
+        w[p != y] *= np.exp(alpha)
+    got = _found(TR.boost(rows, train, bins, "gini", 2, 0.5, 3, 3))
+    assert [got[i] for i in range(N)] == votes.argmax(1).tolist()
+
+
 def test_forest_without_draws_is_that_of_pyspark(table, monkeypatch):
     _, _, df, rows, train, bins = table
     monkeypatch.setattr(TR, "draws", lambda key, trees, seed: np.ones((len(key), trees)))
@@ -55,3 +87,13 @@ def test_draws_are_poisson():
     d = TR.draws(np.arange(2000) * 7919, 50, 42)
     assert abs(d.mean() - 1) < 0.02 and abs(d.var() - 1) < 0.03 and abs((d == 0).mean() - np.exp(-1)) < 0.01
     assert abs(np.corrcoef(d[:, 0], d[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(d[:-1, 0], d[1:, 0])[0, 1]) < 0.1
+
+
+def test_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(i, s, y, Vectors.sparse(50000, {int(y): 1.0})) for i in (1, 1, None) for s, y in (("train", 0.0), ("train", 2.0), ("test", 2.0))],
+                               ["id", "split", "y", "features"])
+    rows, bins = TR.binned(df, F.col("split") == "train")
+    assert rows.count() == 9 and rows.select("key").distinct().count() == 9
+    got = CL.adaboost_fit_predict(df, "gini", 2, 1.0, 3).collect()
+    assert all(r["prediction"] == r["y"] for r in got)
+    assert TR.forest(rows, rows.where("split = 'train'"), bins, 2, 5, 3).count() == 9
