@@ -42,10 +42,11 @@ def test_only_held_cells_are_stored(table):
     assert all(set(held[i]) <= {0, *np.flatnonzero(x[i]).tolist()} for i in range(N)) and bins.features == V
 
 
-def test_sums_and_blocks_in_many_parts(table, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 1 << 22])
+def test_sums_and_blocks_in_many_parts(table, monkeypatch, dense):
     _, _, _, rows, train, bins = table
     want = _found(TR.boost(rows, train, bins, "gini", 4, 0.5, 3, 3))
-    for name, value in (("HELD", 20), ("CELLS", 300), ("BLOCK", 4)):
+    for name, value in (("HELD", 20), ("CELLS", 300), ("BLOCK", 4), ("DENSE", dense)):
         monkeypatch.setattr(TR, name, value)
     assert _found(TR.boost(rows, train, bins, "gini", 4, 0.5, 3, 3)) == want
 
