@@ -50,6 +50,52 @@ def test_sums_and_blocks_in_many_parts(table, monkeypatch):
     assert _found(TR.boost(rows, train, bins, "gini", 4, 0.5, 3, 3)) == want
 
 
+def test_cells_dealt_out_in_many_parts(table, monkeypatch):
+    _, _, _, rows, train, bins = table
+    settings = [("gini", 4, 0.5, 6), ("entropy", 2, 1.0, 9)]
+    want = TR.boosted(train, bins, settings, 3)
+    monkeypatch.setattr(TR, "HELD_CELLS", 150)
+    got = TR.boosted(train.repartition(2), bins, settings, 3)
+    assert [len(t) for t, _ in want] == [6, 9] and np.allclose(np.concatenate([a for _, a in got]), np.concatenate([a for _, a in want]))
+    assert all((a.feature == b.feature).all() and (a.bin == b.bin).all() for (x, _), (y, _) in zip(got, want) for a, b in zip(x, y))
+    alone = _found(TR.boost(rows, train, bins, *settings[1], 3))
+    assert alone == _found(TR.voted(rows, bins, want[1], 2, 3))
+
+
+def test_a_cell_block_of_few_numbers(table, monkeypatch):
+    x, _, _, rows, train, bins = table
+    blocks, cells = [], []
+    for i, r in enumerate(train.collect()):
+        blocks.append((0, 0, i, np.int8(r["y"]).tobytes(), np.zeros(len(r["idx"]), np.int32).tobytes(), np.array(r["idx"], np.int32).tobytes(), np.array(r["bin"], np.int16).tobytes()))
+        cells.append(dict(zip(r["idx"], r["bin"])))
+    cols = TR.Columns.of(blocks[::-1], bins)
+    at, w = np.arange(len(cells)) % 3, np.ones(len(cells))
+    n, s = cols.sums(at, w, 2, 3)
+    monkeypatch.setattr(TR, "CELLS", 7)
+    assert all((a == b).all() for a, b in zip(cols.sums(at, w, 2, 3), (n, s)))
+    p = int(np.flatnonzero(cols.feature == 0)[0])
+    for b in range(bins.first[1] - bins.first[0]):
+        assert n[:, cols.first[b] + p].tolist() == [sum(c.get(0, bins.zero[0]) == b != bins.zero[0] for c in cells[k::3]) for k in (0, 1)]
+    for cut in (0, 3, int(bins.zero[0]), bins.first[1] - 2):
+        want = [c.get(0, bins.zero[0]) > cut and k % 3 == 1 for k, c in enumerate(cells)]
+        assert cols.right(at, {1: (0.1, 0, cut)}).tolist() == want
+
+
+def test_forest_in_many_parts(table, monkeypatch):
+    _, _, _, rows, train, bins = table
+    want = _found(TR.forest(rows, train, bins, 4, 8, 3))
+    for name, value in (("HELD", 20), ("CELLS", 300), ("BLOCK", 4)):
+        monkeypatch.setattr(TR, name, value)
+    assert _found(TR.forest(rows, train, bins, 4, 8, 3)) == want
+
+
+def test_registered_boosting_has_the_rounds_of_the_reference(monkeypatch):
+    from lexiflow.plans import catalog as C
+    monkeypatch.setattr(C, "_clf_data", lambda *a: None)
+    monkeypatch.setattr(CL, "run_grid", lambda spark, jobs, **kw: [config for _, config, _ in jobs])
+    assert C.adaboost(None, "") == ["gini,depth=5,rate=0.1,rounds=500", "entropy,depth=3,rate=1.0,rounds=500", "entropy,depth=2,rate=1.0,rounds=1000"]
+
+
 def test_boosting_weighs_as_in_plain_python(table):
     _, y, df, rows, train, bins = table
     w, votes = np.where(np.arange(N) % 4, 1.0, 0.0), np.zeros((N, 3))
